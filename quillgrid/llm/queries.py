@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillgrid.llm import lookalike, merge_replay, mixture, reading_level, split
+from quillgrid.llm import garbled, lookalike, merge_replay, mixture, reading_level, split
 from quillgrid.session import table
 
 
@@ -16,6 +16,14 @@ def p1_forms(spark, root):
     return lookalike.unified(*(table(spark, root, t) for t in ("cells", "text_boxes", "styled_spans")))
 
 
+def p4_found(spark, root):
+    return garbled.restore(table(spark, root, "pdf_spans"), table(spark, root, "styled_spans")).select("src", "span_id")
+
+
+def p4_restored(spark, root):
+    return garbled.restore(table(spark, root, "pdf_spans"), table(spark, root, "styled_spans"))
+
+
 def p5_found(spark, root):
     return split.items(table(spark, root, "blocks"), table(spark, root, "slides"), table(spark, root, "split_limits")).select("item_kind", "item_id")
 
@@ -45,7 +53,7 @@ def p8_levels(spark, root):
     return reading_level.levels(documents, reading_level.fit(documents, table(spark, root, "level_labels"))).select("doc_id", "words", F.round("level", 3).alias("level"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_levels)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p4_found, p4_restored, p5_found, p5_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_levels)}
 
 ORACLE = {
     "p5_found": """
