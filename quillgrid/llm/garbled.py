@@ -370,7 +370,7 @@ def learn(spans: DataFrame) -> tuple[Bigrams, DataFrame, dict[str, float]]:
     none = whole[NONE]
     base = {s: max(log(w / none), -9.0) for s, w in whole.items() if s != NONE} | {NONE: -9.0}
     by_source = swaps.groupBy("source").agg(F.sum("n").alias("words"), F.collect_list(F.struct("swap", "n")).alias("all"))
-    clean = F.coalesce(F.filter("all", lambda x: x["swap"] == NONE)[0]["n"], F.lit(0))
+    clean = F.coalesce(F.get(F.filter("all", lambda x: x["swap"] == NONE), F.lit(0))["n"], F.lit(0))
     general = F.create_map(*[x for s, w in whole.items() for x in (F.lit(s), F.lit(float(w)))])
     of_one = lambda n, swap: n + 5 * F.coalesce(F.try_element_at(general, swap), F.lit(1e-6))
     odds = F.map_from_entries(F.transform(F.filter("all", lambda x: x["swap"] != NONE), lambda x: F.struct(x["swap"], F.log(of_one(x["n"], x["swap"]) / of_one(clean, F.lit(NONE))))))
