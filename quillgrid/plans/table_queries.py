@@ -158,8 +158,8 @@ _fx("and_or_not", "lineitem", _LI, "=OR(AND(E1>10,NOT(G1>0.05)),H1=0)", "(l_quan
 _fx("number_to_text", "lineitem", _LI, '="q"&E1', "'q' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)")
 _fx("row_sum", "lineitem", _LI, "=SUM(E1:H1)", "l_quantity + l_extendedprice + l_discount + l_tax")
 _fx("row_minmax", "lineitem", _LI, "=MAX(G1:H1)-MIN(G1:H1)", "greatest(l_discount, l_tax) - least(l_discount, l_tax)")
-_fx("row_count", "cells", ["cell_id"], "=COUNT(I1:J1)", "CASE WHEN num IS NULL THEN 0.0 ELSE 1.0 END + CASE WHEN flag IS NULL THEN 0.0 ELSE 1.0 END")
-_fx("row_counta", "cells", ["cell_id"], "=COUNTA(H1:J1)", "CASE WHEN num IS NULL THEN 0.0 ELSE 1.0 END + CASE WHEN flag IS NULL THEN 0.0 ELSE 1.0 END + CASE WHEN value IS NULL THEN 0.0 ELSE 1.0 END", WORKBOOK)
+_fx("row_count", "cells", ["cell_id"], "=COUNT(I1:J1)", "CAST((num IS NOT NULL)::INT + (flag IS NOT NULL)::INT AS DOUBLE)")
+_fx("row_counta", "cells", ["cell_id"], "=COUNTA(H1:J1)", "CAST((num IS NOT NULL)::INT + (flag IS NOT NULL)::INT + (value IS NOT NULL)::INT AS DOUBLE)", WORKBOOK)
 _fx("len", "part", ["p_partkey"], "=LEN(B1)", "CAST(length(p_name) AS DOUBLE)")
 _fx("left_right", "part", ["p_partkey"], '=LEFT(B1,3)&"-"&RIGHT(B1,2)', "left(p_name, 3) || '-' || right(p_name, 2)", WORKBOOK)
 _fx("upper_lower", "customer", ["c_custkey"], "=UPPER(B1)&LOWER(E1)", "upper(c_name) || lower(c_mktsegment)", WORKBOOK)
