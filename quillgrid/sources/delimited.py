@@ -50,7 +50,7 @@ def read_fields(spark: SparkSession, path: str, exact: bool = False) -> DataFram
     tokenizer to the letter (quotes inside fields, blank lines): for files that need it.
     """
     if not exact:
-        df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False, enforceSchema=False)
+        df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
         return df.toDF(*(f"column_{k + 1}" if not c.strip() or c == f"_c{k}" else c.strip() for k, c in enumerate(df.columns)))
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     first = files.orderBy("path").limit(1).collect()  # the header of one file gives the names

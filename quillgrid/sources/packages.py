@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from quillgrid.operators.formula import parse_address, shift
 from quillgrid.session import EngineError, Unsupported
-from quillgrid.sources import markup
+from quillgrid.sources import legacy, markup, pdf
+from quillgrid.sources.delimited import tokenize
 
 
 def local(tag: str) -> str:
@@ -191,8 +192,6 @@ def ods_cells(data: bytes) -> Iterator[tuple]:
 def odb_tables(data: bytes) -> list[tuple[str, list[str], list[list[str | None]]]]:
     """(name, columns, rows of texts) of a database package: declared tables with their CSV members, inline
     tables, else any CSV member below database/."""
-    from quillgrid.sources.delimited import tokenize
-
     out = []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = z.namelist()
@@ -480,8 +479,6 @@ def sniff(data: bytes) -> str | None:
 
 def blocks_of(data: bytes, kind: str) -> Iterator[tuple]:
     """Blocks (kind, level, ordered, text) of a text document of any readable format."""
-    from quillgrid.sources import legacy, pdf
-
     if kind == "docx":
         yield from docx_blocks(data)
     elif kind == "odt":
