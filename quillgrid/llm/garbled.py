@@ -226,7 +226,7 @@ class Solver:
                 if now != plain + "\xa0" and now.count("\xa0") < plain.count("\xa0") + 1 and (gain := self.bigrams.word(now) - none) > 0:
                     found.append((f"utf-8 as {page}", gain, now))
         high = [ch for ch in plain if ch > "\x7f"] if not plain.strip("\xa0").isascii() else []
-        if high and none < -3.0 * len(plain):
+        if high and none < -2.0 * len(plain):
             for swap, table in self.tables.items():
                 if all(ord(ch) in table for ch in high):
                     # a letter substitution: what comes out of it are letters, and marks of text
