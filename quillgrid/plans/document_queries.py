@@ -99,9 +99,13 @@ def blocks_plain_text(spark, root):
 
 @_add("running_headings", "SELECT doc_key, block_id, row_number() OVER (PARTITION BY doc_key ORDER BY block_no, block_id) AS n FROM blocks WHERE kind = 'heading'")
 def running_headings(spark, root):
-    """Headings numbered in order of the document. One document's headings are few next to its blocks."""
-    w = W.partitionBy("doc_key").orderBy("block_no", "block_id")
-    return table(spark, root, "blocks").where(F.col("kind") == "heading").select("doc_key", "block_id", F.row_number().over(w).alias("n"))
+    """Headings numbered in order of the document: numbers within ranges of blocks, shifted by the counts of
+    the ranges before, so that no task orders a whole document."""
+    h = table(spark, root, "blocks").where(F.col("kind") == "heading").select("doc_key", "block_id", "block_no", F.floor(F.col("block_no") / 2048).alias("part"))
+    before = h.groupBy("doc_key", "part").count().withColumn("before", F.sum("count").over(W.partitionBy("doc_key").orderBy("part").rowsBetween(W.unboundedPreceding, -1)))
+    within = F.row_number().over(W.partitionBy("doc_key", "part").orderBy("block_no", "block_id"))
+    numbered = h.withColumn("k", within).join(before, ["doc_key", "part"])
+    return numbered.select("doc_key", "block_id", (F.col("k") + F.coalesce("before", F.lit(0))).cast("bigint").alias("n"))
 
 
 @_add("md_inline_spans", None)

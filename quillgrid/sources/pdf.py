@@ -8,7 +8,7 @@ from base64 import a85decode
 
 from quillgrid.session import ParseError
 
-_OBJECT = re.compile(rb"(?<![0-9])([0-9]+)\s+([0-9]+)\s+obj\b(.*?)\bendobj", re.S)
+_OBJECT = re.compile(rb"(?<![0-9])([0-9]+)\s+([0-9]+)\s+obj\b(.*?)endobj", re.S)
 _STREAM = re.compile(rb"(.*?)\bstream\r?\n(.*)\r?\n?endstream", re.S)
 _REF = re.compile(rb"([0-9]+)\s+[0-9]+\s+R")
 
