@@ -76,7 +76,7 @@ class Replay:
         pair = (left, right)
         if pair in self.pairs:
             return self.pairs[pair]
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > 500_000:
             self.pairs.clear()
         found = self.pairs[pair] = self.ranks.get(self.token[left] + self.token[right])
         return found
@@ -146,7 +146,7 @@ class Encoder:
     ``of_line`` turns the ids of a line into what is kept of it; see ``encode_texts`` and ``count_texts``.
     """
 
-    def __init__(self, ranks: dict[bytes, int], of_line: Callable[[list[int]], object], memo_chars: int = 64_000_000):
+    def __init__(self, ranks: dict[bytes, int], of_line: Callable[[list[int]], object], memo_chars: int = 32_000_000):
         self.replay = Replay(ranks)
         self.find, self.find_ascii = regex.compile(WORD).findall, re.compile(ASCII_WORD, re.ASCII).findall
         self.of_line, self.memo_chars = of_line, memo_chars
@@ -159,7 +159,7 @@ class Encoder:
         if self.line_size > self.memo_chars:
             self.lines.clear()
             self.line_size = 0
-        if self.word_size > self.memo_chars:
+        if self.word_size > self.memo_chars // 2:
             self.words.clear()
             self.word_size = 0
         divided = [split_lines(t) if t else [] for t in texts]
