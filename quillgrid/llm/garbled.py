@@ -61,6 +61,15 @@ def _page(name: str) -> dict[str, int]:
 PAGES = {name: _page(name) for name in READ}
 
 
+def _pair(page: dict[str, int]) -> re.Pattern:
+    """A first and a following byte of UTF-8 as the page shows them: without it nothing can be undone."""
+    of = lambda low, high: "".join(re.escape(ch) for ch, b in page.items() if low <= b <= high)
+    return re.compile(f"[{of(0xC2, 0xF4)}][{of(0x80, 0xBF)}]")
+
+
+PAIRS = {name: _pair(page) for name, page in PAGES.items()}
+
+
 def _substitutions() -> dict[str, dict[int, str]]:
     """The single-byte swaps as translation tables, without those that equal an earlier one."""
     out: dict[str, dict[int, str]] = {}
@@ -101,6 +110,13 @@ def symbol(ch: str) -> str:
     return ch
 
 
+class _Symbols(dict):
+    def __missing__(self, ch: str) -> str:
+        value = self[ch] = symbol(ch)
+        return value
+
+
+_SYMBOLS = _Symbols()
 _CLASSES = frozenset("あア字한、\x02")
 
 
@@ -158,10 +174,11 @@ class Bigrams:
         return ch in self.chars if s in _CLASSES else self.share.get(s, 0.0) > 0
 
     def word(self, word: str) -> float:
-        last, score = "^", 0.0
+        last, score, memo = "^", 0.0, self.memo
         for ch in word:
-            s = symbol(ch)
-            score += self.step(last, s)
+            s = _SYMBOLS[ch]
+            gain = memo.get((last, s))
+            score += self.step(last, s) if gain is None else gain
             if s in _CLASSES:
                 score += self.chars.get(ch, self.UNSEEN)
             last = s
@@ -177,7 +194,16 @@ class Solver:
 
     def __init__(self, bigrams: Bigrams):
         self.bigrams = bigrams
-        self.tables = _substitutions()
+        self.tables = list(_substitutions().items())
+        # of each character, the tables (as bits) that make it a letter or a mark of text, and a letter
+        self.fitting: dict[str, int] = {}
+        self.lettering: dict[str, int] = {}
+        for k, (_, table) in enumerate(self.tables):
+            for code, to in table.items():
+                if to.isalpha() or to in _MARKS:
+                    self.fitting[chr(code)] = self.fitting.get(chr(code), 0) | 1 << k
+                if to.isalpha():
+                    self.lettering[chr(code)] = self.lettering.get(chr(code), 0) | 1 << k
         self.lattice = Lattice({})
         self.memo: dict[str, list[tuple[str, float, str]]] = {}
 
@@ -204,6 +230,8 @@ class Solver:
         none = self.bigrams.word(plain)
         found = []
         for page in PAGES:
+            if not PAIRS[page].search(plain + "\xa0"):
+                continue
             now, top, turns, runs = self.undo_utf8(plain, page), None, 0, 0
             while now is not None and turns < 5:
                 if now == plain:
@@ -216,7 +244,7 @@ class Solver:
                     runs += max(1, sum(ch not in plain for ch in fresh))
                 score = self.bigrams.word(now) + FORM * runs
                 top = max(top, (score, now)) if top else (score, now)
-                nested = {new for p in PAGES if (new := self.undo_utf8(now, p)) != now}
+                nested = {new for p in PAGES if PAIRS[p].search(now) and (new := self.undo_utf8(now, p)) != now}
                 now = max(nested, key=self.bigrams.word) if nested else None
             if top and top[0] > none:
                 found.append((f"utf-8 as {page}", top[0] - none, top[1]))
@@ -227,14 +255,22 @@ class Solver:
                     found.append((f"utf-8 as {page}", gain, now))
         high = [ch for ch in plain if ch > "\x7f"] if not plain.strip("\xa0").isascii() else []
         if high and none < -2.0 * len(plain):
-            for swap, table in self.tables.items():
-                if all(ord(ch) in table for ch in high):
-                    # a letter substitution: what comes out of it are letters, and marks of text
-                    if not all(table[ord(ch)].isalpha() or table[ord(ch)] in _MARKS for ch in high) or not any(table[ord(ch)].isalpha() for ch in high):
-                        continue
-                    new = plain.translate(table)
-                    if new != plain and (gain := self.bigrams.word(new) - none) > 0:
-                        found.append((swap, gain, new))
+            # a letter substitution: what comes out of it are letters, and marks of text
+            fit, letters = -1, 0
+            for ch in high:
+                fit &= self.fitting.get(ch, 0)
+                letters |= self.lettering.get(ch, 0)
+            fit &= letters
+            tried = set()
+            while fit:
+                swap, table = self.tables[(fit & -fit).bit_length() - 1]
+                fit &= fit - 1
+                new = plain.translate(table)
+                if new in tried:  # of swaps that read a word alike the first counts
+                    continue
+                tried.add(new)
+                if new != plain and (gain := self.bigrams.word(new) - none) > 0:
+                    found.append((swap, gain, new))
             if len(high) >= 4:
                 for page in ("cp1252", "cp1251", "cp437", "mac_roman"):
                     codes = PAGES[page]
