@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgrid.functions import texts
+from quillgrid.operators import pdf_lines as printed
 from quillgrid.operators import recalc
 from quillgrid.operators.sessionlog import transform
 from quillgrid.session import table
@@ -128,6 +129,12 @@ def pdf_lines(spark, root):
     return s.groupBy("doc_key", "page_no", "line_no").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("line"))
 
 
+@_add("pdf_line_reconstruction", None)
+def pdf_line_reconstruction(spark, root):
+    """Lines told from positions alone."""
+    return printed.reconstruct(table(spark, root, "pdf_spans"))
+
+
 # -- cells --------------------------------------------------------------------------------------------------
 
 
