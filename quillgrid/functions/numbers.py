@@ -41,7 +41,8 @@ def display(x: Column) -> Column:
     large = F.when(F.length(part) <= n, F.concat(digits, F.repeat(F.lit("0"), n - F.length(part)))).otherwise(F.concat(F.substring(digits, F.lit(1), n + 1), F.lit("."), F.substring(digits, n + 2, F.length(digits))))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -n - 1), digits)
     return (
-        F.when(F.isnan(x), F.lit("NaN"))
+        F.when((x == F.floor(x)) & (F.abs(x) < 1e15) & (x != 0), x.cast("bigint").cast("string"))
+        .when(F.isnan(x), F.lit("NaN"))
         .when(s == "Infinity", F.lit("inf"))
         .when(s == "-Infinity", F.lit("-inf"))
         .when(s.contains("E"), F.concat(sign, F.when(n >= 0, large).otherwise(small)))

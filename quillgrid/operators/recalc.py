@@ -110,12 +110,13 @@ def evaluate(cells: DataFrame, rounds: int = 3) -> DataFrame:
         F.coalesce("c1", F.lit(0)).alias("c1"), F.greatest(F.coalesce("c2", "cols", F.lit(0)), F.coalesce("c1", F.lit(0))).alias("c2"),
     ).select(*_KEY, "target", "r", F.explode(F.sequence("c1", "c2")).alias("c")).distinct()
     wanted = cut(places)
-    values = base.where(F.col("kind") != "formula")
-    open_, results = formulas, None
+    formulas = cut(formulas)
+    used = wanted.select("doc_key", F.col("target").alias("sheet"), F.col("r").alias("row_no"), F.col("c").alias("col_no")).distinct()
+    # of the other cells only those that formulas name; read in every round, so written once
+    given = cut(base.where(F.col("kind") != "formula").join(used, _KEY, "left_semi").select(*_KEY, "kind", "value", "num", "flag"))
+    open_, results, values = formulas, None, given
     for _ in range(rounds):
-        if results is not None:
-            values = base.where(F.col("kind") != "formula").unionByName(results.select(*_KEY, "kind", F.coalesce("text", "error").alias("value"), "num", "flag"))
-        content = values.select(*(F.col(k).alias(f"v_{k}") for k in _KEY), F.struct(F.col("sheet"), F.col("row_no"), F.col("col_no"), "kind", "value", "num", "flag").alias("cell"))
+        content = values.select(*(F.col(k).alias(f"v_{k}") for k in _KEY), F.struct("sheet", "row_no", "col_no", "kind", "value", "num", "flag").alias("cell"))
         pending = open_.select(*(F.col(k).alias(f"p_{k}") for k in _KEY), F.lit(True).alias("waits"))
         need = open_.join(wanted, _KEY, "left")
         joined = (
@@ -123,15 +124,15 @@ def evaluate(cells: DataFrame, rounds: int = 3) -> DataFrame:
             .join(pending, (F.col("doc_key") == F.col("p_doc_key")) & (F.col("target") == F.col("p_sheet")) & (F.col("r") == F.col("p_row_no")) & (F.col("c") == F.col("p_col_no")), "left")
             .groupBy(*_KEY, "value").agg(F.collect_list("cell").alias("cells"), F.count("waits").alias("waiting"))
         )
-        ready = joined.where(F.col("waiting") == 0).join(sheets, ["doc_key", "sheet"], "left").select(*_KEY, "value", "cells", "rows", "cols").mapInArrow(_evaluate, _RESULT)
-        done = cut(ready)
-        results = done if results is None else cut(results.unionByName(done))
-        open_ = cut(open_.join(done.select(*_KEY), _KEY, "left_anti"))
-        if open_.isEmpty():
-            return results
-    values = base.where(F.col("kind") != "formula").unionByName(results.select(*_KEY, "kind", F.coalesce("text", "error").alias("value"), "num", "flag"))
-    used = open_.select(*_KEY).join(wanted, _KEY).select("doc_key", F.col("target").alias("sheet"), F.col("r").alias("row_no"), F.col("c").alias("col_no")).distinct()
-    rest = values.join(used, _KEY, "left_semi").select(*_KEY, "kind", "value", "num", "flag").unionByName(open_.select(*_KEY, F.lit("formula").alias("kind"), "value", F.lit(None).cast("double").alias("num"), F.lit(None).cast("boolean").alias("flag")))
+        done = cut(joined.where(F.col("waiting") == 0).join(sheets, ["doc_key", "sheet"], "left").select(*_KEY, "value", "cells", "rows", "cols").mapInArrow(_evaluate, _RESULT))
+        results = done if results is None else results.unionByName(done)
+        values = given.unionByName(results.select(*_KEY, "kind", F.coalesce("text", "error").alias("value"), "num", "flag"))
+        open_ = formulas.join(results.select(*_KEY), _KEY, "left_anti")
+    open_ = cut(open_)
+    if open_.isEmpty():
+        return results
+    needed = open_.select(*_KEY).join(wanted, _KEY).select("doc_key", F.col("target").alias("sheet"), F.col("r").alias("row_no"), F.col("c").alias("col_no")).distinct()
+    rest = values.join(needed, _KEY, "left_semi").select(*_KEY, "kind", "value", "num", "flag").unionByName(open_.select(*_KEY, F.lit("formula").alias("kind"), "value", F.lit(None).cast("double").alias("num"), F.lit(None).cast("boolean").alias("flag")))
 
     def by_document(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
