@@ -63,9 +63,19 @@ def md_block_kinds(spark, root):
 
 @_add("text_transform", "SELECT box_id, upper(text) AS upper, reverse(text) AS backwards, lower(text) AS lower FROM text_boxes WHERE text IS NULL OR regexp_full_match(text, '[\\x00-\\x7f]*')")
 def text_transform(spark, root):
-    ascii_only = table(spark, root, "text_boxes").where(F.col("text").isNull() | F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
+    """The boxes that the SQL can judge: beyond ASCII its case and reversal are others. ``text_transform_all`` has every box."""
+    return _transformed(table(spark, root, "text_boxes").where(F.col("text").isNull() | F.col("text").rlike(r"\A[\x00-\x7f]*\z")))
+
+
+@_add("text_transform_all", None)
+def text_transform_all(spark, root):
+    """Every text box: case by Unicode, reversal by code points."""
+    return _transformed(table(spark, root, "text_boxes"))
+
+
+def _transformed(boxes):
     t = F.col("text")
-    return ascii_only.select("box_id", transform(t, "uppercase").alias("upper"), transform(t, "reverse").alias("backwards"), transform(t, "lowercase").alias("lower"))
+    return boxes.select("box_id", transform(t, "uppercase").alias("upper"), transform(t, "reverse").alias("backwards"), transform(t, "lowercase").alias("lower"))
 
 
 @_add("title_case", None)
