@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.operators.formula import BLANK, Evaluator, Value, number, parse, references
@@ -22,10 +22,15 @@ from quillgrid.session import EngineError, cut
 _KEY = ["doc_key", "sheet", "row_no", "col_no"]
 
 
+def sheet_name(sheet: str = "sheet") -> Column:
+    """Name of a cell's sheet, by its number where it has none."""
+    return F.coalesce(sheet, F.concat(F.lit("#"), F.col("sheet_no").cast("string")))
+
+
 def latest(cells: DataFrame) -> DataFrame:
     """One cell for each place: of cells delivered twice the one loaded last (then of the greatest id)."""
     newest = cells.groupBy("doc_key", "sheet_no", "row_no", "col_no").agg(F.max_by(F.struct("sheet", "kind", "value", "num", "flag"), F.struct("loaded_at", "cell_id")).alias("c"))
-    return newest.select("doc_key", F.coalesce("c.sheet", F.concat(F.lit("#"), F.col("sheet_no").cast("string"))).alias("sheet"), "row_no", "col_no", "c.kind", "c.value", "c.num", "c.flag")
+    return newest.select("doc_key", sheet_name("c.sheet").alias("sheet"), "row_no", "col_no", "c.kind", "c.value", "c.num", "c.flag")
 
 
 def _value(kind: str | None, value: str | None, num: float | None, flag: bool | None) -> Value:
@@ -143,10 +148,20 @@ def evaluate(cells: DataFrame, rounds: int = 3) -> DataFrame:
     return results.unionByName(rest.groupBy("doc_key").applyInArrow(by_document, _RESULT))
 
 
-def errors(results: DataFrame) -> DataFrame:
-    """Errors by kind: error, n and the first hundred locations (document, sheet, address) in order."""
+def errors(results: DataFrame, sheets: DataFrame | None = None) -> DataFrame:
+    """Every error cell: error, n (cells with that error), doc_key and location, in order of error, document,
+    sheet, row and column. Sheets are in the order of ``sheets`` (doc_key, sheet, sheet_no), else by name.
+
+    One row a cell, so that no row or task holds all locations of an error.
+    """
     from quillgrid.functions.texts import a1
 
-    place = F.struct("doc_key", "sheet", "row_no", "col_no", F.concat_ws("!", "sheet", a1(F.col("row_no"), F.col("col_no"))).alias("location"))
-    ranked = results.where(F.col("error").isNotNull()).select("error", place.alias("p"))
-    return ranked.groupBy("error").agg(F.count("*").alias("n"), F.min("p").alias("first")).select("error", "n", F.col("first.doc_key").alias("doc_key"), F.col("first.location").alias("first_location"))
+    found = results.where(F.col("error").isNotNull()).select("error", *_KEY)
+    if sheets is None:
+        found = found.withColumn("sheet_no", F.lit(0))
+    else:
+        found = found.join(sheets.groupBy("doc_key", "sheet").agg(F.min("sheet_no").alias("sheet_no")), ["doc_key", "sheet"], "left")
+    found = cut(found)
+    counts = found.groupBy("error").agg(F.count("*").alias("n"))  # a few kinds of errors
+    ordered = found.join(F.broadcast(counts), "error").orderBy("error", "doc_key", "sheet_no", "sheet", "row_no", "col_no")
+    return ordered.select("error", "n", "doc_key", F.concat_ws("!", "sheet", a1(F.col("row_no"), F.col("col_no"))).alias("location"))

@@ -170,7 +170,8 @@ def recalc_values(spark, root):
 
 @_add("recalc_report", None)
 def recalc_report(spark, root):
-    return recalc.errors(recalc.evaluate(recalc.latest(table(spark, root, "cells"))))
+    cells = table(spark, root, "cells")
+    return recalc.errors(recalc.evaluate(recalc.latest(cells)), cells.select("doc_key", recalc.sheet_name().alias("sheet"), "sheet_no"))
 
 
 @_add("stored_error_report", "SELECT value AS error, count(*) AS n FROM cells WHERE kind = 'error' GROUP BY value")

@@ -1,6 +1,8 @@
 """Queries over documents whose whole range no SQL covers: compared with brute force."""
 
 import __spark_entry__ as entry
+from quillgrid.operators import recalc
+from quillgrid.operators.formula import address
 
 
 def test_text_transform_of_every_box(spark, small, tmp_path):
@@ -10,3 +12,23 @@ def test_text_transform_of_every_box(spark, small, tmp_path):
         boxes = {b.box_id: b.text for b in spark.read.parquet(f"{root}/text_boxes.parquet").select("box_id", "text").collect()}
         got = {r.box_id: (r.upper, r.lower, r.backwards) for r in entry.queries()["text_transform_all"](spark, root).collect()}
         assert got == {k: (t.upper(), t.lower(), t[::-1]) if t is not None else (None,) * 3 for k, t in boxes.items()}
+
+
+def test_recalc_report_has_every_location(spark):
+    schema = "doc_key string, sheet string, row_no int, col_no int, kind string, value string, num double, flag boolean"
+    rows = [("d", "Z", r, c, "formula", "1/0", None, None) for r in range(12) for c in (0, 30)] + [("d", "A", 0, 1, "formula", "1/0", None, None), ("c", "S", 4, 0, "formula", "A5", None, None), ("c", "S", 0, 0, "formula", "1", None, None)]
+    sheets = spark.createDataFrame([("d", "Z", 0), ("d", "A", 1), ("c", "S", 0)], "doc_key string, sheet string, sheet_no int")
+    values = recalc.evaluate(spark.createDataFrame(rows, schema))
+    want = [("#CYCLE!", 1, "c", "S!A5")] + [("#DIV/0!", 25, "d", f"Z!{c}{r}") for r in range(1, 13) for c in ("A", "AE")]
+    assert [tuple(r) for r in recalc.errors(values, sheets).collect()] == [*want, ("#DIV/0!", 25, "d", "A!B1")]
+    assert [tuple(r) for r in recalc.errors(values).collect()] == [want[0], ("#DIV/0!", 25, "d", "A!B1"), *want[1:]]
+
+
+def test_recalc_report_query(spark, small):
+    got = [tuple(r) for r in entry.queries()["recalc_report"](spark, small).collect()]
+    cells = spark.read.parquet(f"{small}/cells.parquet")
+    wrong = [r for r in recalc.evaluate(recalc.latest(cells)).collect() if r.error is not None]
+    numbers = {(r.doc_key, r.sheet): r.sheet_no for r in cells.select("doc_key", recalc.sheet_name().alias("sheet"), "sheet_no").orderBy("sheet_no", ascending=False).collect()}
+    wrong.sort(key=lambda r: (r.error, r.doc_key, numbers[r.doc_key, r.sheet], r.sheet, r.row_no, r.col_no))
+    n = {e: len([r for r in wrong if r.error == e]) for e in {r.error for r in wrong}}
+    assert len(got) > len(n) and got == [(r.error, n[r.error], r.doc_key, f"{r.sheet}!{address(r.row_no, r.col_no)}") for r in wrong]
