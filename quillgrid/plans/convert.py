@@ -67,12 +67,16 @@ def evaluated(sheets: dict[str, list[tuple]]) -> Evaluator:
 
 
 def recalculated(sheets: dict[str, list[tuple]]) -> dict[str, list[tuple]]:
-    """The sheets with the values of number formulas brought up to date."""
+    """The sheets with the values of formulas brought up to date: numbers as the cell's number, others as a seventh field."""
     ev = evaluated(sheets)
-    out = {}
-    for sheet, rows in sheets.items():
-        out[sheet] = [(r, c, kind, value, v.value if kind == "formula" and (v := ev.cell(sheet, r, c)).kind == "number" else num if kind != "formula" else None, flag) for r, c, kind, value, num, flag in rows]
-    return out
+
+    def fresh(sheet: str, cell: tuple) -> tuple:
+        if cell[2] != "formula":
+            return cell
+        v = ev.cell(sheet, cell[0], cell[1])
+        return (*cell[:4], v.value, cell[5]) if v.kind == "number" else (*cell[:4], None, cell[5], v)
+
+    return {sheet: [fresh(sheet, cell) for cell in rows] for sheet, rows in sheets.items()}
 
 
 def _shown(ev: Evaluator | None, sheet: str, cell: tuple) -> str:

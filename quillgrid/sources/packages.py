@@ -129,7 +129,7 @@ def xlsx_cells(data: bytes) -> Iterator[tuple]:
                                 first, r0, c0 = masters[group]
                                 source = shift(first, r - r0, here - c0)
                         if source:
-                            yield k, attr(sheet, "name", f"Sheet{k + 1}"), r, here, "formula", source, _number(text), None
+                            yield k, attr(sheet, "name", f"Sheet{k + 1}"), r, here, "formula", source, _number(text) if kind == "n" else None, None
                             continue
                     if kind == "s":
                         index = int(text) if text.isdigit() else -1

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions.numbers import display
-from quillgrid.operators.formula import address
+from quillgrid.operators.formula import BLANK, Value, address
 from quillgrid.sources.markup import encode_entities
 
 
@@ -90,12 +90,21 @@ def pack(parts: Iterable[tuple[str, str | bytes]], stored: tuple[str, ...] = ("m
 _HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
 
 
+def _xlsx_result(v: Value) -> tuple[str, str]:
+    """Type attribute and element of a formula's value that is no number; a blank one has none."""
+    if v.kind == "bool":
+        return ' t="b"', f"<v>{int(bool(v.value))}</v>"
+    if v.kind in ("text", "error"):
+        return ' t="str"' if v.kind == "text" else ' t="e"', f"<v>{encode_entities(v.value)}</v>"
+    return "", ""
+
+
 def xlsx_bytes(sheets: dict[str, list[tuple]]) -> bytes:
-    """A workbook; cells are (row, col, kind, value, num, flag), of formulas with the value known so far."""
+    """A workbook; cells are (row, col, kind, value, num, flag), of formulas with the value known so far: a number, or a seventh field."""
     parts = []
     for k, cells in enumerate(sheets.values()):
         rows: dict[int, list[str]] = {}
-        for row, col, kind, value, num, flag in sorted(cells, key=lambda c: (c[0], c[1])):
+        for row, col, kind, value, num, flag, *result in sorted(cells, key=lambda c: (c[0], c[1])):
             at = address(row, col)
             if kind == "number":
                 xml = f'<c r="{at}"><v>{num!r}</v></c>'
@@ -104,7 +113,8 @@ def xlsx_bytes(sheets: dict[str, list[tuple]]) -> bytes:
             elif kind == "error":
                 xml = f'<c r="{at}" t="e"><v>{encode_entities(value or "")}</v></c>'
             elif kind == "formula":
-                xml = f'<c r="{at}"><f>{encode_entities(value or "")}</f>{f"<v>{num!r}</v>" if num is not None else ""}</c>'
+                what, v = ("", f"<v>{num!r}</v>") if num is not None else _xlsx_result(*result or [BLANK])
+                xml = f'<c r="{at}"{what}><f>{encode_entities(value or "")}</f>{v}</c>'
             else:
                 xml = f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{encode_entities(value or "")}</t></is></c>'
             rows.setdefault(row, []).append(xml)
@@ -128,6 +138,16 @@ def _odf(kind: str, content: str) -> bytes:
     return pack([("mimetype", mime), ("content.xml", f'{_HEAD}<office:document-content {_ODF} office:version="1.2"><office:body>{content}</office:body></office:document-content>'), ("META-INF/manifest.xml", f'{_HEAD}<manifest:manifest xmlns:manifest="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0"><manifest:file-entry manifest:full-path="/" manifest:media-type="{mime}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/></manifest:manifest>')])
 
 
+def _ods_result(v: Value) -> tuple[str, str]:
+    """Attributes and content of a formula's value that is no number; a blank one has none."""
+    if v.kind == "bool":
+        return f' office:value-type="boolean" office:boolean-value="{str(bool(v.value)).lower()}"', ""
+    if v.kind in ("text", "error"):
+        error = ' xmlns:calcext="urn:org:documentfoundation:names:experimental:calc:xmlns:calcext:1.0" calcext:value-type="error"' if v.kind == "error" else ""
+        return f' office:value-type="string" office:string-value="{encode_entities(v.value, True)}"{error}', f"<text:p>{encode_entities(v.value)}</text:p>"
+    return "", ""
+
+
 def ods_bytes(sheets: dict[str, list[tuple]], header: bool = False) -> bytes:
     out = []
     for name, cells in sheets.items():
@@ -140,13 +160,14 @@ def ods_bytes(sheets: dict[str, list[tuple]], header: bool = False) -> bytes:
                 if cell is None:
                     fields.append("<table:table-cell/>")
                     continue
-                _, _, kind, value, num, flag = cell
+                _, _, kind, value, num, flag, *result = cell
                 if kind == "number":
                     fields.append(f'<table:table-cell office:value-type="float" office:value="{num!r}"><text:p>{num!r}</text:p></table:table-cell>')
                 elif kind == "bool":
                     fields.append(f'<table:table-cell office:value-type="boolean" office:boolean-value="{str(bool(flag)).lower()}"/>')
                 elif kind == "formula":
-                    fields.append(f'<table:table-cell table:formula="of:={encode_entities(value or "", True)}"' + (f' office:value-type="float" office:value="{num!r}"' if num is not None else "") + "/>")
+                    what, shown = (f' office:value-type="float" office:value="{num!r}"', "") if num is not None else _ods_result(*result or [BLANK])
+                    fields.append(f'<table:table-cell table:formula="of:={encode_entities(value or "", True)}"{what}>{shown}</table:table-cell>')
                 else:
                     fields.append(f'<table:table-cell office:value-type="string"><text:p>{encode_entities(value or "")}</text:p></table:table-cell>')
             rows.append(f"<table:table-row>{''.join(fields)}</table:table-row>")
