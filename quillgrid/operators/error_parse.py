@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 _INT = re.compile(r"[+-]?[0-9]+\Z")
 _LOW, _HIGH = -(2**63), 2**63 - 1
 
-#: Automata over one field: text (anything), long (blank or a signed integer), bool (blank, true, false).
+#: Automata over one field: text (anything), long (blank or an integer of 64 bits; a state has its sign and digits),
+#: bool (blank, true, false).
 _BAD = "bad"
 _WORDS = ("true", "false")
 KINDS = ("text", "long", "bool")
@@ -38,15 +39,16 @@ def _step(kind: str, state: str, ch: str) -> str:
         if space:
             return ""
         if kind == "long":
-            return "s" if ch in "+-" else "d" if "0" <= ch <= "9" else _BAD
+            return ch if ch in "+-" else "+" + ch if "0" <= ch <= "9" else _BAD
         low = ch.lower()
         return low if low in ("t", "f") else _BAD
     if state == "end":
         return "end" if space else _BAD
     if kind == "long":
         if "0" <= ch <= "9":
-            return "d"
-        return "end" if space and state == "d" else _BAD
+            grown = state[0] + ch if state[1:] == "0" else state + ch
+            return grown if _LOW <= int(grown) <= _HIGH else _BAD
+        return "end" if space and len(state) > 1 else _BAD
     if space:
         return "end" if state in _WORDS else _BAD
     grown = state + ch.lower()
@@ -56,7 +58,7 @@ def _step(kind: str, state: str, ch: str) -> str:
 def _accepts(kind: str, state: str) -> bool:
     if kind == "text" or state in ("", "end"):
         return True
-    return state == "d" if kind == "long" else state in _WORDS
+    return state != _BAD and len(state) > 1 if kind == "long" else state in _WORDS
 
 
 def plain_fields(record: str) -> tuple[list[str], bool]:
@@ -198,21 +200,25 @@ def cheapest(record: str, kinds: tuple[str, ...] = KINDS) -> tuple[tuple[int, in
 
 
 def parse_record(record: str | None, kinds: tuple[str, ...] = KINDS, names: tuple[str, ...] = REASONS[2:]) -> tuple[list | None, str | None, str, str | None]:
-    """Typed values of a valid record, else the reason, the edits and the mended record."""
+    """Typed values of a valid record, else the reason, the edits and the mended record.
+
+    A record whose plain fields all hold has a parse of cost zero; any other is decided by the cheapest one.
+    """
     if record is None:
         return None, "columns", "no record", None
     fields, quoted = plain_fields(record)
     if not quoted and len(fields) == len(kinds):
         values = [typed(k, f) for k, f in zip(kinds, fields, strict=True)]
-        failed = [k for k, (ok, _) in enumerate(values) if not ok]
-        if not failed:
+        if all(ok for ok, _ in values):
             return [v for _, v in values], None, "", None
-        return None, names[failed[0] - 1], "; ".join(f"give up {names[k - 1]}" for k in failed), record
     cost, edits, mended = cheapest(record, kinds)
     said = "; ".join(f"{what} at {at}" for what, at, _ in edits)
     if cost[0]:
         return None, "quoting", said, mended
-    return None, "columns", said, mended
+    if cost[1]:
+        return None, "columns", said, mended
+    failed = [k for k, (kind, f) in enumerate(zip(kinds, plain_fields(mended)[0], strict=True)) if not typed(kind, f)[0]]
+    return None, names[failed[0] - 1], "; ".join(f"give up {names[k - 1]}" for k in failed), mended
 
 
 SCHEMA = "row_id long, file_id string, line_no int, name string, age long, active boolean, reason string, edits string, mended string"
