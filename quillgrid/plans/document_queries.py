@@ -102,6 +102,14 @@ def token_jaccard(spark, root):
     return d.join(parent, (F.col("parent_rev_id") == F.col("p_rev")) & (F.col("page_id") == F.col("p_page"))).select("doc_id", "parent_id", F.round(texts.token_jaccard(F.col("t"), F.col("p_t")), 4).alias("similarity"))
 
 
+@_add("token_jaccard_texts", None)
+def token_jaccard_texts(spark, root):
+    """Likeness of the whole texts of every revision and the one it follows, a null text as an empty one."""
+    d = table(spark, root, "documents").select("doc_id", "page_id", "rev_id", "parent_rev_id", F.coalesce("text", F.lit("")).alias("t"))
+    parent = d.select(F.col("doc_id").alias("parent_id"), F.col("page_id").alias("p_page"), F.col("rev_id").alias("p_rev"), F.col("t").alias("p_t"))
+    return d.join(parent, (F.col("parent_rev_id") == F.col("p_rev")) & (F.col("page_id") == F.col("p_page"))).select("doc_id", "parent_id", F.round(texts.token_jaccard(F.col("t"), F.col("p_t")), 4).alias("similarity"))
+
+
 @_add("blocks_plain_text", "SELECT block_id, coalesce(array_to_string(list_transform(spans, lambda x: CASE WHEN x.kind = 'line_break' THEN chr(10) ELSE coalesce(x.text, '') END), ''), '') AS plain FROM blocks")
 def blocks_plain_text(spark, root):
     parts = F.transform("spans", lambda x: F.when(x["kind"] == "line_break", F.lit("\n")).otherwise(F.coalesce(x["text"], F.lit(""))))

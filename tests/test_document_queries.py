@@ -1,5 +1,9 @@
 """Queries over documents whose whole range no SQL covers: compared with brute force."""
 
+import re
+
+import pytest
+
 import __spark_entry__ as entry
 from quillgrid.operators import recalc
 from quillgrid.operators.formula import address
@@ -32,3 +36,19 @@ def test_recalc_report_query(spark, small):
     wrong.sort(key=lambda r: (r.error, r.doc_key, numbers[r.doc_key, r.sheet], r.sheet, r.row_no, r.col_no))
     n = {e: len([r for r in wrong if r.error == e]) for e in {r.error for r in wrong}}
     assert len(got) > len(n) and got == [(r.error, n[r.error], r.doc_key, f"{r.sheet}!{address(r.row_no, r.col_no)}") for r in wrong]
+
+
+def test_token_jaccard_of_whole_texts(spark, small, tmp_path):
+    rows = [("a", "The cat, the hat", 1, 10, None), ("b", "the hat sat", 1, 11, 10), ("c", None, 1, 12, 11), ("d", "", 1, 13, 12), ("e", "Κόσμε x_1", 1, 14, 13), ("f", "κόσμε y", 1, 15, 14), ("g", "alone", 2, 16, 10)]
+    spark.createDataFrame(rows, "doc_id string, text string, page_id long, rev_id long, parent_rev_id long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.parent_id): r.similarity for r in entry.queries()["token_jaccard_texts"](spark, str(tmp_path)).collect()}
+    assert got == {("b", "a"): 50.0, ("c", "b"): 0.0, ("d", "c"): 100.0, ("e", "d"): 0.0, ("f", "e"): pytest.approx(100 / 3, abs=1e-4)}
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "page_id", "rev_id", "parent_rev_id").collect()
+    words = {d.doc_id: set(re.findall(r"[A-Za-z0-9_]+", d.text.lower())) for d in docs if d.text is not None and d.text.isascii()}
+    pairs = {(a.doc_id, b.doc_id): (words.get(a.doc_id), words.get(b.doc_id)) for a in docs for b in docs if a.parent_rev_id is not None and (a.parent_rev_id, a.page_id) == (b.rev_id, b.page_id)}
+    got = {(r.doc_id, r.parent_id): r.similarity for r in entry.queries()["token_jaccard_texts"](spark, small).collect()}
+    assert got.keys() == pairs.keys() and pairs
+    for key, (x, y) in pairs.items():
+        if x is not None and y is not None:
+            assert got[key] == pytest.approx(len(x & y) * 100 / len(x | y) if x | y else 100.0, abs=1e-4)
