@@ -45,6 +45,12 @@ def html_to_text(spark, root):
     return table(spark, root, "documents").where(~F.col("text").contains("&#")).select("doc_id", texts.html_to_text(F.col("text")).alias("plain"))
 
 
+@_add("html_to_text_all", None)
+def html_to_text_all(spark, root):
+    """Every document, numeric entities decoded too; a null text stays null."""
+    return table(spark, root, "documents").select("doc_id", texts.html_to_text(F.col("text")).alias("plain"))
+
+
 @_add("text_to_paragraphs", "SELECT doc_id, p AS paragraph FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10) || chr(10)), lambda x: " + _TRIM.format("x") + ")) AS p FROM documents) WHERE p <> ''")
 def text_to_paragraphs(spark, root):
     return table(spark, root, "documents").select("doc_id", F.explode(texts.paragraphs(F.col("text"))).alias("paragraph"))
@@ -93,6 +99,11 @@ def roman_numerals(spark, root):
     return table(spark, root, "part").where(F.col("p_size").between(1, 10)).select("p_size").distinct().select("p_size", texts.roman(F.col("p_size")).alias("roman"))
 
 
+@_add("roman_numerals_all", None)
+def roman_numerals_all(spark, root):
+    return table(spark, root, "part").select("p_size").distinct().select("p_size", texts.roman(F.col("p_size")).alias("roman"))
+
+
 @_add("token_jaccard", """WITH w AS (SELECT doc_id, page_id, rev_id, parent_rev_id, list_distinct(regexp_extract_all(lower(title || ' ' || coalesce(edit_note, '')), '[\\p{L}\\p{N}_]+')) AS t FROM documents WHERE title IS NOT NULL)
 SELECT a.doc_id, b.doc_id AS parent_id, round(CASE WHEN len(a.t) = 0 AND len(b.t) = 0 THEN 100 ELSE len(list_intersect(a.t, b.t)) * 100.0 / len(list_distinct(list_concat(a.t, b.t))) END, 4) AS similarity FROM w a JOIN w b ON a.parent_rev_id = b.rev_id AND a.page_id = b.page_id""")
 def token_jaccard(spark, root):

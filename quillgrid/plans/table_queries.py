@@ -201,6 +201,12 @@ def a1_codec(spark, root):
     return table(spark, root, "cells").where(F.col("col_no") < 26).select("cell_id", texts.a1(F.col("row_no"), F.col("col_no")).alias("address"))
 
 
+@_add("a1_codec_all", None)
+def a1_codec_all(spark, root):
+    """Every cell, columns of two and three letters too."""
+    return table(spark, root, "cells").select("cell_id", texts.a1(F.col("row_no"), F.col("col_no")).alias("address"))
+
+
 @_add("chart_value_range", "SELECT l_returnflag, least(min(l_extendedprice), 0) AS low, CASE WHEN abs(max(l_extendedprice) - least(min(l_extendedprice), 0)) < 1e-9 THEN least(min(l_extendedprice), 0) + 1 ELSE max(l_extendedprice) END AS high FROM lineitem GROUP BY l_returnflag")
 def chart_value_range(spark, root):
     return charts.axes(table(spark, root, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", "low", "high")

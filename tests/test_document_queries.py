@@ -52,3 +52,31 @@ def test_token_jaccard_of_whole_texts(spark, small, tmp_path):
     for key, (x, y) in pairs.items():
         if x is not None and y is not None:
             assert got[key] == pytest.approx(len(x & y) * 100 / len(x | y) if x | y else 100.0, abs=1e-4)
+
+
+def test_html_to_text_of_every_document(spark, small, tmp_path):
+    texts = {"a": "<p>A&#65;&#x42;</p>", "b": None, "c": "&#8364;&#128512;&#x1F600; &#0; &#xD800; &#99999999;x", "d": "", "e": "&amp;#65; &lt;b&gt;"}
+    spark.createDataFrame(list(texts.items()), "doc_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.plain for r in entry.queries()["html_to_text_all"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "AAB\n\n", "b": None, "c": "€😀😀 &#0; &#xD800; &#99999999;x", "d": "", "e": "&#65; <b>"}
+    assert entry.queries()["html_to_text_all"](spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
+
+
+def test_roman_numerals_of_every_size(spark, tmp_path):
+    def brute(n):
+        out = ""
+        for value, letters in [(1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")]:
+            out, n = out + letters * (n // value), n % value
+        return out
+
+    sizes = [*range(1, 51), 99, 444, 3999]
+    spark.createDataFrame([(n,) for n in [*sizes, 7, 40]], "p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(tuple(r) for r in entry.queries()["roman_numerals_all"](spark, str(tmp_path)).collect())
+    assert got == [(n, brute(n)) for n in sizes]
+
+
+def test_addresses_of_every_column(spark, tmp_path):
+    places = [(k, r, c) for k, (r, c) in enumerate([(0, 0), (8, 25), (9, 26), (0, 51), (0, 52), (0, 701), (0, 702), (0, 727), (0, 728), (99, 16383), (0, 18277)])]
+    spark.createDataFrame(places, "cell_id long, row_no int, col_no int").write.parquet(str(tmp_path / "cells.parquet"))
+    got = {r.cell_id: r.address for r in entry.queries()["a1_codec_all"](spark, str(tmp_path)).collect()}
+    assert got == {k: address(r, c) for k, r, c in places}
