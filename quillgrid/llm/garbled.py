@@ -2,16 +2,18 @@
 
 A swap (bytes of one code page read in another) substitutes letters; which swaps a source suffered
 is unknown. The model has letter bigrams of the languages at hand and, for each source (a document
-of a table), weights of the swaps, among them 'none'. Expectation-maximization learns both from all
-spans: words are explained by the swap under which they are likeliest (E), then bigrams are counted
-anew over the words so explained and each source's weights over its words (M). A source's
-byte-to-letter mapping is that of its swaps, in proportion to their weights; it is applied to a
-word with translate(). Code pages of single bytes give a substitution each, double-byte pages and
-UTF-8 read as single bytes give substitutions of byte groups; UTF-8 damage is undone in places and
-repeatedly, as it is often read wrongly more than once.
-
-Starting from known code pages rather than from arbitrary letter permutations is what lets sources
-of a handful of words be solved at all; a swap of pages outside SWAPS is not found.
+of a table), weights of the swaps, among them 'none'. Expectation-maximization learns both from the
+distinct words of all spans: each source's words are read softly under every swap (E), then bigrams
+are counted anew over the words so read and each source's weights over its words (M), until the
+number of damaged words settles. Code pages of single bytes give a substitution each, double-byte
+pages and UTF-8 read as single bytes give substitutions of byte groups; UTF-8 damage is undone in
+places and as often as it goes. Characters that no language writes (U+FFFD, C1 controls) are a swap
+of their own, under which any letter may have stood there.
+
+Known pages are where EM starts, as most sources have a handful of words only. A source whose words
+the other sources make unlikely, and no known page explains, gets a mapping of its own: EM over its
+pair counts learns each letter's emission over the characters shown (``solve_cipher``), and the
+mapping is applied with translate().
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections import Counter
 from collections.abc import Iterator
 from math import log
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillgrid.llm.lookalike import Lattice
 from quillgrid.session import cut
@@ -34,10 +37,9 @@ from quillgrid.session import cut
 READ = ("cp1252", "cp1251", "cp1250", "cp1253", "cp437", "cp850", "cp866", "mac_roman", "koi8_r")
 WRITTEN = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "cp1257", "cp1258", "cp437", "cp737", "cp850", "cp852", "cp866", "koi8_r", "iso8859_2", "iso8859_5", "iso8859_7", "mac_roman", "mac_cyrillic", "mac_latin2", "mac_greek")
 DOUBLE = ("euc_jp", "cp932", "gb18030", "big5", "cp949")
-NONE = ""
 _SPACE = re.compile(r"([ \t\r\n\f\v]+)")
 _ZERO_WIDTH = re.compile("[​-‏⁠﻿͏]")
-_CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
+_LOSS = re.compile("[\x80-\x84\x86-\x9f\ufffd]")
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _GAP = "\x01"
 _MARKS = "«»„“”‘’‚…–—¿¡\xa0"
@@ -120,10 +122,15 @@ _SYMBOLS = _Symbols()
 _CLASSES = frozenset("あア字한、\x02")
 
 
-def count_words(words: Counter) -> Counter:
-    """(first, second) symbols of words with '^' and '$' around them, and (class, character) behind a gap mark."""
+def count_words(words: dict[str, float]) -> Counter:
+    """(first, second) symbols of words with '^' and '$' around them, and (class, character) behind a gap mark.
+
+    Words with characters that no language writes are no text and are not counted.
+    """
     out: Counter = Counter()
     for word, n in words.items():
+        if _LOSS.search(word):
+            continue
         last = "^"
         for ch in word:
             s = symbol(ch)
@@ -138,7 +145,7 @@ def count_words(words: Counter) -> Counter:
 class Bigrams:
     """Log likelihood of words, smoothed towards how often symbols occur at all."""
 
-    SMOOTH, UNSEEN = 4.0, -15.0
+    SMOOTH, UNSEEN, CAPITALS = 4.0, -15.0, -4.0
 
     def __init__(self, counts: dict[tuple[str, str], float]):
         self.first: Counter = Counter()
@@ -174,6 +181,12 @@ class Bigrams:
         return ch in self.chars if s in _CLASSES else self.share.get(s, 0.0) > 0
 
     def word(self, word: str) -> float:
+        """Log likelihood of a word; one in capitals may be any word written so."""
+        if word.isupper() and len(word) > 1:
+            return max(self.spelt(word), self.spelt(word.lower()) + self.CAPITALS)
+        return self.spelt(word)
+
+    def spelt(self, word: str) -> float:
         last, score, memo = "^", 0.0, self.memo
         for ch in word:
             s = _SYMBOLS[ch]
@@ -184,28 +197,43 @@ class Bigrams:
             last = s
         return score + self.step(last, "$")
 
+    def lossy(self, word: str) -> float:
+        """As ``word``, where any character may have stood at those that are lost."""
+        last, score = "^", 0.0
+        for ch in word + "$":
+            if _LOSS.match(ch):
+                last = None
+                continue
+            s = "$" if ch == "$" else _SYMBOLS[ch]
+            score += self.step(last, s) if last else max(self.UNSEEN, log(self.share.get(s, 0.0) or 1e-9))
+            if s in _CLASSES:
+                score += self.chars.get(ch, self.UNSEEN)
+            last = s
+        return score
+
 
 #: Log odds that a run of characters forms a UTF-8 sequence by damage rather than by chance.
 FORM = 3.0
+#: Swap of characters that are lost: no language writes them, and any letter may have stood there.
+LOST = "lost"
 
 
 class Solver:
-    """Finds the swaps that explain a word better than 'none' does."""
-
-    def __init__(self, bigrams: Bigrams):
-        self.bigrams = bigrams
-        self.tables = list(_substitutions().items())
-        # of each character, the tables (as bits) that make it a letter or a mark of text, and a letter
-        self.fitting: dict[str, int] = {}
-        self.lettering: dict[str, int] = {}
-        for k, (_, table) in enumerate(self.tables):
+    """Readings of a word under the known swaps; what they are worth is for ``Bigrams`` to say."""
+
+    def __init__(self):
+        self.names, tables = [], []
+        for name, table in _substitutions().items():
+            self.names.append(name)
+            tables.append(table)
+        # of each character, what it becomes and by which tables (as bits)
+        self.becomes: dict[str, dict[str, int]] = {}
+        for k, table in enumerate(tables):
             for code, to in table.items():
                 if to.isalpha() or to in _MARKS:
-                    self.fitting[chr(code)] = self.fitting.get(chr(code), 0) | 1 << k
-                if to.isalpha():
-                    self.lettering[chr(code)] = self.lettering.get(chr(code), 0) | 1 << k
+                    into = self.becomes.setdefault(chr(code), {})
+                    into[to] = into.get(to, 0) | 1 << k
         self.lattice = Lattice({})
-        self.memo: dict[str, list[tuple[str, float, str]]] = {}
 
     def undo_utf8(self, word: str, page: str) -> str:
         """The word with every run that is UTF-8 read as ``page`` decoded."""
@@ -221,196 +249,412 @@ class Solver:
             at = m.end()
         return "".join([*out, word[at:]]) if out else word
 
-    def explanations(self, word: str) -> list[tuple[str, float, str]]:
-        """(swap, gain in log likelihood over 'none', restored word), of gains above 0."""
-        known = self.memo.get(word)
-        if known is not None:
-            return known
-        plain = _ZERO_WIDTH.sub("", word)
-        none = self.bigrams.word(plain)
-        found = []
+    def _utf8(self, plain: str) -> Iterator[tuple[str, str, float]]:
+        """Readings as UTF-8, undone as often as it goes; each undoing makes a word shorter, so this ends."""
         for page in PAGES:
             if not PAIRS[page].search(plain + "\xa0"):
                 continue
-            now, top, turns, runs = self.undo_utf8(plain, page), None, 0, 0
-            while now is not None and turns < 5:
-                if now == plain:
-                    break
-                turns += 1
-                # each decoded run is evidence of its own, as other text seldom has that form,
-                # if what it gives is a character that the texts have
-                fresh = [ch for ch in now if ch > "\x7f"]
-                if fresh and all(self.bigrams.knows(ch) for ch in fresh):
-                    runs += max(1, sum(ch not in plain for ch in fresh))
-                score = self.bigrams.word(now) + FORM * runs
-                top = max(top, (score, now)) if top else (score, now)
-                nested = {new for p in PAGES if PAIRS[p].search(now) and (new := self.undo_utf8(now, p)) != now}
-                now = max(nested, key=self.bigrams.word) if nested else None
-            if top and top[0] > none:
-                found.append((f"utf-8 as {page}", top[0] - none, top[1]))
-            elif top is None and plain[-1:] > "\x7f":
+            now = self.undo_utf8(plain, page)
+            if now == plain:
                 # a last byte that became a space: UTF-8 that ends too early
-                now = self.undo_utf8(plain + "\xa0", page)
-                if now != plain + "\xa0" and now.count("\xa0") < plain.count("\xa0") + 1 and (gain := self.bigrams.word(now) - none) > 0:
-                    found.append((f"utf-8 as {page}", gain, now))
-        high = [ch for ch in plain if ch > "\x7f"] if not plain.strip("\xa0").isascii() else []
-        if high and none < -2.0 * len(plain):
-            # a letter substitution: what comes out of it are letters, and marks of text
-            fit, letters = -1, 0
-            for ch in high:
-                fit &= self.fitting.get(ch, 0)
-                letters |= self.lettering.get(ch, 0)
-            fit &= letters
-            tried = set()
-            while fit:
-                swap, table = self.tables[(fit & -fit).bit_length() - 1]
-                fit &= fit - 1
-                new = plain.translate(table)
-                if new in tried:  # of swaps that read a word alike the first counts
-                    continue
-                tried.add(new)
-                if new != plain and (gain := self.bigrams.word(new) - none) > 0:
-                    found.append((swap, gain, new))
-            if len(high) >= 4:
-                for page in ("cp1252", "cp1251", "cp437", "mac_roman"):
-                    codes = PAGES[page]
-                    if all(ch in codes for ch in high):
-                        raw = bytes(codes.get(ch, ord(ch) & 127) for ch in plain)
-                        for double in DOUBLE:
-                            try:
-                                new = raw.decode(double)
-                            except UnicodeDecodeError:
-                                continue
-                            if new != plain and (gain := self.bigrams.word(new) - none) > 0:
-                                found.append((f"{double} as {page}", gain, new))
-        if found and (seen := self.lattice.form(word)) != plain:
-            # written with look-alikes of another script, a word is odd but no damage
-            less = max(0.0, self.bigrams.word(seen) - none)
-            found = [(swap, gain - less, new) for swap, gain, new in found if gain > less]
-        if len(self.memo) > 300_000:
-            self.memo.clear()
-        self.memo[word] = found
+                now = self.undo_utf8(plain + "\xa0", page) if plain[-1:] > "\x7f" else plain
+                if now != plain and now != plain + "\xa0" and now.count("\xa0") < plain.count("\xa0") + 1:
+                    yield f"utf-8 as {page}", now, 0.0
+                continue
+            seen, todo = {now}, [(now, 1)]
+            while todo:
+                now, turns = todo.pop()
+                fresh = sum(ch > "\x7f" and ch not in plain for ch in now)
+                yield f"utf-8 as {page}", now, FORM * (max(1, fresh) + turns - 1)
+                for other in PAGES:
+                    if PAIRS[other].search(now) and (new := self.undo_utf8(now, other)) not in seen:
+                        seen.add(new)
+                        todo.append((new, turns + 1))
+
+    def readings(self, word: str) -> list[tuple[str, str, float]]:
+        """(swap, reading, log odds of its form) of every swap that can have made the word.
+
+        A letter substitution gives letters and marks of text, at least one letter. Swaps that read the
+        word alike are all there: the source's other words tell which of them it suffered.
+        """
+        plain = _ZERO_WIDTH.sub("", word)
+        found = list(dict.fromkeys(self._utf8(plain)))
+        if _LOSS.search(word):
+            found.append((LOST, word, 0.0))
+        high = list(dict.fromkeys(ch for ch in plain if ch > "\x7f"))
+        if not high or all(ch == "\xa0" for ch in high):
+            return found
+        partial: list[tuple[int, dict[int, str]]] = [(-1, {})]
+        for ch in high:
+            into = self.becomes.get(ch, {})
+            partial = [(both, table | {ord(ch): to}) for fits, table in partial for to, by in into.items() if (both := fits & by)]
+        for fits, table in partial:
+            if not any(to.isalpha() for to in table.values()) or (new := plain.translate(table)) == plain:
+                continue
+            while fits:
+                low = fits & -fits
+                found.append((self.names[low.bit_length() - 1], new, 0.0))
+                fits ^= low
+        for page, codes in PAGES.items():
+            if all(ch in codes for ch in high):
+                raw = bytes(codes.get(ch, ord(ch) & 127) for ch in plain)
+                for double in DOUBLE:
+                    try:
+                        new = raw.decode(double)
+                    except UnicodeDecodeError:
+                        continue
+                    if new != plain:
+                        found.append((f"{double} as {page}", new, 0.0))
         return found
 
-    def best(self, word: str, weights: dict[str, float], base: dict[str, float], lone: float | None = None) -> tuple[str, str] | None:
-        """(swap, restored word) if a swap is likelier than 'none' under the source's log odds.
+    def alike(self, word: str) -> str:
+        """The word in letters of one script, where it is written with look-alikes of another."""
+        return self.lattice.form(word)
 
-        One substituted letter alone proves little: unless the source has the swap, such a word needs
-        the log odds ``lone``, or is left as it is if that is None.
-        """
-        top = None
-        single = sum(ch > "\x7f" for ch in _ZERO_WIDTH.sub("", word).replace("\xad", "")) == 1
-        for swap, gain, new in self.explanations(word):
-            odds = weights.get(swap)
-            if odds is None:
-                odds = base.get(swap, base[NONE])
-                if single:
-                    if lone is None:
-                        continue
-                    odds = min(odds, lone)
-            score = gain + odds
-            if score > 0 and (top is None or score > top[0]):
-                top = (score, swap, new)
-        return top and top[1:]
+
+#: Log odds of a swap against 'none' where nothing is known of the source, in the first and the later steps of EM (at
+#: first bigrams still hold the damage itself, so readings must not be asked too much), and of one substituted letter alone.
+START, LATER, LONE = -2.0, -6.0, -14.0
+#: EM ends where the expected number of damaged words moves by less than this share, or after so many steps.
+SETTLED, STEPS = 0.01, 6
+#: A source joins a swap with this many expected words at least.
+EVIDENCE = 0.5
+_READING = "array<struct<swap string, new string, form double>>"
+_SCORED = "word string, n double, entries array<struct<swap string, new string, gain double, base double>>"
 
 
 def spans_of(pdf_spans: DataFrame, styled_spans: DataFrame) -> DataFrame:
     """src, span_id, source and text of both tables; the source is the document within its table."""
     one = lambda df, src: df.select(F.lit(src).alias("src"), F.col("span_id").cast("long").alias("span_id"), F.concat_ws("/", F.lit(src), F.col("doc_key").cast("string")).alias("source"), F.col("text").cast("string").alias("text"))
-    return one(pdf_spans, "pdf_spans").unionByName(one(styled_spans, "styled_spans"))
+    return one(pdf_spans, "pdf_spans").unionByName(one(styled_spans, "styled_spans")).where(F.col("text").isNotNull())
+
 
+def _wide(text: str) -> Column:
+    return F.length(text) < F.octet_length(text)
 
-def _words(text: str | None) -> list[str]:
-    return text.split() if text and text.isascii() else [w for w in _SPACE.split(text) if w and not w.isspace()] if text else []
 
+def _words(spans: DataFrame, *keep: str) -> DataFrame:
+    return spans.select(*keep, F.explode(F.split("text", r"[ \t\r\n\x0b\f]+")).alias("word")).where(F.col("word") != "")
 
-def _collected(counted: DataFrame) -> dict[tuple[str, str], float]:
-    """Symbol pairs to the driver: at most the square of the symbols, in practice a few ten thousand."""
-    return {(r.a, r.b): float(r.n) for r in counted.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
 
+def _bigrams(weighted: DataFrame) -> dict[tuple[str, str], float]:
+    """Symbol pairs of (word, n), to the driver: at most the square of the symbols, in practice a few ten thousand."""
 
-def _first_counts(spans: DataFrame) -> Bigrams:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
-            words: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                words.update(_words(text))
-            total.update(count_words(words))
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in total], pa.string()), pa.array([b for _, b in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["a", "b", "n"])
+            total.update(count_words(dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))))
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in total], pa.string()), pa.array([b for _, b in total], pa.string()), pa.array(list(total.values()), pa.float64())], names=["a", "b", "n"])
 
-    return Bigrams(_collected(spans.where(F.col("text").isNotNull()).select("text").mapInArrow(run, "a string, b string, n long")))
+    rows = weighted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > 1e-6).mapInArrow(run, "a string, b string, n double")
+    return {(r.a, r.b): r.n for r in rows.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
 
 
-#: Log odds of any swap against 'none' where nothing is known of the source, by iteration: at first
-#: bigrams still hold the damage itself, so explanations must not be asked too much.
-START, LATER, LONE = -2.0, -6.0, -14.0
+def _read(words: DataFrame) -> DataFrame:
+    """Every word (word, n) once, with its readings under all swaps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        solver = Solver()
+        for batch in batches:
+            found = [[{"swap": s, "new": new, "form": form} for s, new, form in solver.readings(w)] for w in batch.column(0).to_pylist()]
+            alike = [solver.alike(w) if f else None for w, f in zip(batch.column(0).to_pylist(), found, strict=True)]
+            kind = pa.list_(pa.struct([("swap", pa.string()), ("new", pa.string()), ("form", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.string()), pa.array(found, kind)], names=["word", "n", "alike", "readings"])
+
+    return words.mapInArrow(run, f"word string, n double, alike string, readings {_READING}")
 
 
-def _expect(spans: DataFrame, bigrams: Bigrams, odds: float) -> DataFrame:
-    """E step over all spans: counts (kind 'pair': a, b) of the explained words, and (kind 'swap':
-    source, swap) of each source's words."""
+def gains(bigrams: Bigrams, word: str, alike: str | None, readings: list[tuple[str, str, float]], base: dict[str, float], other: float) -> list[tuple[str, str, float, float]]:
+    """(swap, reading, gain in log likelihood over 'none', log odds of the swap where the source shows none), of gains above 0.
 
+    ``other`` are the log odds of a swap that ``base`` does not name.
+    """
+    plain = _ZERO_WIDTH.sub("", word)
+    none = bigrams.word(plain)
+    # written with look-alikes of another script, a word is odd but no damage
+    less = max(0.0, bigrams.word(alike) - none) if alike is not None and alike != plain else 0.0
+    lone = sum(ch > "\x7f" for ch in plain.replace("\xad", "")) == 1
+    scores: dict[str, float] = {}
+    out = []
+    for swap, new, form in readings:
+        if swap == LOST:
+            out.append((swap, new, bigrams.lossy(plain) - none, 0.0))
+            continue
+        score = scores.get(new)
+        if score is None:
+            score = scores[new] = bigrams.word(new)
+        # a decoded run is evidence of its own only if what it gives is a character that the texts have
+        gain = score - none - less + (form if form and all(bigrams.knows(ch) for ch in new if ch > "\x7f") else 0.0)
+        if gain > 0:
+            odds = base.get(swap, other)
+            out.append((swap, new, gain, min(odds, LONE) if lone and not form else odds))
+    return out
+
+
+def _score(read: DataFrame, bigrams: Bigrams, base: dict[str, float], other: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        solver = Solver(bigrams)
-        pairs: Counter = Counter()
-        swaps: Counter = Counter()
-        base = {NONE: odds}
+        kind = pa.list_(pa.struct([("swap", pa.string()), ("new", pa.string()), ("gain", pa.float64()), ("base", pa.float64())]))
+        for batch in batches:
+            keep, found = [], []
+            for row, (word, alike, readings) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                got = gains(bigrams, word, alike, [(r["swap"], r["new"], r["form"]) for r in readings], base, other)
+                if got:
+                    keep.append(row)
+                    found.append([{"swap": s, "new": new, "gain": gain, "base": odds} for s, new, gain, odds in got])
+            chosen = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(found, kind)], names=["word", "n", "entries"])
+
+    return read.where(F.size("readings") > 0).mapInArrow(run, _SCORED)
+
+
+def _logits(counted: DataFrame, scored: DataFrame, odds: DataFrame | None) -> DataFrame:
+    """source, word, n and each reading's score: its gain and the log odds of its swap in the source.
+
+    Words of a source meet the distinct words' readings; Spark broadcasts those where they turn out
+    small and splits hot words in the sort-merge join otherwise.
+    """
+    rows = counted.join(scored.select("word", "entries"), "word")
+    known = F.create_map().cast("map<string,double>") if odds is None else F.col("odds")
+    if odds is not None:
+        rows = rows.join(odds, "source", "left")
+    return rows.select("source", "word", "n", F.transform("entries", lambda e: F.struct((e["gain"] + F.coalesce(F.try_element_at(known, e["swap"]), e["base"])).alias("score"), e["swap"].alias("swap"), e["new"].alias("new"))).alias("entries"))
+
+
+def _expect(counted: DataFrame, scored: DataFrame, odds: DataFrame | None) -> DataFrame:
+    """E step: source, word, swap, new and the expected number of the source's words so made."""
+    rows = _logits(counted, scored, odds)
+    top = F.greatest(F.lit(0.0), F.array_max(F.transform("entries", lambda e: e["score"])))
+    rows = rows.withColumn("top", top)
+    total = F.aggregate("entries", F.exp(-F.col("top")), lambda acc, e: acc + F.exp(e["score"] - F.col("top")))
+    rows = rows.withColumn("total", total).select("source", "word", "n", "top", "total", F.explode("entries").alias("e"))
+    return rows.select("source", "word", F.col("e.swap").alias("swap"), F.col("e.new").alias("new"), (F.col("n") * F.exp(F.col("e.score") - F.col("top")) / F.col("total")).alias("n")).where(F.col("n") > 1e-3)
+
+
+def learn(spans: DataFrame) -> dict:
+    """EM over the distinct words of all spans.
+
+    Words are counted by source in the JVM; readings are made once a distinct word. E: readings of each
+    source's words by bigrams and the source's swaps, softly. M: bigrams over the words so read, weights
+    of the swaps by source and over all. Only symbol pairs and totals by swap go to the driver; words
+    and weights of sources stay tables.
+    """
+    words = _words(spans, "source").select(F.when(_wide("word"), F.col("source")).alias("source"), "word").groupBy("source", "word").agg(F.count("*").cast("double").alias("n"))
+    spread = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a word: not to be coalesced
+    words = cut(words.repartition(spread, F.xxhash64("source", "word")))
+    counted = words.where(F.col("source").isNotNull())
+    distinct = cut(_read(counted.groupBy("word").agg(F.sum("n").alias("n")).repartition(spread, F.xxhash64("word"))))
+    ascii_pairs = _bigrams(words.where(F.col("source").isNull()).select("word", "n"))
+    totals = counted.groupBy("source").agg(F.sum("n").alias("words"))
+    every = totals.agg(F.sum("words")).first()[0] or 0.0
+
+    def merged(*parts: DataFrame) -> Bigrams:
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        pairs: Counter = Counter(ascii_pairs)
+        for key, n in _bigrams(rows).items():
+            pairs[key] += n
+        return Bigrams(pairs)
+
+    own = distinct.select("word", "n")
+    bigrams, odds, base, other, last = merged(own), None, {}, START, None
+    for _ in range(STEPS):
+        expected = cut(_expect(counted, _score(distinct, bigrams, base, other), odds))
+        found = {r.swap: r.n for r in expected.groupBy("swap").agg(F.sum("n").alias("n")).collect()}  # as many as there are swaps
+        bigrams = merged(own, expected.select("word", (-F.col("n")).alias("n")), expected.where(F.col("swap") != LOST).select(F.col("new").alias("word"), "n"))
+        now = sum(found.values())
+        clean = max(every - now, 0.0) + 0.01
+        whole = {s: (n + 0.01) / (every + 1.0) for s, n in found.items()}
+        none = clean / (every + 1.0)
+        base, other = {s: max(log(w / none), -9.0) for s, w in whole.items()}, -9.0
+        # a source's weight of a swap: its own words and as much of the whole as five words
+        own_swaps = expected.where(F.col("swap") != LOST).groupBy("source", "swap").agg(F.sum("n").alias("n"))
+        general = F.create_map(*[x for s, w in whole.items() for x in (F.lit(s), F.lit(float(w)))]) if whole else F.create_map().cast("map<string,double>")
+        prior = 5 * F.coalesce(F.try_element_at(general, F.col("swap")), F.lit(1e-6))
+        by_source = own_swaps.groupBy("source").agg(F.sum("n").alias("damaged")).join(totals, "source").select("source", (F.greatest(F.col("words") - F.col("damaged"), F.lit(0.0)) + 5 * none).alias("clean"))
+        each = own_swaps.where(F.col("n") >= EVIDENCE).join(by_source, "source").select("source", "swap", F.log((F.col("n") + prior) / F.col("clean")).alias("odds"))
+        odds = each.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("swap", "odds"))).alias("odds"))
+        if last is not None and abs(now - last) <= SETTLED * max(now, 1.0):
+            break
+        last = now
+    return {"bigrams": bigrams, "odds": odds, "base": base, "other": other, "counted": counted, "distinct": distinct, "expected": expected}
+
+
+#: Ciphers of sources: mean log likelihood of a step beside a high character below which a source's words are no text as
+#: they stand (seen by the other sources), steps and gain a letter needed, and the turns of EM.
+UNLIKELY, ENOUGH, PRICE, TURNS = -6.0, 150.0, 8.0, 60
+
+
+def _cipherable(word: str) -> bool:
+    return all(ch in _SHOWN for ch in word if ch > "\x7f")
+
+
+_SHOWN = frozenset(ch for page in PAGES.values() for ch in page)
+
+
+def _source_pairs(rest: DataFrame) -> DataFrame:
+    """source, a, b, n: pairs with a high character, of the words (source, word, n) that single-byte pages can show."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, str, str], float] = {}
+        spelt: dict[str, list] = {}
 
         def out() -> pa.RecordBatch:
-            keys = [*(("pair", a, b) for a, b in pairs), *(("swap", a, b) for a, b in swaps)]
-            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(3)]
-            done = pa.RecordBatch.from_arrays([*columns, pa.array([*pairs.values(), *swaps.values()], pa.int64())], names=["kind", "a", "b", "n"])
-            pairs.clear()
-            swaps.clear()
+            done = pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in total], pa.string()) for i in range(3)), pa.array(list(total.values()), pa.float64())], names=["source", "a", "b", "n"])
+            total.clear()
             return done
 
         for batch in batches:
-            words: Counter = Counter()
-            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for word in _words(text):
-                    if word.isascii():
-                        words[word] += 1
-                        continue
-                    found = solver.best(word, {}, base)
-                    if found is None:
-                        words[word] += 1 if "�" not in word and not _CONTROL.search(word) else 0
-                        swaps[source, NONE] += 1
-                    else:
-                        words[found[1]] += 1
-                        swaps[source, found[0]] += 1
-            pairs.update(count_words(+words))
-            if len(swaps) > 200_000:
+            for source, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                pairs = spelt.get(word)
+                if pairs is None:
+                    if len(spelt) > 100_000:
+                        spelt.clear()
+                    marked = "^" + "".join(symbol(ch) for ch in word) + "$"
+                    pairs = spelt[word] = [(a, b) for a, b in zip(marked, marked[1:], strict=False) if a > "\x7f" or b > "\x7f"] if _cipherable(word) else []
+                for a, b in pairs:
+                    total[source, a, b] = total.get((source, a, b), 0.0) + n
+            if len(total) > 200_000:
                 yield out()
         yield out()
 
-    return spans.where(F.col("text").isNotNull()).select("source", "text").mapInArrow(run, "kind string, a string, b string, n long")
+    return rest.select("source", "word", "n").mapInArrow(run, "source string, a string, b string, n double").groupBy("source", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def learn(spans: DataFrame) -> tuple[Bigrams, DataFrame, dict[str, float]]:
-    """Bigrams, log odds of swaps by source (source, odds map), and log odds over all sources.
+def solve_cipher(pairs: dict[tuple[str, str], float], bigrams: Bigrams) -> tuple[dict[str, str], float]:
+    """A source's mapping of high characters to letters, and its gain in log likelihood over 'none'.
 
-    Two EM steps over all spans. The sources' weights stay a table; only symbol pairs and the totals
-    of swaps (as many as there are swaps) go to the driver.
+    EM over the source's pair counts: both letters behind a pair are hidden, their bigrams are given, and
+    each letter's emission over the characters is learnt; ASCII stands for itself. Known pages and an even
+    start compete, the likeliest end is climbed up letter by letter. Size: the square of the symbols,
+    whatever the source holds.
+    """
+    shown = sorted({s for pair in pairs for s in pair})
+    high = [s for s in shown if s > "\x7f"]
+    # what bigrams know without this source
+    left = Counter(bigrams.pairs)
+    for key, n in pairs.items():
+        left[key] = max(0.0, left[key] - n)
+    without = Bigrams(left)
+    letters = sorted(s for s, share in without.share.items() if s > "\x7f" and s not in _CLASSES and share > 1e-7 and (s.isalpha() or s in _MARKS))
+    plain = [s for s in shown if s <= "\x7f"]
+    if not high or not letters:
+        return {}, 0.0
+    hidden, at = plain + letters, {s: k for k, s in enumerate(shown)}
+    logs = np.array([[without.step(a, b) for b in hidden] for a in hidden])
+    single = np.array([without.share.get(s, 0.0) + (without.first.get(s, 0.0) / (sum(without.first.values()) or 1.0) if s == "^" else 0.0) for s in hidden])
+    joint = single[:, None] * np.exp(logs)
+    counts = np.zeros((len(shown), len(shown)))
+    for (a, b), n in pairs.items():
+        counts[at[a], at[b]] = n
+    own = np.array([at[s] for s in plain], int)
+    free = np.array([at[s] for s in high], int)
+    p = len(plain)
+    climb = np.array([[without.step(a, b) for b in hidden] for a in hidden])
+    pages = [t for t in _substitutions().values() if sum(ord(ch) in t and t[ord(ch)] in letters for ch in high) >= 0.6 * len(high)]
+    rng = np.random.default_rng(5)
+    starts: list[np.ndarray] = []
+    for table in pages:
+        e = np.full((len(letters), len(high)), 0.02)
+        for k, ch in enumerate(high):
+            if table.get(ord(ch)) in letters:
+                e[letters.index(table[ord(ch)]), k] += 1.0
+        starts.append(e)
+    starts += [1.0 + rng.random((len(letters), len(high))) for _ in range(8)]
+
+    def worth(choice: np.ndarray) -> float:
+        full = np.empty(len(shown), int)
+        full[own] = np.arange(p)
+        full[free] = p + choice
+        return float((counts * climb[np.ix_(full, full)]).sum())
+
+    best: tuple[float, np.ndarray] | None = None
+    for e in starts:
+        e = e / e.sum(axis=1, keepdims=True)
+        for _ in range(TURNS):
+            emit = np.zeros((len(hidden), len(shown)))
+            emit[np.arange(p), own] = 1.0
+            emit[p:, free] = e
+            ratio = counts / np.maximum(emit.T @ joint @ emit, 1e-30)
+            gained = emit * (joint @ emit @ ratio.T + joint.T @ emit @ ratio)
+            e = gained[p:, free] + 1e-3
+            e = e / e.sum(axis=1, keepdims=True)
+        choice = (e * single[p:, None]).argmax(axis=0)
+        now = worth(choice)
+        for _ in range(6):
+            before = now
+            for k in range(len(high)):
+                for letter in range(len(letters)):
+                    if letter != choice[k]:
+                        old, choice[k] = choice[k], letter
+                        if (new := worth(choice)) > now:
+                            now = new
+                        else:
+                            choice[k] = old
+            if now <= before:
+                break
+        if best is None or now > best[0]:
+            best = (now, choice.copy())
+    none = sum(n * without.step(a, b) for (a, b), n in pairs.items())
+    return {ch: letters[k] for ch, k in zip(high, best[1], strict=True)}, best[0] - none
+
+
+def ciphers(learnt: dict) -> DataFrame:
+    """source and table (character to letter) of the sources with a cipher of no known swap.
+
+    What known swaps leave is counted as pairs by source, and a source is looked at whose pairs the
+    other sources make unlikely. Its mapping is kept if it gains PRICE for every letter.
     """
-    bigrams = _first_counts(spans)
-    counted = None
-    for odds in (START, LATER):
-        counted = cut(_expect(spans, bigrams, odds).groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
-        bigrams = Bigrams(_collected(counted.where(F.col("kind") == "pair")))
-    swaps = counted.where(F.col("kind") == "swap").select(F.col("a").alias("source"), F.col("b").alias("swap"), "n")
-    totals = {r.swap: r.n for r in swaps.groupBy("swap").agg(F.sum("n").alias("n")).collect()}
-    every = sum(totals.values()) + 1.0
-    # a source's weight of a swap: its own words and as much of the whole as five words
-    whole = {s: (totals.get(s, 0) + 0.01) / every for s in [*totals, NONE]}
-    none = whole[NONE]
-    base = {s: max(log(w / none), -9.0) for s, w in whole.items() if s != NONE} | {NONE: -9.0}
-    by_source = swaps.groupBy("source").agg(F.sum("n").alias("words"), F.collect_list(F.struct("swap", "n")).alias("all"))
-    clean = F.coalesce(F.get(F.filter("all", lambda x: x["swap"] == NONE), F.lit(0))["n"], F.lit(0))
-    general = F.create_map(*[x for s, w in whole.items() for x in (F.lit(s), F.lit(float(w)))])
-    of_one = lambda n, swap: n + 5 * F.coalesce(F.try_element_at(general, swap), F.lit(1e-6))
-    odds = F.map_from_entries(F.transform(F.filter("all", lambda x: x["swap"] != NONE), lambda x: F.struct(x["swap"], F.log(of_one(x["n"], x["swap"]) / of_one(clean, F.lit(NONE))))))
-    return bigrams, by_source.where(F.col("words") > clean).select("source", odds.alias("odds")), base
+    bigrams: Bigrams = learnt["bigrams"]
+    done = learnt["expected"].groupBy("source", "word").agg(F.sum("n").alias("done"))
+    rest = learnt["counted"].join(done, ["source", "word"], "left").select("source", "word", (F.col("n") - F.coalesce("done", F.lit(0.0))).alias("n")).where(F.col("n") > 0.5)
+    pairs = cut(_source_pairs(rest))
+    spark = pairs.sparkSession
+    # bounded by the square of the symbols
+    known = spark.createDataFrame(pd.DataFrame([(a, b, float(n), float(bigrams.first[a]), bigrams.share.get(b, 0.0)) for (a, b), n in bigrams.pairs.items()], columns=["a", "b", "pair", "first", "share"]), "a string, b string, pair double, first double, share double")
+    firsts = pairs.groupBy("source", "a").agg(F.sum("n").alias("of_first"))
+    others = F.greatest(F.coalesce("pair", F.lit(0.0)) - F.col("n"), F.lit(0.0)) + Bigrams.SMOOTH * F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(1e-7))
+    seen = pairs.join(F.broadcast(known), ["a", "b"], "left").join(firsts, ["source", "a"]).select("source", "n", F.greatest(F.log(others / (F.greatest(F.coalesce("first", F.lit(0.0)) - F.col("of_first"), F.lit(0.0)) + Bigrams.SMOOTH)), F.lit(Bigrams.UNSEEN)).alias("step"))
+    odd = seen.groupBy("source").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("step")) / F.sum("n")).alias("mean")).where((F.col("n") >= ENOUGH) & (F.col("mean") < UNLIKELY)).select("source")
+
+    def run(table: pa.Table) -> pa.Table:
+        source, *columns = (table.column(k).to_pylist() for k in range(4))
+        mapping, gain = solve_cipher({(a, b): n for a, b, n in zip(*columns, strict=True)}, bigrams)
+        kept = bool(mapping) and gain > PRICE * len(mapping)
+        return pa.table({"source": pa.array(source[:1] if kept else [], pa.string()), "chars": pa.array(["".join(mapping)] if kept else [], pa.string()), "letters": pa.array(["".join(mapping.values())] if kept else [], pa.string())})
+
+    return cut(pairs.join(odd, "source", "left_semi").groupBy("source").applyInArrow(run, "source string, chars string, letters string"))
+
+
+def damaged(spans: DataFrame) -> DataFrame:
+    """source, word, swap and reading of every word of a source that a swap or cipher explains better than 'none'."""
+    learnt = learn(spans)
+    scored = _score(learnt["distinct"], learnt["bigrams"], learnt["base"], learnt["other"])
+    rows = _logits(learnt["counted"], scored, learnt["odds"]).select("source", "word", F.array_max("entries").alias("e")).where(F.col("e.score") > 0)
+    known = rows.select("source", "word", "e.swap", "e.new")
+    tables = ciphers(learnt)
+    if tables.isEmpty():
+        return known
+    bigrams: Bigrams = learnt["bigrams"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for source, word, chars, letters in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = word.translate(str.maketrans(chars, letters))
+                if new != word and _cipherable(word):
+                    out.append((source, word, "learned", new))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(4)], names=["source", "word", "swap", "new"])
+
+    left = learnt["counted"].join(known.select("source", "word"), ["source", "word"], "left_anti").join(tables, "source").select("source", "word", "chars", "letters")
+    return known.unionByName(left.mapInArrow(run, "source string, word string, swap string, new string"))
+
+
+def found(pdf_spans: DataFrame, styled_spans: DataFrame) -> DataFrame:
+    """src and span_id of the garbled spans, each once: those with a damaged word of their source."""
+    spans = spans_of(pdf_spans, styled_spans)
+    words = _words(spans.where(_wide("text")), "src", "span_id", "source").where(_wide("word"))
+    return words.join(damaged(spans).select("source", "word"), ["source", "word"], "left_semi").select("src", "span_id").distinct()
 
 
 def restore(pdf_spans: DataFrame, styled_spans: DataFrame) -> DataFrame:
@@ -420,32 +664,16 @@ def restore(pdf_spans: DataFrame, styled_spans: DataFrame) -> DataFrame:
     or a word has no likelier reading, those words stay as they are. Null and empty texts are no
     cases; repeated spans are kept; a null document counts as a source of its own.
     """
-    spans = spans_of(pdf_spans, styled_spans).where(F.col("text").isNotNull() & F.col("text").rlike(r"[^\x00-\x7f]"))
-    bigrams, odds, base = learn(spans_of(pdf_spans, styled_spans))
+    spans = spans_of(pdf_spans, styled_spans)
+    words = _words(spans.where(_wide("text")), "src", "span_id", "source").where(_wide("word")).distinct()
+    hits = words.join(damaged(spans), ["source", "word"]).groupBy("src", "span_id").agg(F.collect_set(F.struct("word", "new")).alias("readings"), F.array_sort(F.collect_set("swap")).alias("swaps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        solver = Solver(bigrams)
         for batch in batches:
-            keep, texts, named = [], [], []
-            for row, (text, pairs) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                weights = dict(pairs) if pairs else {}
-                used, parts, lost = [], [], False
-                for part in _SPACE.split(text):
-                    if not part or part.isascii():
-                        parts.append(part)
-                        continue
-                    found = solver.best(part, weights, base, LONE)
-                    if found:
-                        used.append(found[0])
-                        part = found[1]
-                    lost = lost or "�" in part or _CONTROL.search(part) is not None
-                    parts.append(part)
-                if used or lost:
-                    keep.append(row)
-                    texts.append("".join(parts))
-                    named.append(sorted({*used, *(["lost"] if lost else [])}))
-            chosen = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(chosen) for k in range(3)), pa.array(texts, pa.string()), pa.array(named, pa.list_(pa.string()))], names=["src", "span_id", "text", "restored", "swaps"])
+            texts = []
+            for text, readings in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                table = {r["word"]: r["new"] for r in readings}
+                texts.append("".join(table.get(part, part) for part in _SPACE.split(text)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(texts, pa.string()), batch.column(4)], names=["src", "span_id", "text", "restored", "swaps"])
 
-    schema = T.StructType([T.StructField("src", T.StringType()), T.StructField("span_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("restored", T.StringType()), T.StructField("swaps", T.ArrayType(T.StringType()))])
-    return spans.join(odds, "source", "left").select("src", "span_id", "text", "odds").mapInArrow(run, schema)
+    return spans.join(hits, ["src", "span_id"]).select("src", "span_id", "text", "readings", "swaps").mapInArrow(run, "src string, span_id long, text string, restored string, swaps array<string>")

@@ -17,7 +17,7 @@ def p1_forms(spark, root):
 
 
 def p4_found(spark, root):
-    return garbled.restore(table(spark, root, "pdf_spans"), table(spark, root, "styled_spans")).select("src", "span_id")
+    return garbled.found(table(spark, root, "pdf_spans"), table(spark, root, "styled_spans"))
 
 
 def p4_restored(spark, root):

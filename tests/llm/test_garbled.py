@@ -68,5 +68,39 @@ def test_likelihoods():
     bigrams = gb.Bigrams(gb.count_words({"été": 20, "tête": 10, "12": 3, "学校": 2}))
     assert bigrams.word("été") > bigrams.word("etê") > bigrams.word("Ã©tÃ©") and bigrams.knows("é") and not bigrams.knows("Ã")
     assert gb.Bigrams({}).word("x") == 2 * gb.Bigrams.UNSEEN
-    solver = gb.Solver(bigrams)
+    solver = gb.Solver()
     assert solver.undo_utf8("Ã©tÃ©", "cp1252") == "été" and solver.undo_utf8("été", "cp1252") == "été"
+
+
+def test_readings_and_gains():
+    solver = gb.Solver()
+    thrice = "é"
+    for _ in range(7):
+        thrice = wrong(thrice, "utf-8", "cp1252")
+    assert "é" in {new for _, new, _ in solver.readings(thrice)}
+    assert ("cp932 as cp437", "値", 0.0) in solver.readings("値".encode("cp932").decode("cp437"))
+    assert {"cp1250 as cp1252", "iso8859_2 as cp1252"} & {swap for swap, new, _ in solver.readings("øeka") if new == "řeka"}
+    assert solver.readings("") == solver.readings("\xa0") == []
+    bigrams = gb.Bigrams(gb.count_words({"été": 20, "tête": 10, "l'hôtel": 9, "ОСТРОВ": 1, "остров": 9}))
+    assert [g[0] for g in gb.gains(bigrams, "h\ufffdtel", "h\ufffdtel", solver.readings("h\ufffdtel"), {}, -6.0)] == [gb.LOST]
+    assert gb.gains(bigrams, "été", "été", solver.readings("été"), {}, -6.0) == []
+    assert bigrams.word("ОСТРОВ") > bigrams.spelt("остров") + 2 * bigrams.CAPITALS
+
+
+def test_unlisted_swap_is_learnt(spark):
+    """Greek of a page in no list, read in another: the source's letters are learnt, restored by translate()."""
+    words = LANGUAGES["el"].split() + "νερό δρόμος ήλιος βιβλίο σχολείο κείμενο γραμμή γλώσσα μέρα νύχτα πόλη χώρα άνθρωπος γυναίκα άντρας παιδί σπίτι δέντρο ουρανός φωτιά".split()
+    text = lambda i: " ".join(words[(i * 7 + j * (1 + i % 5)) % len(words)] for j in range(8))
+    assert not any(n.startswith("cp869") for n in gb._substitutions())
+    shown = lambda b: chr(0x400 + b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252")
+    rows = [(i, f"fine{i % 40}", text(i)) for i in range(800)] + [(1000 + i, "odd", "".join(map(shown, text(3 * i + 1).encode("cp869")))) for i in range(60)]
+    df = spark.createDataFrame(rows, "span_id long, doc_key string, text string")
+    got = {r.span_id: r for r in gb.restore(df, df.limit(0)).collect()}
+    assert set(got) == {1000 + i for i in range(60)}
+    right = total = 0
+    for i in range(60):
+        for a, b in zip(text(3 * i + 1).split(), got[1000 + i].restored.split(), strict=True):
+            total += 1
+            right += a == b
+    assert right > 0.8 * total, (right, total, got[1000].restored, text(1))
+    assert {r.span_id for r in gb.found(df, df.limit(0)).collect()} == set(got)
