@@ -13,6 +13,7 @@ exists, so 'quoting', 'columns', 'age' and 'active' are the kinds of the most ex
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -105,97 +106,216 @@ def typed(kind: str, field: str) -> tuple[bool, object]:
     return low in _WORDS, low == "true" if low in _WORDS else None
 
 
+_TOKEN = re.compile(r'"|,|\n|[^",\n]+')
+_MARK = re.compile(r'[",\n]')
+_ATOM = re.compile(r"\s+|\S")
+_TYPED = re.compile(r"[0-9]|true|false", re.IGNORECASE)
+#: Atoms at each end of a long run that stand alone; a value of 64 bits, one of bool and the space around them are fewer.
+_EDGE = 32
+_TAKE, _DELETE, _DROP, _QUOTE, _DELIMITER = range(5)
+
+
+def _scarce(record: str, wanted: int) -> bool:
+    """Whether delimiters are missing wherever one quote edit, if one is needed, is made."""
+    size = len(record)
+    counts = [0, 0]  # delimiters outside and inside
+    inside = 0
+    for m in _MARK.finditer(record):
+        if m.group() == '"':
+            inside ^= 1
+        elif m.end() < size or m.group() == ",":
+            counts[inside] += 1
+    if not inside:
+        return counts[0] < wanted
+    # an edit turns all behind it over: inner delimiters count from there, outer ones until there
+    most = now = counts[1]
+    inside = 0
+    for m in _MARK.finditer(record):
+        if m.group() == '"':
+            inside ^= 1
+        elif m.end() < size or m.group() == ",":
+            now += -1 if inside else 1
+            most = max(most, now)
+    return most < wanted
+
+
+def _tokens(record: str, scarce: bool) -> Iterator[tuple[int, str]]:
+    """Places and texts of quotes, delimiters and the runs between them.
+
+    Where delimiters are scarce, runs in which one may be missing beside a value, or beside a quote, are taken apart
+    into characters and stretches of space; long ones at both ends only, as what lies between fits no value.
+    """
+    for m in _TOKEN.finditer(record):
+        at, text = m.start(), m.group()
+        if not scarce or len(text) == 1 or not (_TYPED.search(text) or '"' in (record[at - 1 : at], record[m.end() : m.end() + 1])):
+            yield at, text
+            continue
+        head, size = [], len(text)
+        for m in _ATOM.finditer(text):
+            if len(head) == _EDGE:
+                break
+            head.append((m.start(), m.group()))
+        upto = head[-1][0] + len(head[-1][1])
+        tail, low = [], size
+        while low > upto and len(tail) < _EDGE:
+            cut = low - 1
+            if text[cut].isspace():
+                while cut > upto and text[cut - 1].isspace():
+                    cut -= 1
+            tail.append((cut, text[cut:low]))
+            low = cut
+        middle = [(upto, text[upto:low])] if low > upto else []
+        for i, part in [*head, *middle, *reversed(tail)]:
+            yield at + i, part
+
+
+def _over(kind: str, state: str, text: str) -> str:
+    """Automaton state after a run."""
+    if kind == "text" or state == _BAD:
+        return state
+    if text.isspace():
+        return _step(kind, state, " ")
+    for ch in text:
+        state = _step(kind, state, ch)
+        if state == _BAD:
+            break
+    return state
+
+
 def cheapest(record: str, kinds: tuple[str, ...] = KINDS) -> tuple[tuple[int, int, int], list[tuple[str, int, str]], str]:
     """Cost (quote edits, delimiter edits, values given up), the edits and the mended record.
 
-    A state is (inside quotes, index of the field, automaton state of the field). The states of
-    one position are few, so the whole is linear in the length of the record.
+    A state is (inside quotes, index of the field, automaton state of the field); 2 for 'inside' stands
+    between the two quotes of a doubled one. A layer has the states after a token, a few dozen at most, so
+    the whole is linear in the record; a run that changes no state needs no layer, and back pointers are
+    two bytes a state. One quote edit is always enough (a quote may be added at the end), so dearer states
+    are left; delimiters are inserted only where too few stand.
     """
-    last = len(kinds) - 1
-    base = len(record) + 16
+    last, size = len(kinds) - 1, len(record)
+    base = size + 16
     quote, delim = base * base, base
-    start = (False, 0, "")
-    layer: dict[tuple, int] = {start: 0}
-    back: list[dict[tuple, tuple]] = []
-
-    def close(costs: dict, links: dict, at: int) -> None:
-        """Insertions at this position: a quote, or a delimiter that ends a field."""
-        for state in sorted(costs, key=costs.get):
-            cost = costs[state]
-            inside, k, auto = state
-            flipped = (not inside, k, auto)
-            if cost + quote < costs.get(flipped, 1 << 200):
-                costs[flipped] = cost + quote
-                links[flipped] = (state, ("insert quote", at, '"'), '"')
-        grew = True
-        while grew:
-            grew = False
-            for state in list(costs):
+    scarce = _scarce(record, last)
+    before, how, begins, upto = bytearray(), bytearray(), array("Q"), array("Q")
+
+    def close(layer: dict[tuple, int], links: dict[tuple, tuple]) -> dict[tuple, int]:
+        """The layer with insertions at its place, a quote or delimiters that end a field; its links are kept."""
+        for state, cost in list(layer.items()):
+            if cost < quote and state[0] != 2:
+                flipped = (1 - state[0], state[1], state[2])
+                if cost + quote < layer.get(flipped, 1 << 200):
+                    layer[flipped] = cost + quote
+                    links[flipped] = (state, _QUOTE)
+        if scarce:
+            for k in range(last):
+                best = None
+                for state, cost in layer.items():
+                    if state[1] == k and state[0] == 0:
+                        cost += delim + (not _accepts(kinds[k], state[2]))
+                        if best is None or cost < best[0]:
+                            best = (cost, state)
+                to = (0, k + 1, "")
+                if best and best[0] < layer.get(to, 1 << 200):
+                    layer[to] = best[0]
+                    links[to] = (best[1], _DELIMITER)
+        if len(layer) > 8:
+            # a value that is lost costs one at most, and one that is not yet lost may be
+            lost = {s[:2]: c for s, c in layer.items() if s[2] == _BAD}
+            least: dict[tuple, int] = {}
+            for s, c in layer.items():
+                if s[2] != _BAD:
+                    least[s[:2]] = min(c, least.get(s[:2], c))
+            used = {link[0] for link in links.values() if link[1] >= _QUOTE}
+            layer = {s: c for s, c in layer.items() if s in used or (c < least.get(s[:2], c + 1) if s[2] == _BAD else c <= lost.get(s[:2], c))}
+        return layer
+
+    def keep(layer: dict[tuple, int], links: dict[tuple, tuple], slots: dict[tuple, int]) -> dict[tuple, int]:
+        """Writes the layer's back pointers; the slots of its states."""
+        own = {state: k for k, state in enumerate(layer)}
+        begins.append(len(before))
+        for state in layer:
+            source, what = links[state]
+            before.append(own[source] if what >= _QUOTE else slots[source])
+            how.append(what)
+        return own
+
+    start = (0, 0, "")
+    links: dict[tuple, tuple] = {start: (start, _TAKE)}
+    layer = close({start: 0}, links)
+    slots = keep(layer, links, {start: 0})
+    upto.append(0)
+    for at, text in _tokens(record, scarce):
+        fresh: dict[tuple, int] = {}
+        links = {}
+        if text == '"':
+            doubled = record[at + 1 : at + 2] == '"'
+            for state, cost in layer.items():
                 inside, k, auto = state
-                if not inside and k < last:
-                    cost = costs[state] + delim + (not _accepts(kinds[k], auto))
-                    to = (False, k + 1, "")
-                    if cost < costs.get(to, 1 << 200):
-                        costs[to], grew = cost, True
-                        links[to] = (state, ("insert delimiter", at, ","), ",")
-
-    i, n = 0, len(record)
-    links: dict[tuple, tuple] = {}
-    close(layer, links, 0)
-    back.append(links)
-    pending: dict[int, dict] = {}
-    plinks: dict[int, dict] = {}
-
-    def offer(at: int, state: tuple, cost: int, link: tuple) -> None:
-        costs = pending.setdefault(at, {})
-        if cost < costs.get(state, 1 << 200):
-            costs[state] = cost
-            plinks.setdefault(at, {})[state] = link
-
-    layers = {0: layer}
-    while i < n:
-        ch = record[i]
-        for state, cost in layers.get(i, {}).items():
-            inside, k, auto = state
-            here = (i, state)
-            if ch == '"':
-                if inside and i + 1 < n and record[i + 1] == '"':
-                    offer(i + 2, (True, k, _step(kinds[k], auto, '"')), cost, (here, None, '""'))
+                if inside == 2:
+                    moves = (((1, k, auto), cost, _TAKE),)
                 else:
-                    offer(i + 1, (not inside, k, auto), cost, (here, None, '"'))
-                offer(i + 1, state, cost + quote, (here, ("delete quote", i, '"'), ""))
-            elif ch in ",\n" and not inside and not (ch == "\n" and i + 1 == n):
-                if k < last:
-                    offer(i + 1, (False, k + 1, ""), cost + (not _accepts(kinds[k], auto)), (here, None, ch))
-                offer(i + 1, state, cost + delim, (here, ("delete delimiter", i, ch), ""))
-            elif ch in "\r\n" and not inside:
-                offer(i + 1, state, cost, (here, None, ch))
-            else:
-                offer(i + 1, (inside, k, _step(kinds[k], auto, ch)), cost, (here, None, ch))
-        layers.pop(i, None)
-        i += 1
-        if i in pending:
-            costs, linked = pending.pop(i), plinks.pop(i)
-            close(costs, linked, i)
-            layers[i] = costs
-            back.append(linked)
-        else:
-            back.append({})
-    best, state = min(
-        (cost + (not _accepts(kinds[s[1]], s[2])), s) for s, cost in layers[n].items() if not s[0] and s[1] == last
-    )
-    edits, parts, at = [], [], n
-    while (at, state) != (0, start):
-        link = back[at][state]
-        if isinstance(link[0][0], bool):  # an insertion at the same position
-            edits.append(link[1])
-            parts.append(link[2])
-            state = link[0]
+                    after = (2, k, _step(kinds[k], auto, '"')) if inside and doubled else (1 - inside, k, auto)
+                    moves = ((after, cost, _TAKE), (state, cost + quote, _DELETE))
+                for to, cost, what in moves:
+                    if cost < fresh.get(to, 2 * quote):
+                        fresh[to] = cost
+                        links[to] = (state, what)
+        elif text == "," or text == "\n":
+            ends = text == "\n" and at + 1 == size
+            for state, cost in layer.items():
+                inside, k, auto = state
+                if inside:
+                    moves = (((1, k, _step(kinds[k], auto, text)), cost, _TAKE),)
+                elif ends:
+                    moves = ((state, cost, _DROP),)
+                else:
+                    moves = ((state, cost + delim, _DELETE),)
+                    if k < last:
+                        moves += (((0, k + 1, ""), cost + (not _accepts(kinds[k], auto)), _TAKE),)
+                for to, cost, what in moves:
+                    if cost < fresh.get(to, 2 * quote):
+                        fresh[to] = cost
+                        links[to] = (state, what)
         else:
-            if link[1]:
-                edits.append(link[1])
-            parts.append(link[2])
-            at, state = link[0]
+            plain = text.replace("\r", "") if "\r" in text else text
+            moved = False
+            for state, cost in layer.items():
+                inside, k, auto = state
+                run = text if inside else plain
+                to = (inside, k, _over(kinds[k], auto, run)) if run else state
+                moved = moved or to != state
+                if cost < fresh.get(to, 2 * quote):
+                    fresh[to] = cost
+                    links[to] = (state, _TAKE)
+            if not moved and not scarce:
+                upto[-1] = at + len(text)
+                continue
+        layer = close(fresh, links)
+        slots = keep(layer, links, slots)
+        upto.append(at + len(text))
+    best, state = min((cost + (not _accepts(kinds[s[1]], s[2])), s) for s, cost in layer.items() if s[0] == 0 and s[1] == last)
+    # back to front: a layer's insertions stand behind its token and the runs that need no layer
+    edits, parts, slot, level = [], [], slots[state], len(begins) - 1
+    while True:
+        entry = begins[level] + slot
+        what, slot, at = how[entry], before[entry], upto[level]
+        if what >= _QUOTE:
+            edits.append(("insert quote", at, '"') if what == _QUOTE else ("insert delimiter", at, ","))
+            parts.append(edits[-1][2])
+            continue
+        if level == 0:
+            parts.append(record[:at])
+            break
+        low = upto[level - 1]
+        text = record[low:at]
+        if what == _DELETE:
+            edits.append(("delete quote" if text[0] == '"' else "delete delimiter", low, text[0]))
+            text = text[1:]
+        elif what == _DROP and any(parts):
+            text = ""
+        elif text == "\n" and what == _TAKE and not any(parts):
+            text = ","  # a delimiter still, though nothing follows it any more
+        parts.append(text)
+        level -= 1
     return (best // quote, best % quote // delim, best % delim), edits[::-1], "".join(reversed(parts))
 
 

@@ -54,4 +54,18 @@ g AS (SELECT *, CASE WHEN missing THEN 'columns' WHEN odd THEN 'quoting' WHEN NO
 
 ORACLE = {
     "p2_found": _PARSED + "SELECT row_id, reason FROM g WHERE reason IS NOT NULL",
+    # a carriage return inside quotes belongs to the name
+    "p2_valid": _PARSED.replace(
+        "replace(record, chr(13), '') AS record FROM",
+        """array_to_string(list_transform(regexp_extract_all(record, '"(?:[^"]|"")*"|[^"]+|"'), lambda x: CASE WHEN x[1] = '"' THEN x ELSE replace(x, chr(13), '') END), '') AS record FROM""",
+    )
+    + rf"""SELECT row_id, file_id, line_no,
+  nullif(regexp_replace(replace(regexp_replace(n0, '"((?:[^"]|"")*)"', '\1', 'g'), '""', '"'), '^{_BLANK}+|{_BLANK}+$', '', 'g'), '') AS name,
+  try_cast(ltrim(nullif(age, ''), '+') AS BIGINT) AS age, CASE active WHEN 'true' THEN true WHEN 'false' THEN false END AS active FROM g WHERE reason IS NULL""",
+    "p3_found": """
+WITH RECURSIVE t AS (SELECT part_id, 0 AS depth, [0]::INTEGER[] AS path, node::JSON AS n FROM xml_parts WHERE json_type(node::JSON) = 'OBJECT'
+  UNION ALL SELECT part_id, depth + 1, list_append(path, k), x FROM (SELECT part_id, depth, path, unnest(kids) AS x, generate_subscripts(kids, 1)::INTEGER AS k FROM (
+    SELECT part_id, depth, path, CASE json_type(n, '$.children') WHEN 'ARRAY' THEN json_extract(n, '$.children[*]') WHEN 'OBJECT' THEN [json_extract(n, '$.children')] ELSE [] END AS kids FROM t)) WHERE json_type(x) = 'OBJECT'),
+o AS (SELECT part_id, path, row_number() OVER (PARTITION BY part_id ORDER BY path) - 1 AS node_no FROM t)
+SELECT c.part_id, p.node_no AS parent_no, c.node_no FROM o c JOIN o p ON p.part_id = c.part_id AND p.path = c.path[1:len(c.path) - 1] WHERE len(c.path) > 1""",
 }

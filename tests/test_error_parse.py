@@ -1,3 +1,4 @@
+import itertools
 import re
 
 from hypothesis import given, settings
@@ -73,6 +74,54 @@ def test_cost_gives_the_defined_reason(record):
         assert (reason(record) is not None) == bool(bad)
 
 
+def test_plain_pass_is_exact():
+    """Of every record over the critical characters, the plain pass says what the program says."""
+    for size in range(7):
+        for chars in itertools.product('1t",\n\r', repeat=size):
+            record = "".join(chars)
+            fields, inside = ep.plain_fields(record)
+            holds = not inside and len(fields) == 3 and all(ep.typed(k, f)[0] for k, f in zip(ep.KINDS, fields, strict=True))
+            assert holds == (ep.cheapest(record)[0] == (0, 0, 0)), record
+
+
+def brute(record, kinds=ep.KINDS):
+    """Cost of the cheapest parse by trying every quote edit and every subset of delimiters kept or inserted."""
+    best = None
+    marks = [i for i, ch in enumerate(record) if ch == '"']
+    changes = [record, *(record[:i] + record[i + 1 :] for i in marks), *(record[:i] + '"' + record[i:] for i in range(len(record) + 1))]
+    for text in changes:
+        if ep.plain_fields(text)[1]:
+            continue
+        for more in range(3):
+            for at in itertools.combinations_with_replacement(range(len(text) + 1), more):
+                new = text
+                for i in reversed(at):
+                    new = new[:i] + "," + new[i:]
+                fields, inside = ep.plain_fields(new)
+                if not inside and len(fields) == 3:
+                    cost = (text != record, more, sum(not ep.typed(k, f)[0] for k, f in zip(kinds, fields, strict=True)))
+                    best = min(best or cost, cost)
+    return best
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.text(alphabet='5t,"r ue', max_size=7))
+def test_cost_against_brute_force(record):
+    cost = brute(record)
+    if cost and (cost[1] or cost[0] == 0):  # records with too many delimiters are not tried above
+        assert ep.cheapest(record)[0] == cost
+
+
+def test_long_lost_quote():
+    """A lost quote that swallows a megabyte is put right where it stands."""
+    record = 'Bob "lost, ' + 'He said that, well, it was 5 or so\nand the rest came, "quoted" words. ' * 14_000 + ",5,true"
+    cost, edits, mended = ep.cheapest(record)
+    assert cost == (1, 0, 0) and len(edits) == 1 and len(record) > 900_000
+    fields, inside = ep.plain_fields(mended)
+    assert not inside and fields[1:] == ["5", "true"]
+    assert ep.cheapest("x" * 3_000_000 + " 5  true")[0] == (0, 2, 0)
+
+
 def test_long_record():
     assert reason("x" * 50_000 + ",1") == "columns"
 
