@@ -39,29 +39,38 @@ def encode_entities(text: Column, attribute: bool = False) -> Column:
     return _replaced(text, pairs + [('"', "&quot;"), ("'", "&apos;")] if attribute else pairs)
 
 
-def _numeric_entities(text: Column) -> Column:
-    """Decimal and hexadecimal entities by splitting at '&#'; unknown ones stay."""
-    def one(part: Column) -> Column:
-        dec = F.regexp_extract(part, r"\A([0-9]{1,7});", 1)
-        hexa = F.regexp_extract(part, r"\A[xX]([0-9A-Fa-f]{1,6});", 1)
-        code = F.when(dec != "", dec.try_cast("int")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("int"))
-        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        utf8 = (
-            F.when(code < 0x80, F.lpad(F.hex(code), 2, "0"))
-            .when(code < 0x800, F.concat(F.hex(F.lit(0xC0) + F.shiftright(code, 6)), F.hex(F.lit(0x80) + code.bitwiseAND(0x3F))))
-            .when(code < 0x10000, F.concat(F.hex(F.lit(0xE0) + F.shiftright(code, 12)), F.hex(F.lit(0x80) + F.shiftright(code, 6).bitwiseAND(0x3F)), F.hex(F.lit(0x80) + code.bitwiseAND(0x3F))))
-            .otherwise(F.concat(F.hex(F.lit(0xF0) + F.shiftright(code, 18)), F.hex(F.lit(0x80) + F.shiftright(code, 12).bitwiseAND(0x3F)), F.hex(F.lit(0x80) + F.shiftright(code, 6).bitwiseAND(0x3F)), F.hex(F.lit(0x80) + code.bitwiseAND(0x3F))))
-        )
-        return F.when(valid, F.concat(F.decode(F.unhex(utf8), "UTF-8"), F.regexp_replace(part, r"\A[xX]?[0-9A-Fa-f]+;", ""))).otherwise(F.concat(F.lit("&#"), part))
-
-    parts = F.split(text, "&#")
-    return F.when(text.contains("&#"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), one), ""))).otherwise(text)
+# The named entities that are decoded.
+ENTITIES = (("amp;", "&"), ("lt;", "<"), ("gt;", ">"), ("quot;", '"'), ("apos;", "'"))
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point, through its UTF-8 bytes."""
+    tail = lambda shift: F.hex(F.lit(0x80) + F.shiftright(code, shift).bitwiseAND(0x3F))
+    utf8 = (
+        F.when(code < 0x80, F.lpad(F.hex(code), 2, "0"))
+        .when(code < 0x800, F.concat(F.hex(F.lit(0xC0) + F.shiftright(code, 6)), tail(0)))
+        .when(code < 0x10000, F.concat(F.hex(F.lit(0xE0) + F.shiftright(code, 12)), tail(6), tail(0)))
+        .otherwise(F.concat(F.hex(F.lit(0xF0) + F.shiftright(code, 18)), tail(12), tail(6), tail(0)))
+    )
+    return F.decode(F.unhex(utf8), "UTF-8")
+
+
+def _entity(part: Column) -> Column:
+    """What follows an '&', with the entity it begins with decoded; an unknown one keeps its '&'."""
+    dec = F.regexp_extract(part, r"\A#([0-9]{1,7});", 1)
+    hexa = F.regexp_extract(part, r"\A#[xX]([0-9A-Fa-f]{1,6});", 1)
+    code = F.when(dec != "", dec.try_cast("int")).when(hexa != "", F.conv(hexa, 16, 10).try_cast("int"))
+    valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+    out = F.when(part.startswith("#") & valid, F.concat(_character(code), F.regexp_replace(part, r"\A#[xX]?[0-9A-Fa-f]+;", "")))
+    for name, ch in ENTITIES:
+        out = out.when(part.startswith(name), F.concat(F.lit(ch), F.substring(part, F.lit(len(name) + 1), F.length(part))))
+    return out.otherwise(F.concat(F.lit("&"), part))
 
 
 def decode_entities(text: Column) -> Column:
-    """amp, lt, gt, quot, apos and numeric entities; others stay as they are. Decoded once."""
-    plain = _replaced(text, [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")])
-    return _replaced(_numeric_entities(plain), [("&amp;", "&")])
+    """amp, lt, gt, quot, apos and numeric entities; others stay as they are. Each '&' is looked at once."""
+    parts = F.split(text, "&")
+    return F.when(text.contains("&"), F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _entity), ""))).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:

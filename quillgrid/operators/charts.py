@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions.numbers import axis_ticks, format_tick, parse_float
 
 #: Series colours in order.
-PALETTE = ("#004586", "#ff420e", "#ffd320", "#579d1c", "#7e0021", "#83caff", "#314004", "#aecf00")
+PALETTE = ("#4472C4", "#ED7D31", "#A5A5A5", "#FFC000", "#5B9BD5", "#70AD47", "#264478", "#9E480E")
 #: Chart kinds, the first that a chart has decides.
 MODES = ("doughnut", "pie", "bar", "scatter", "column")
 
@@ -51,6 +51,14 @@ def mode(kinds: Column) -> Column:
     return out
 
 
+#: Parts of a format code that make it one of dates.
+DATE_PARTS = ("yy", "mmm", "dd", "/yy", "h:mm", "d-m")
+
+
 def is_date_format(code: Column) -> Column:
-    low = F.lower(F.regexp_replace(code, r'"[^"]*"|\[[^\]]*\]', ""))
-    return low.rlike("[ymdhs]") & ~low.rlike("general")
+    """Whether a cache's format code shows dates or times; a null one does not."""
+    low = F.lower(code)
+    out = F.lit(False)
+    for part in DATE_PARTS:
+        out = out | low.contains(part)
+    return F.coalesce(out, F.lit(False))

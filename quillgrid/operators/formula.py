@@ -814,3 +814,10 @@ def aggregate(name: str, column: Column, kind: str, dialect: str = SHEET) -> Col
         truth = F.coalesce(column, F.lit(False)) if kind == "bool" else F.coalesce(value != 0, F.lit(False)) if kind == "number" else F.coalesce(column != "", F.lit(False))
         return F.coalesce(F.bool_and(truth), F.lit(True)) if name == "AND" else F.coalesce(F.bool_or(truth), F.lit(False))
     raise Unsupported(f"unknown function: {name}")
+
+
+def average_cells(kind: Column, num: Column, flag: Column) -> Column:
+    """AVERAGE in the workbook dialect over cells as rows: booleans add to the sum but not to the count; null without numbers."""
+    numbers_ = F.when(kind == "number", num)
+    total = F.coalesce(F.sum(numbers_), F.lit(0.0)) + F.coalesce(F.sum(F.when(kind == "bool", flag.cast("int"))), F.lit(0))
+    return F.try_divide(total, F.nullif(F.count(numbers_), F.lit(0)))

@@ -79,24 +79,25 @@ def recalculated(sheets: dict[str, list[tuple]]) -> dict[str, list[tuple]]:
     return {sheet: [fresh(sheet, cell) for cell in rows] for sheet, rows in sheets.items()}
 
 
-def _shown(ev: Evaluator | None, sheet: str, cell: tuple) -> str:
-    r, c, kind, value, num, flag = cell
+def _shown(ev: Evaluator | None, sheet: str, cell: tuple, error: str = "") -> str:
+    r, c, kind, value, num, flag = cell[:6]
     if kind == "formula" and ev:
         return ev.to_text(ev.cell(sheet, r, c))
-    return "=" + (value or "") if kind == "formula" else display_number(num) if kind == "number" else str(bool(flag)).upper() if kind == "bool" else value or ""
+    if kind == "error":
+        return error + (value or "")
+    return "=" + (value or "") if kind == "formula" else display_number(num) if kind == "number" else str(bool(flag)).lower() if kind == "bool" else value or ""
 
 
-def _grid(sheet: str, rows: list[tuple], ev: Evaluator | None) -> list[list[str]]:
+def _grid(sheet: str, rows: list[tuple], ev: Evaluator | None, error: str = "") -> list[list[str]]:
     if not rows:
         return []
-    by = {(x[0], x[1]): _shown(ev, sheet, x) for x in rows}
+    by = {(x[0], x[1]): _shown(ev, sheet, x, error) for x in rows}
     height, width = max(k[0] for k in by) + 1, max(k[1] for k in by) + 1
     return [[by.get((r, c), "") for c in range(width)] for r in range(height)]
 
 
 def _csv(grid: list[list[str]]) -> str:
-    field = lambda t: '"' + t.replace('"', '""') + '"' if any(x in t for x in ', "\n') else t
-    return "\n".join(",".join(map(field, row)) for row in grid)
+    return "\n".join(",".join(map(sinks.csv_text, row)) for row in grid)
 
 
 def pdf_bytes(lines: list[str], a_page: int = 54) -> bytes:
@@ -178,7 +179,7 @@ def convert(data: bytes, source: str | None, target: str, title: str = "") -> by
         if target in ("xlsx", "ods"):
             return (sinks.xlsx_bytes if target == "xlsx" else sinks.ods_bytes)(recalculated(sheets))
         ev = evaluated(sheets) if target == "html" else None
-        grids = {s: _grid(s, rows, ev) for s, rows in sheets.items()}
+        grids = {s: _grid(s, rows, ev, sinks.CSV_ERROR if target == "csv" else "") for s, rows in sheets.items()}
         if target == "csv":
             return _csv(next(iter(grids.values()), [])).encode()
         tables = [{"kind": "table", "rows": g} for g in grids.values() if g]

@@ -40,15 +40,19 @@ def entity_decode(spark, root):
     return table(spark, root, "documents").select("doc_id", texts.decode_entities(texts.encode_entities(F.col("text"), True)).alias("text"))
 
 
-@_add("html_to_text", r"SELECT doc_id, replace(replace(replace(replace(replace(replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '<br>', chr(10)), '<br/>', chr(10)), '<br />', chr(10)), '</p>', chr(10) || chr(10)), '</div>', chr(10)), '<li>', '- '), '</li>', chr(10)), '</h1>', chr(10) || chr(10)), '</h2>', chr(10) || chr(10)), '</h3>', chr(10) || chr(10)), '(?s)<[^>]*(>|\z)', '', 'g'), '>', ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&apos;', chr(39)), '&amp;', '&') AS plain FROM documents WHERE text NOT LIKE '%&#%'".replace("'\"\"'", "'\"'"))
+@_add("html_to_text", r"SELECT doc_id, replace(replace(replace(replace(replace(replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(text, '<br>', chr(10)), '<br/>', chr(10)), '<br />', chr(10)), '</p>', chr(10) || chr(10)), '</div>', chr(10)), '<li>', '- '), '</li>', chr(10)), '</h1>', chr(10) || chr(10)), '</h2>', chr(10) || chr(10)), '</h3>', chr(10) || chr(10)), '(?s)<[^>]*(>|\z)', '', 'g'), '>', ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&apos;', chr(39)), '&amp;', '&') AS plain FROM documents".replace("'\"\"'", "'\"'"))
 def html_to_text(spark, root):
-    return table(spark, root, "documents").where(~F.col("text").contains("&#")).select("doc_id", texts.html_to_text(F.col("text")).alias("plain"))
+    return table(spark, root, "documents").select("doc_id", texts.html_to_text(F.col("text")).alias("plain"))
 
 
-@_add("html_to_text_all", None)
-def html_to_text_all(spark, root):
-    """Every document, numeric entities decoded too; a null text stays null."""
-    return table(spark, root, "documents").select("doc_id", texts.html_to_text(F.col("text")).alias("plain"))
+@_add("entity_numeric", "SELECT box_id, text, '&#38;amp; ' || text AS once FROM text_boxes WHERE text IS NOT NULL AND text NOT LIKE '%&%'")
+def entity_numeric(spark, root):
+    """Every character as a numeric entity, decimal or hexadecimal, and back; what an entity gives is not decoded again."""
+    boxes = table(spark, root, "text_boxes").where(F.col("text").isNotNull() & ~F.col("text").contains("&"))
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10)
+    numbered = F.array_join(F.transform(chars, lambda c, i: F.when(i % 2 == 0, F.concat(F.lit("&#"), code(c), F.lit(";"))).otherwise(F.concat(F.lit("&#x"), F.lower(F.conv(code(c), 10, 16)), F.lit(";")))), "")
+    return boxes.select("box_id", texts.decode_entities(numbered).alias("text"), texts.decode_entities(F.concat(F.lit("&#38;#38;amp; "), "text")).alias("once"))
 
 
 @_add("text_to_paragraphs", "SELECT doc_id, p AS paragraph FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10) || chr(10)), lambda x: " + _TRIM.format("x") + ")) AS p FROM documents) WHERE p <> ''")
@@ -67,24 +71,14 @@ def md_block_kinds(spark, root):
     return lines.select(texts.block_kind(F.col("line")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@_add("text_transform", "SELECT box_id, upper(text) AS upper, reverse(text) AS backwards, lower(text) AS lower FROM text_boxes WHERE text IS NULL OR regexp_full_match(text, '[\\x00-\\x7f]*')")
+@_add("text_transform", "SELECT box_id, upper(replace(text, 'ß', 'SS')) AS upper, CASE WHEN text = '' THEN '' ELSE array_to_string(list_transform(range(CAST(length(text) AS BIGINT), 0, -1), lambda i: text[i]), '') END AS backwards, lower(text) AS lower FROM text_boxes")
 def text_transform(spark, root):
-    """The boxes that the SQL can judge: beyond ASCII its case and reversal are others. ``text_transform_all`` has every box."""
-    return _transformed(table(spark, root, "text_boxes").where(F.col("text").isNull() | F.col("text").rlike(r"\A[\x00-\x7f]*\z")))
-
-
-@_add("text_transform_all", None)
-def text_transform_all(spark, root):
     """Every text box: case by Unicode, reversal by code points."""
-    return _transformed(table(spark, root, "text_boxes"))
-
-
-def _transformed(boxes):
     t = F.col("text")
-    return boxes.select("box_id", transform(t, "uppercase").alias("upper"), transform(t, "reverse").alias("backwards"), transform(t, "lowercase").alias("lower"))
+    return table(spark, root, "text_boxes").select("box_id", transform(t, "uppercase").alias("upper"), transform(t, "reverse").alias("backwards"), transform(t, "lowercase").alias("lower"))
 
 
-@_add("title_case", None)
+@_add("title_case", r"SELECT box_id, array_to_string(list_transform(regexp_extract_all(text, '[ \t\n\x0b\f\r]+|[^ \t\n\x0b\f\r]+'), lambda w: CASE WHEN w[1] = 'ß' THEN 'SS' ELSE upper(w[1]) END || lower(w[2:])), '') AS title FROM text_boxes")
 def title_case(spark, root):
     return table(spark, root, "text_boxes").select("box_id", transform(F.col("text"), "titlecase").alias("title"))
 
@@ -94,27 +88,14 @@ def slug(spark, root):
     return table(spark, root, "office_docs").select("doc_key", texts.slug(F.col("title")).alias("slug"))
 
 
-@_add("roman_numerals", "SELECT DISTINCT p_size, list_element(['i','ii','iii','iv','v','vi','vii','viii','ix','x'], p_size) AS roman FROM part WHERE p_size BETWEEN 1 AND 10")
+@_add("roman_numerals", "SELECT DISTINCT p_size, ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][p_size // 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][p_size % 10 + 1] AS roman FROM part")
 def roman_numerals(spark, root):
-    return table(spark, root, "part").where(F.col("p_size").between(1, 10)).select("p_size").distinct().select("p_size", texts.roman(F.col("p_size")).alias("roman"))
-
-
-@_add("roman_numerals_all", None)
-def roman_numerals_all(spark, root):
     return table(spark, root, "part").select("p_size").distinct().select("p_size", texts.roman(F.col("p_size")).alias("roman"))
 
 
-@_add("token_jaccard", """WITH w AS (SELECT doc_id, page_id, rev_id, parent_rev_id, list_distinct(regexp_extract_all(lower(title || ' ' || coalesce(edit_note, '')), '[\\p{L}\\p{N}_]+')) AS t FROM documents WHERE title IS NOT NULL)
+@_add("token_jaccard", """WITH w AS (SELECT doc_id, page_id, rev_id, parent_rev_id, list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{Nd}\\p{Nl}\\p{M}\\p{Pc}\\x{200c}\\x{200d}]+')) AS t FROM documents)
 SELECT a.doc_id, b.doc_id AS parent_id, round(CASE WHEN len(a.t) = 0 AND len(b.t) = 0 THEN 100 ELSE len(list_intersect(a.t, b.t)) * 100.0 / len(list_distinct(list_concat(a.t, b.t))) END, 4) AS similarity FROM w a JOIN w b ON a.parent_rev_id = b.rev_id AND a.page_id = b.page_id""")
 def token_jaccard(spark, root):
-    """Likeness of titles and notes of every revision and the one it follows: an equi-join on the revision."""
-    d = table(spark, root, "documents").where(F.col("title").isNotNull()).select("doc_id", "page_id", "rev_id", "parent_rev_id", F.concat("title", F.lit(" "), F.coalesce("edit_note", F.lit(""))).alias("t"))
-    parent = d.select(F.col("doc_id").alias("parent_id"), F.col("page_id").alias("p_page"), F.col("rev_id").alias("p_rev"), F.col("t").alias("p_t"))
-    return d.join(parent, (F.col("parent_rev_id") == F.col("p_rev")) & (F.col("page_id") == F.col("p_page"))).select("doc_id", "parent_id", F.round(texts.token_jaccard(F.col("t"), F.col("p_t")), 4).alias("similarity"))
-
-
-@_add("token_jaccard_texts", None)
-def token_jaccard_texts(spark, root):
     """Likeness of the whole texts of every revision and the one it follows, a null text as an empty one."""
     d = table(spark, root, "documents").select("doc_id", "page_id", "rev_id", "parent_rev_id", F.coalesce("text", F.lit("")).alias("t"))
     parent = d.select(F.col("doc_id").alias("parent_id"), F.col("page_id").alias("p_page"), F.col("rev_id").alias("p_rev"), F.col("t").alias("p_t"))
@@ -172,12 +153,19 @@ def latest_cells(spark, root):
     return recalc.latest(table(spark, root, "cells"))
 
 
-@_add("sheet_grid_csv", None)
+_GRID = """WITH l AS (SELECT * FROM (SELECT doc_key, coalesce(sheet, '#' || CAST(sheet_no AS VARCHAR)) AS sheet, row_no, col_no, kind, value, num, flag, row_number() OVER (PARTITION BY doc_key, sheet_no, row_no, col_no ORDER BY loaded_at DESC, cell_id DESC) AS place FROM cells) WHERE place = 1),
+s AS (SELECT doc_key, sheet, coalesce(max(row_no) FILTER (kind <> 'empty'), 0) AS rows, coalesce(max(col_no) FILTER (kind <> 'empty'), 0) AS cols, count(*) FILTER (kind <> 'empty') AS cells FROM l GROUP BY ALL),
+g AS (SELECT doc_key, sheet, cells, cols, r AS row_no, k AS col_no FROM s, unnest(range(rows + 1)) a(r), unnest(range(cols + 1)) b(k)),
+t AS (SELECT g.doc_key, g.sheet, g.cells, g.cols, g.row_no, g.col_no, kind, coalesce(CASE kind WHEN 'number' THEN regexp_replace(CAST(num AS VARCHAR), '[.]0$', '') WHEN 'bool' THEN CAST(flag AS VARCHAR) WHEN 'formula' THEN '=' || value ELSE value END, '') AS v FROM g LEFT JOIN l ON l.doc_key = g.doc_key AND l.sheet = g.sheet AND l.row_no = g.row_no AND l.col_no = g.col_no)
+"""
+
+
+@_add("sheet_grid_csv", _GRID + """SELECT doc_key, sheet, row_no, string_agg(CASE WHEN contains(f, ',') OR contains(f, '"') OR contains(f, chr(10)) THEN '"' || replace(f, '"', '""') || '"' ELSE f END, ',' ORDER BY col_no) AS line FROM (SELECT *, CASE WHEN kind = 'error' THEN '#ERR ' || v ELSE v END AS f FROM t) GROUP BY doc_key, sheet, row_no""")
 def sheet_grid_csv(spark, root):
     return sinks.csv_lines(recalc.latest(table(spark, root, "cells")))
 
 
-@_add("sheet_grid_markdown", None)
+@_add("sheet_grid_markdown", _GRID + """SELECT doc_key, sheet, row_no, CASE WHEN min(cells) = 0 THEN '(empty sheet)' ELSE '| ' || string_agg(replace(v, '|', '\\|'), ' | ' ORDER BY col_no) || ' |' || CASE WHEN row_no = 0 THEN chr(10) || '|' || repeat(' --- |', min(cols) + 1) ELSE '' END END AS line FROM t GROUP BY doc_key, sheet, row_no""")
 def sheet_grid_markdown(spark, root):
     return sinks.markdown_lines(recalc.latest(table(spark, root, "cells")))
 

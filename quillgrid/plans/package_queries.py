@@ -16,6 +16,7 @@ QUERIES = {}
 ORACLE: dict[str, str] = {}
 
 _CELLS = [(0, 0, "text", "Item", None, None), (0, 1, "text", "Qty", None, None), (1, 0, "text", "Pen & ink", None, None), (1, 1, "number", None, 2.0, None), (2, 0, "bool", None, None, True), (2, 1, "formula", "B2*21", 42.0, None)]
+_ODD = [(0, 0, "text", "a b", None, None), (0, 1, "bool", None, None, True), (0, 2, "error", "#DIV/0!", None, None), (0, 3, "text", "x, y", None, None), (0, 4, "text", 'say "hi"', None, None), (0, 5, "text", "two\nlines", None, None)]
 _BLOCKS = [("heading", 1, None, "Title"), ("paragraph", None, None, "One & two"), ("list", None, False, "item"), ("table", None, None, "a\tb")]
 _SVG = b'<svg xmlns="http://www.w3.org/2000/svg"><rect x="1mm" y="2mm" width="3mm" height="4mm"/><ellipse cx="10mm" cy="10mm" rx="2mm" ry="1mm"/><line x1="0mm" y1="0mm" x2="5mm" y2="6mm"/></svg>'
 
@@ -56,7 +57,7 @@ def ods_cells(spark, root):
     return packages.read_cells(_files(spark, {"a.ods": sinks.ods_bytes({"One": _CELLS}, header=True)})).select("sheet", "row_no", "col_no", "kind", "value", "num", "flag")
 
 
-@_add("docx_blocks", "block_no, kind, level, text", [(0, "heading", 1, "Title"), (1, "paragraph", None, "One & two"), (2, "paragraph", None, "item"), (3, "table", None, "a\tb")])
+@_add("docx_blocks", "block_no, kind, level, text", [(0, "heading", 1, "Title"), (1, "paragraph", None, "One & two"), (2, "paragraph", None, "• item"), (3, "table", None, "a\tb")])
 def docx_blocks(spark, root):
     return packages.read_blocks(_files(spark, {"a.docx": sinks.docx_bytes(_BLOCKS)})).select("block_no", "kind", "level", "text")
 
@@ -134,14 +135,25 @@ def latex_flatten(spark, root):
     return df.select("latex", F.udf(lambda t: markup.flat_math(markup.parse_latex(t)), "string")("latex").alias("flat"), F.udf(lambda t: markup.mathml(markup.parse_latex(t)), "string")("latex").alias("mathml"))
 
 
-@_add("conversion_routes", "source, family, target", convert.routes())
+# Every route, written out.
+_ROUTES = """
+md txt html docx odt pdf doc : text : txt md html docx odt pdf
+csv xlsx ods : spreadsheet : csv md html xlsx ods
+pptx odp : presentation : txt md html
+odg svg : drawing : svg txt
+latex : formula : mathml txt
+odb : database : csv html odb
+"""
+
+
+@_add("conversion_routes", "source, family, target", [(source, family.strip(), to) for line in _ROUTES.split("\n") if line for sources, family, targets in [line.split(":")] for source in sources.split() for to in targets.split()])
 def conversion_routes(spark, root):
     return convert.route_table(spark)
 
 
-@_add("convert_batch", "path, content", [("a.xlsx", "Item,Qty\n\"Pen & ink\",2\nTRUE,=B2*21"), ("b.ods", "Item,Qty\n\"Pen & ink\",2\nTRUE,=B2*21")])
+@_add("convert_batch", "path, content", [("a.xlsx", "Item,Qty\nPen & ink,2\ntrue,=B2*21"), ("b.ods", "Item,Qty\nPen & ink,2\ntrue,=B2*21"), ("c.xlsx", "a b,true,#ERR #DIV/0!,\"x, y\",\"say \"\"hi\"\"\",\"two\nlines\"")])
 def convert_batch(spark, root):
-    done = convert.convert_files(_files(spark, {"a.xlsx": sinks.xlsx_bytes({"S": _CELLS}), "b.ods": sinks.ods_bytes({"S": _CELLS})}), "csv")
+    done = convert.convert_files(_files(spark, {"a.xlsx": sinks.xlsx_bytes({"S": _CELLS}), "b.ods": sinks.ods_bytes({"S": _CELLS}), "c.xlsx": sinks.xlsx_bytes({"S": _ODD})}), "csv")
     return done.select("path", F.decode("content", "UTF-8").alias("content"))
 
 

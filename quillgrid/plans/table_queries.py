@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from quillgrid.functions import numbers, texts
 from quillgrid.operators import charts, sessionlog
-from quillgrid.operators.formula import SHEET, WORKBOOK, Compiler, aggregate
+from quillgrid.operators.formula import SHEET, WORKBOOK, Compiler, aggregate, average_cells
 from quillgrid.plans import dialect
 from quillgrid.session import table
-from quillgrid.sources import delimited
+from quillgrid.sources import delimited, sinks
 from quillgrid.streaming import events as event_stream
 
 QUERIES = {}
@@ -107,8 +107,7 @@ def agg_minmax_blank(spark, root):
 def agg_workbook_average_mixed(spark, root):
     """Booleans add to the sum but not to the count."""
     cells = table(spark, root, "cells").where(F.col("kind").isin("number", "bool"))
-    total = F.coalesce(F.sum("num"), F.lit(0.0)) + F.coalesce(F.sum(F.col("flag").cast("int")), F.lit(0))
-    return cells.groupBy("doc_key").agg(F.round(F.try_divide(total, F.nullif(F.count("num"), F.lit(0))), 6).alias("average"))
+    return cells.groupBy("doc_key").agg(F.round(average_cells(F.col("kind"), F.col("num"), F.col("flag")), 6).alias("average"))
 
 
 @_add("agg_and_or", "SELECT l_returnflag, bool_and(l_quantity <> 0) AS every, bool_or(l_tax <> 0) AS some FROM lineitem GROUP BY l_returnflag")
@@ -116,9 +115,9 @@ def agg_and_or(spark, root):
     return table(spark, root, "lineitem").groupBy("l_returnflag").agg(aggregate("AND", F.col("l_quantity"), "number").alias("every"), aggregate("OR", F.col("l_tax"), "number").alias("some"))
 
 
-@_add("sheet_max_extent", "SELECT doc_key, sheet_no, max(row_no) AS rows, max(col_no) AS cols FROM cells GROUP BY ALL")
+@_add("sheet_max_extent", "SELECT doc_key, sheet_no, coalesce(max(row_no) FILTER (kind <> 'empty'), 0) AS rows, coalesce(max(col_no) FILTER (kind <> 'empty'), 0) AS cols, count(*) FILTER (kind <> 'empty') AS cells FROM cells GROUP BY ALL")
 def sheet_max_extent(spark, root):
-    return table(spark, root, "cells").groupBy("doc_key", "sheet_no").agg(F.max("row_no").alias("rows"), F.max("col_no").alias("cols"))
+    return sinks.extents(table(spark, root, "cells"), ("doc_key", "sheet_no"))
 
 
 @_add("range_sum", "SELECT doc_key, sheet_no, round(coalesce(sum(num), 0), 4) AS total FROM cells WHERE kind = 'number' AND row_no BETWEEN 1 AND 20 AND col_no BETWEEN 0 AND 2 GROUP BY ALL")
@@ -196,15 +195,21 @@ def number_display(spark, root):
     return table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", numbers.display(F.col("l_quantity")).alias("shown"))
 
 
-@_add("a1_codec", "SELECT cell_id, chr(65 + col_no) || CAST(row_no + 1 AS VARCHAR) AS address FROM cells WHERE col_no < 26")
+@_add("a1_codec", "SELECT cell_id, CASE WHEN col_no >= 702 THEN chr(65 + (col_no - 702) // 676) ELSE '' END || CASE WHEN col_no >= 26 THEN chr(65 + (col_no - 26) // 26 % 26) ELSE '' END || chr(65 + col_no % 26) || CAST(row_no + 1 AS VARCHAR) AS address FROM cells")
 def a1_codec(spark, root):
-    return table(spark, root, "cells").where(F.col("col_no") < 26).select("cell_id", texts.a1(F.col("row_no"), F.col("col_no")).alias("address"))
+    return table(spark, root, "cells").select("cell_id", texts.a1(F.col("row_no"), F.col("col_no")).alias("address"))
 
 
-@_add("a1_codec_all", None)
-def a1_codec_all(spark, root):
-    """Every cell, columns of two and three letters too."""
-    return table(spark, root, "cells").select("cell_id", texts.a1(F.col("row_no"), F.col("col_no")).alias("address"))
+@_add("a1_letters", "SELECT l_orderkey, l_linenumber, CASE WHEN c >= 702 THEN chr(65 + (c - 702) // 676) ELSE '' END || CASE WHEN c >= 26 THEN chr(65 + (c - 26) // 26 % 26) ELSE '' END || chr(65 + c % 26) AS letters FROM (SELECT l_orderkey, l_linenumber, CAST(l_partkey * 13 % 16384 AS INTEGER) AS c FROM lineitem)")
+def a1_letters(spark, root):
+    """Columns of one to three letters, A to XFD."""
+    return table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", texts.column_letters((F.col("l_partkey") * 13 % 16384).cast("int")).alias("letters"))
+
+
+@_add("date_formats", "SELECT p_partkey, regexp_matches(lower(code), 'yy|mmm|dd|/yy|h:mm|d-m') AS dated FROM (SELECT p_partkey, ['General', '0.00', 'd-m', 'dd.mm.yyyy', '# ?/? s', 'MMM', 'h:mm', '[$-409]0', 'm/d', 'D/M/YY', p_name][p_partkey % 11 + 1] AS code FROM part)")
+def date_formats(spark, root):
+    codes = F.array(*map(F.lit, ("General", "0.00", "d-m", "dd.mm.yyyy", "# ?/? s", "MMM", "h:mm", "[$-409]0", "m/d", "D/M/YY")), F.col("p_name"))
+    return table(spark, root, "part").select("p_partkey", charts.is_date_format(F.element_at(codes, (F.col("p_partkey") % 11 + 1).cast("int"))).alias("dated"))
 
 
 @_add("chart_value_range", "SELECT l_returnflag, least(min(l_extendedprice), 0) AS low, CASE WHEN abs(max(l_extendedprice) - least(min(l_extendedprice), 0)) < 1e-9 THEN least(min(l_extendedprice), 0) + 1 ELSE max(l_extendedprice) END AS high FROM lineitem GROUP BY l_returnflag")
@@ -225,7 +230,7 @@ def format_tick(spark, root):
     return table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", numbers.format_tick(F.col("l_extendedprice")).alias("tick"))
 
 
-@_add("palette_assign", f"SELECT n_nationkey, {list(charts.PALETTE)!r}[n_nationkey % 8 + 1] AS colour FROM nation")
+@_add("palette_assign", "SELECT n_nationkey, ['#4472C4', '#ED7D31', '#A5A5A5', '#FFC000', '#5B9BD5', '#70AD47', '#264478', '#9E480E'][n_nationkey % 8 + 1] AS colour FROM nation")
 def palette_assign(spark, root):
     return table(spark, root, "nation").select("n_nationkey", charts.colour(F.col("n_nationkey")).alias("colour"))
 

@@ -14,49 +14,65 @@ from quillgrid.operators.formula import BLANK, Value, address
 from quillgrid.sources.markup import encode_entities
 
 
-def cell_text(evaluated: bool = False) -> Column:
-    """Text of a cell: formulas by their source, unless the cells were evaluated."""
+def cell_text(evaluated: bool = False, error: str = "") -> Column:
+    """Text of a cell: formulas by their source, unless the cells were evaluated; ``error`` stands before an error."""
     return F.coalesce(
         F.when(F.col("kind") == "number", display(F.col("num")))
-        .when(F.col("kind") == "bool", F.upper(F.col("flag").cast("string")))
+        .when(F.col("kind") == "bool", F.col("flag").cast("string"))
         .when((F.col("kind") == "formula") & F.lit(not evaluated), F.concat(F.lit("="), F.col("value")))
+        .when(F.col("kind") == "error", F.concat(F.lit(error), F.col("value")))
         .otherwise(F.col("value")),
         F.lit(""),
     )
 
 
-def extents(cells: DataFrame) -> DataFrame:
-    return cells.groupBy("doc_key", "sheet").agg(F.coalesce(F.max("row_no"), F.lit(0)).alias("rows"), F.coalesce(F.max("col_no"), F.lit(0)).alias("cols"))
+def extents(cells: DataFrame, by: tuple[str, ...] = ("doc_key", "sheet")) -> DataFrame:
+    """Last row and column of each sheet by its cells that are not empty; 0 and 0, and no cells, if all are."""
+    filled = F.coalesce(F.col("kind") != "empty", F.lit(True))
+    last = lambda name: F.coalesce(F.max(F.when(filled, F.col(name))), F.lit(0))
+    return cells.groupBy(*by).agg(last("row_no").alias("rows"), last("col_no").alias("cols"), F.count(F.when(filled, 1)).alias("cells"))
 
 
 def grid_rows(cells: DataFrame, text: Column) -> DataFrame:
-    """Dense rows: doc_key, sheet, row_no, fields (an array from column 0 to the sheet's last).
+    """Dense rows: doc_key, sheet, cells (of the sheet), row_no, fields (an array from column 0 to the sheet's last).
 
     A group is one row of a sheet, so no sheet is gathered in one task; missing rows have blank fields.
     """
     size = extents(cells)
     filled = cells.groupBy("doc_key", "sheet", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("col_no", text.alias("text")))).alias("by_col"))
-    every = size.select("doc_key", "sheet", "cols", F.explode(F.sequence(F.lit(0), "rows")).alias("row_no"))
-    return every.join(filled, ["doc_key", "sheet", "row_no"], "left").select("doc_key", "sheet", "row_no", F.transform(F.sequence(F.lit(0), "cols"), lambda c: F.coalesce(F.try_element_at("by_col", c), F.lit(""))).alias("fields"))
+    every = size.select("doc_key", "sheet", "cells", "cols", F.explode(F.sequence(F.lit(0), "rows")).alias("row_no"))
+    return every.join(filled, ["doc_key", "sheet", "row_no"], "left").select("doc_key", "sheet", "cells", "row_no", F.transform(F.sequence(F.lit(0), "cols"), lambda c: F.coalesce(F.try_element_at("by_col", c), F.lit(""))).alias("fields"))
 
 
 def csv_field(text: Column) -> Column:
-    """Quoted only where a comma, a quote, a space or a line break makes it needed."""
-    return F.when(text.rlike(r'[," \n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+    """Quoted only where a comma, a quote or a line break makes it needed."""
+    return F.when(text.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def csv_text(text: str) -> str:
+    """As ``csv_field``, of one text."""
+    return '"' + text.replace('"', '""') + '"' if any(ch in text for ch in ',"\n') else text
+
+
+#: What stands before an error in CSV.
+CSV_ERROR = "#ERR "
 
 
 def csv_lines(cells: DataFrame) -> DataFrame:
-    rows = grid_rows(cells, cell_text())
+    rows = grid_rows(cells, cell_text(error=CSV_ERROR))
     return rows.select("doc_key", "sheet", "row_no", F.array_join(F.transform("fields", csv_field), ",").alias("line"))
 
 
+#: The line of a sheet without cells.
+EMPTY_SHEET = "(empty sheet)"
+
+
 def markdown_lines(cells: DataFrame) -> DataFrame:
-    """Rows of a pipe table; the rule after the header is part of row 0's line."""
+    """Rows of a pipe table; the rule after the header is part of row 0's line. Line breaks in cells are kept."""
     rows = grid_rows(cells, cell_text())
-    cell = lambda t: F.replace(F.replace(t, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
-    line = F.concat(F.lit("| "), F.array_join(F.transform("fields", cell), " | "), F.lit(" |"))
+    line = F.concat(F.lit("| "), F.array_join(F.transform("fields", lambda t: F.replace(t, F.lit("|"), F.lit("\\|"))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), F.size("fields")))
-    return rows.select("doc_key", "sheet", "row_no", F.when(F.col("row_no") == 0, F.concat(line, rule)).otherwise(line).alias("line"))
+    return rows.select("doc_key", "sheet", "row_no", F.when(F.col("cells") == 0, EMPTY_SHEET).when(F.col("row_no") == 0, F.concat(line, rule)).otherwise(line).alias("line"))
 
 
 def html_lines(cells: DataFrame, evaluated: bool = True) -> DataFrame:
@@ -152,10 +168,13 @@ def ods_bytes(sheets: dict[str, list[tuple]], header: bool = False) -> bytes:
     out = []
     for name, cells in sheets.items():
         by = {(c[0], c[1]): c for c in cells}
+        widths: dict[int, int] = {}
+        for r, c in by:
+            widths[r] = max(widths.get(r, -1), c)
         rows = []
-        for r in range(max((c[0] for c in cells), default=-1) + 1):
+        for r in range(max(widths, default=-1) + 1):
             fields = []
-            for c in range(max((k[1] for k in by if k[0] == r), default=-1) + 1):
+            for c in range(widths.get(r, -1) + 1):
                 cell = by.get((r, c))
                 if cell is None:
                     fields.append("<table:table-cell/>")
@@ -168,6 +187,9 @@ def ods_bytes(sheets: dict[str, list[tuple]], header: bool = False) -> bytes:
                 elif kind == "formula":
                     what, shown = (f' office:value-type="float" office:value="{num!r}"', "") if num is not None else _ods_result(*result or [BLANK])
                     fields.append(f'<table:table-cell table:formula="of:={encode_entities(value or "", True)}"{what}>{shown}</table:table-cell>')
+                elif kind == "error":
+                    what, shown = _ods_result(Value("error", value or ""))
+                    fields.append(f"<table:table-cell{what}>{shown}</table:table-cell>")
                 else:
                     fields.append(f'<table:table-cell office:value-type="string"><text:p>{encode_entities(value or "")}</text:p></table:table-cell>')
             rows.append(f"<table:table-row>{''.join(fields)}</table:table-row>")
@@ -196,10 +218,13 @@ def odt_bytes(blocks: list[tuple]) -> bytes:
 def docx_bytes(blocks: list[tuple]) -> bytes:
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     out = []
-    for kind, level, _, text in blocks:
+    for kind, level, ordered, text in blocks:
         style = f'<w:pPr><w:pStyle w:val="Heading{level or 1}"/></w:pPr>' if kind == "heading" else ""
         run = lambda s: f'<w:r><w:t xml:space="preserve">{encode_entities(s)}</w:t></w:r>'
-        if kind == "table":
+        if kind == "list":
+            # an item opens with a run of its mark
+            out.append(f"<w:p>{run('1. ' if ordered else '• ')}{run(text)}</w:p>")
+        elif kind == "table":
             out.append("<w:tbl><w:tr>" + "".join(f"<w:tc><w:p>{run(c)}</w:p></w:tc>" for c in text.split("\t")) + "</w:tr></w:tbl>")
         else:
             out.append(f"<w:p>{style}{run(text)}</w:p>")
@@ -214,7 +239,7 @@ def docx_bytes(blocks: list[tuple]) -> bytes:
 
 def odb_bytes(tables: dict[str, tuple[list[str], list[list[object]]]]) -> bytes:
     """A database package: a content part naming the tables and a CSV member for each."""
-    field = lambda v: "" if v is None else '"' + str(v).replace('"', '""') + '"' if any(c in str(v) for c in ',"\n ') else str(v)
+    field = lambda v: "" if v is None else csv_text(str(v))
     members = [(f"database/{n}.csv", "\n".join(",".join(map(field, r)) for r in [cols, *rows])) for n, (cols, rows) in tables.items()]
     listed = "".join(f'<db:table-representation xmlns:db="urn:oasis:names:tc:opendocument:xmlns:database:1.0" db:name="{encode_entities(n, True)}"/>' for n in tables)
     return pack([("mimetype", "application/vnd.oasis.opendocument.base"), ("content.xml", f"{_HEAD}<office:document-content {_ODF}><office:body>{listed}</office:body></office:document-content>"), *members])

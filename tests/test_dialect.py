@@ -90,6 +90,7 @@ def test_texts(spark):
 
     assert one("&amp;&lt;&#65;&#x42;&#x1F600;&copy; & &amp;#65;", texts.decode_entities) == "&<AB😀&copy; & &#65;"
     assert one(None, texts.decode_entities) is None
+    assert one("&#38;amp; &amp;lt; &#x26;#65; &", texts.decode_entities) == "&amp; &lt; &#65; &"
     assert one("<h1>hi</h1><p>one<br/>two</p>", texts.html_to_text) == "hi\n\none\ntwo\n\n"
     assert one("a\n\n \n\n b ", texts.paragraphs) == ["a", "b"]
     assert one("hello  WORLD\tx", texts.title_case) == "Hello  World\tX"

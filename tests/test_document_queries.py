@@ -14,7 +14,7 @@ def test_text_transform_of_every_box(spark, small, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "box_id long, text string").write.parquet(str(tmp_path / "text_boxes.parquet"))
     for root in (str(tmp_path), small):
         boxes = {b.box_id: b.text for b in spark.read.parquet(f"{root}/text_boxes.parquet").select("box_id", "text").collect()}
-        got = {r.box_id: (r.upper, r.lower, r.backwards) for r in entry.queries()["text_transform_all"](spark, root).collect()}
+        got = {r.box_id: (r.upper, r.lower, r.backwards) for r in entry.queries()["text_transform"](spark, root).collect()}
         assert got == {k: (t.upper(), t.lower(), t[::-1]) if t is not None else (None,) * 3 for k, t in boxes.items()}
 
 
@@ -41,13 +41,13 @@ def test_recalc_report_query(spark, small):
 def test_token_jaccard_of_whole_texts(spark, small, tmp_path):
     rows = [("a", "The cat, the hat", 1, 10, None), ("b", "the hat sat", 1, 11, 10), ("c", None, 1, 12, 11), ("d", "", 1, 13, 12), ("e", "Κόσμε x_1", 1, 14, 13), ("f", "κόσμε y", 1, 15, 14), ("g", "alone", 2, 16, 10)]
     spark.createDataFrame(rows, "doc_id string, text string, page_id long, rev_id long, parent_rev_id long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r.doc_id, r.parent_id): r.similarity for r in entry.queries()["token_jaccard_texts"](spark, str(tmp_path)).collect()}
+    got = {(r.doc_id, r.parent_id): r.similarity for r in entry.queries()["token_jaccard"](spark, str(tmp_path)).collect()}
     assert got == {("b", "a"): 50.0, ("c", "b"): 0.0, ("d", "c"): 100.0, ("e", "d"): 0.0, ("f", "e"): pytest.approx(100 / 3, abs=1e-4)}
 
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "page_id", "rev_id", "parent_rev_id").collect()
     words = {d.doc_id: set(re.findall(r"[A-Za-z0-9_]+", d.text.lower())) for d in docs if d.text is not None and d.text.isascii()}
     pairs = {(a.doc_id, b.doc_id): (words.get(a.doc_id), words.get(b.doc_id)) for a in docs for b in docs if a.parent_rev_id is not None and (a.parent_rev_id, a.page_id) == (b.rev_id, b.page_id)}
-    got = {(r.doc_id, r.parent_id): r.similarity for r in entry.queries()["token_jaccard_texts"](spark, small).collect()}
+    got = {(r.doc_id, r.parent_id): r.similarity for r in entry.queries()["token_jaccard"](spark, small).collect()}
     assert got.keys() == pairs.keys() and pairs
     for key, (x, y) in pairs.items():
         if x is not None and y is not None:
@@ -57,9 +57,9 @@ def test_token_jaccard_of_whole_texts(spark, small, tmp_path):
 def test_html_to_text_of_every_document(spark, small, tmp_path):
     texts = {"a": "<p>A&#65;&#x42;</p>", "b": None, "c": "&#8364;&#128512;&#x1F600; &#0; &#xD800; &#99999999;x", "d": "", "e": "&amp;#65; &lt;b&gt;"}
     spark.createDataFrame(list(texts.items()), "doc_id string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.plain for r in entry.queries()["html_to_text_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.plain for r in entry.queries()["html_to_text"](spark, str(tmp_path)).collect()}
     assert got == {"a": "AAB\n\n", "b": None, "c": "€😀😀 &#0; &#xD800; &#99999999;x", "d": "", "e": "&#65; <b>"}
-    assert entry.queries()["html_to_text_all"](spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
+    assert entry.queries()["html_to_text"](spark, small).count() == spark.read.parquet(f"{small}/documents.parquet").count()
 
 
 def test_roman_numerals_of_every_size(spark, tmp_path):
@@ -71,12 +71,12 @@ def test_roman_numerals_of_every_size(spark, tmp_path):
 
     sizes = [*range(1, 51), 99, 444, 3999]
     spark.createDataFrame([(n,) for n in [*sizes, 7, 40]], "p_size int").write.parquet(str(tmp_path / "part.parquet"))
-    got = sorted(tuple(r) for r in entry.queries()["roman_numerals_all"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in entry.queries()["roman_numerals"](spark, str(tmp_path)).collect())
     assert got == [(n, brute(n)) for n in sizes]
 
 
 def test_addresses_of_every_column(spark, tmp_path):
     places = [(k, r, c) for k, (r, c) in enumerate([(0, 0), (8, 25), (9, 26), (0, 51), (0, 52), (0, 701), (0, 702), (0, 727), (0, 728), (99, 16383), (0, 18277)])]
     spark.createDataFrame(places, "cell_id long, row_no int, col_no int").write.parquet(str(tmp_path / "cells.parquet"))
-    got = {r.cell_id: r.address for r in entry.queries()["a1_codec_all"](spark, str(tmp_path)).collect()}
+    got = {r.cell_id: r.address for r in entry.queries()["a1_codec"](spark, str(tmp_path)).collect()}
     assert got == {k: address(r, c) for k, r, c in places}

@@ -176,10 +176,13 @@ def test_recalc_equals_one_evaluator(spark, small):
 def test_grids(spark):
     rows = [("d", "S", 0, 0, "text", "a b", None, None), ("d", "S", 1, 1, "number", None, 2.0, None), ("d", "S", 3, 0, "formula", "A1", None, None), ("d", "S", 3, 1, "bool", None, None, False)]
     cells = spark.createDataFrame(rows, "doc_key string, sheet string, row_no int, col_no int, kind string, value string, num double, flag boolean")
-    assert [r.line for r in sinks.csv_lines(cells).orderBy("row_no").collect()] == ['"a b",', ",2", ",", "=A1,FALSE"]
+    assert [r.line for r in sinks.csv_lines(cells).orderBy("row_no").collect()] == ["a b,", ",2", ",", "=A1,false"]
     assert sinks.markdown_lines(cells).orderBy("row_no").first().line == "| a b |  |\n| --- | --- |"
     assert sinks.html_lines(cells).orderBy("row_no").first().line == "<tr><td>a b</td><td></td></tr>"
     assert sinks.csv_lines(cells.limit(0)).count() == 0
+    odd = spark.createDataFrame([("d", "E", 4, 4, "empty", None, None, None), ("d", "S", 0, 0, "error", "#REF!", None, None), ("d", "S", 0, 1, "text", "a|b\nc", None, None)], cells.schema)
+    assert {(r.sheet, r.line) for r in sinks.markdown_lines(odd).collect()} == {("E", "(empty sheet)"), ("S", "| #REF! | a\\|b\nc |\n| --- | --- |")}
+    assert {(r.sheet, r.line) for r in sinks.csv_lines(odd).collect()} == {("E", ""), ("S", '#ERR #REF!,"a|b\nc"')}
 
 
 def test_axes(spark):
