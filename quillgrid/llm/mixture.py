@@ -4,11 +4,12 @@ The natural token shares q of the sources are tilted towards the targets t with
 w is proportional to q ** (1 - a) * t ** a, which is the natural mixture at 0 and the target at 1.
 For a given total size, the greatest exponent in [0, 1] is found by bisection at which no source
 must be repeated more often than it may, or, if asked for, at which the entropy of the weights meets
-a target. Without a given size, the mixture is as large as it can be with the target shares met.
+a target. Where no size is given, it is ``stretch`` times the largest at which the targets are met
+exactly: at 1 the exponent is 1, beyond it sources run out and the exponent is bisected.
 
 Each source's weight is a budget of tokens. It is realised in passes over the source: whole passes
 use every document once, the last one takes blocks of documents in a pseudo-random order up to the
-budget. Sources without documents get weight 0, the others share the rest in proportion.
+budget, the block it ends in is cut into blocks again. Sources without documents get weight 0, the others share the rest in proportion.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ BLOCKS = 1024
 
 
 def entropy(weights: list[float]) -> float:
-    return -sum(w * math.log(w) for w in weights if w > 0)
+    return -sum((w * math.log(w) for w in weights if w > 0), 0.0)
 
 
 def tilted(natural: list[float], target: list[float], exponent: float) -> list[float]:
@@ -40,7 +41,7 @@ def tilted(natural: list[float], target: list[float], exponent: float) -> list[f
     return [x / sum(raw) for x in raw]
 
 
-def weigh(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None, target_entropy: float | None = None) -> dict[str, dict]:
+def weigh(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total: int | None = None, target_entropy: float | None = None, stretch: float = 1.0) -> dict[str, dict]:
     """Weight, budget and exponent of each source of ``targets`` (share, max_repeats).
 
     A share or repetition limit that is null, not positive or not a number counts as 0, so that
@@ -57,7 +58,7 @@ def weigh(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total:
     goal = tilted(natural, share, 1.0)
     most = [h * r for h, r in zip(have, repeats, strict=True)]
     if total is None:
-        total = min(int(m / g) for m, g in zip(most, goal, strict=True) if g > 0)
+        total = int(stretch * min(int(m / g) for m, g in zip(most, goal, strict=True) if g > 0))
 
     def fits(a: float) -> bool:
         return all(w * total <= m + 1e-6 * max(1, m) for w, m in zip(tilted(natural, share, a), most, strict=True))
@@ -98,15 +99,6 @@ def _sized(documents: DataFrame, targets: DataFrame, folder: str | None) -> tupl
     return counted, by_block, goals
 
 
-def _plan(by_block: DataFrame, goals: dict, total: int | None, target_entropy: float | None) -> tuple[DataFrame, dict, dict]:
-    rows = by_block.collect()  # at most BLOCKS rows for each of the targets' sources
-    tokens: dict[str, int] = {}
-    for r in rows:
-        tokens[r.source] = tokens.get(r.source, 0) + (r.tokens or 0)
-    weights = weigh(tokens, goals, total, target_entropy)
-    return rows, tokens, weights
-
-
 def _permuted(block: int, turn: int, source: str) -> int:
     """Place of a block in a pass: another pseudo-random order for every source and pass."""
     x = (block * 0x9E3779B97F4A7C15 + turn * 0xC2B2AE3D27D4EB4F + sum(ord(c) << (8 * (k % 7)) for k, c in enumerate(source))) & (2**64 - 1)
@@ -115,60 +107,84 @@ def _permuted(block: int, turn: int, source: str) -> int:
     return (x ^ (x >> 31)) >> 1
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, target_entropy: float | None = None, folder: str | None = None) -> DataFrame:
-    """The mixture: doc_id, source, repeat_no (from 1), block_no, n_tokens, mix_key.
+def _taken(blocks: list, budget: int, turn: int, source: str) -> tuple[list[int], int | None, int]:
+    """Blocks (number, tokens) taken whole in a pass up to a budget, the one it ends in, and what is left for that."""
+    whole, left = [], budget
+    for number, tokens in sorted(blocks, key=lambda b: (_permuted(b[0], turn, source), b[0])):
+        if tokens > left:
+            return whole, number, left
+        whole.append(number)
+        left -= tokens
+    return whole, None, left
 
-    Ordered by mix_key, the rows are the mixture with the blocks of all sources shuffled evenly.
-    A document appears at most max_repeats times (repeat_no tells its copies apart). Documents with
-    a null source, or one without a target, are no part of it; those without tokens come along with
-    their block. Rows of one revision delivered twice are two documents, as their doc_id differs.
-    A budget is met up to less than one document. Empty tables give an empty result.
-    """
+
+def _mixed(documents: DataFrame, targets: DataFrame, total: int | None, target_entropy: float | None, stretch: float, folder: str | None) -> tuple[DataFrame, dict, dict]:
+    """The mixture, tokens by source and the weights."""
     spark = documents.sparkSession
     counted, by_block, goals = _sized(documents, targets, folder)
-    rows, tokens, weights = _plan(by_block, goals, total, target_entropy)
-    takes, partial = [], []  # (source, block, passes wholly taken, key) and the block that the budget ends in
     blocks: dict[str, list] = {}
-    for r in rows:
-        blocks.setdefault(r.source, []).append(r)
+    for r in by_block.collect():  # at most BLOCKS rows for each of the targets' sources
+        blocks.setdefault(r.source, []).append((r.block, r.tokens or 0))
+    tokens = {source: sum(n for _, n in own) for source, own in blocks.items()}
+    weights = weigh(tokens, goals, total, target_entropy, stretch)
+    takes, ends = [], []  # (source, block, passes that take it whole) and the block that a budget ends in
     for source, own in blocks.items():
-        budget, size = weights[source]["budget"], tokens[source]
-        if not size or not budget:
+        if not tokens[source] or not weights[source]["budget"]:
             continue
-        whole, rest = divmod(budget, size)
-        order = sorted(own, key=lambda r, t=whole + 1, s=source: (_permuted(r.block, t, s), r.block))
-        taken = 0
-        for r in order:
-            full = rest > 0 and taken + r.tokens <= rest
-            if not full and rest > 0 and taken < rest:
-                partial.append((source, r.block, int(whole + 1), int(rest - taken)))
-                taken = rest
-            elif full:
-                taken += r.tokens
-            takes.append((source, r.block, int(whole + full)))
+        passes, rest = divmod(weights[source]["budget"], tokens[source])
+        whole, end, left = _taken(own, rest, passes + 1, source) if rest else ([], None, 0)
+        whole = set(whole)
+        takes += [(source, block, int(passes + (block in whole))) for block, _ in own if passes or block in whole]
+        if end is not None:
+            ends.append((source, end, int(passes + 1), int(left)))
     # at most BLOCKS rows a source: bounded by the targets, whatever the corpus holds
     chosen = spark.createDataFrame(takes, "source string, block int, passes int")
-    last = spark.createDataFrame(partial, "source string, block int, turn int, room long")
-    full = counted.join(F.broadcast(chosen), ["source", "block"]).where(F.col("passes") > 0).withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("passes")))).drop("passes")
-    # one block a source is taken in part: a share of 1 / BLOCKS of its documents is put in order
-    order = W.partitionBy("source", "block").orderBy(F.xxhash64(F.lit("last"), "doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    part = counted.join(F.broadcast(last), ["source", "block"]).withColumn("so_far", F.sum("n_tokens").over(order)).where(F.col("so_far") <= F.col("room")).select("source", "block", "doc_id", "n_tokens", F.col("turn").alias("repeat_no"))
-    both = full.unionByName(part)
+    full = counted.join(F.broadcast(chosen), ["source", "block"]).withColumn("repeat_no", F.explode(F.sequence(F.lit(1), F.col("passes"))))
+    columns = ["source", "block", "doc_id", "n_tokens", "repeat_no"]
+    # the block a budget ends in is cut again by another hash, as it still holds a share 1 / BLOCKS of its source
+    ended = counted.join(F.broadcast(spark.createDataFrame(ends, "source string, block int, repeat_no int, room long")), ["source", "block"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(BLOCKS)).cast("int"))
+    parts: dict[str, list] = {}
+    for r in ended.groupBy("source", "part").agg(F.sum("n_tokens").alias("tokens")).collect() if ends else []:  # at most BLOCKS rows a source
+        parts.setdefault(r.source, []).append((r.part, r.tokens or 0))
+    whole_parts, last_parts = [], []
+    for source, _, turn, room in ends:
+        whole, end, left = _taken(parts.get(source, []), room, turn, source)
+        whole_parts += [(source, number) for number in whole]
+        if end is not None:
+            last_parts.append((source, end, int(left)))
+    inner = ended.join(F.broadcast(spark.createDataFrame(whole_parts, "source string, part int")), ["source", "part"])
+    # what is put in order is a share of 1 / BLOCKS ** 2 of a source
+    order = W.partitionBy("source").orderBy(F.xxhash64(F.lit("last"), "doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    last = ended.join(F.broadcast(spark.createDataFrame(last_parts, "source string, part int, left long")), ["source", "part"]).withColumn("so_far", F.sum("n_tokens").over(order)).where(F.col("so_far") <= F.col("left"))
+    both = full.select(*columns).unionByName(inner.select(*columns)).unionByName(last.select(*columns))
     key = F.xxhash64(F.lit("mix"), "source", "repeat_no", "block")
-    return both.select("doc_id", "source", "repeat_no", F.col("block").alias("block_no"), "n_tokens", key.alias("mix_key"))
+    return both.select("doc_id", "source", "repeat_no", F.col("block").alias("block_no"), "n_tokens", key.alias("mix_key")), tokens, weights
+
+
+def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, target_entropy: float | None = None, stretch: float = 1.0, folder: str | None = None) -> DataFrame:
+    """The mixture: doc_id, source, repeat_no (from 1), block_no, n_tokens, mix_key.
+
+    Ordered by mix_key, the rows are the mixture with the blocks of all sources shuffled evenly.
+    A document appears at most max_repeats times (repeat_no tells its copies apart). Documents with
+    a null source, or one without a target, are no part of it; those without tokens come along with
+    their block. Rows of one revision delivered twice are two documents, as their doc_id differs.
+    A budget is met up to less than one document. Empty tables give an empty result.
+    """
+    return _mixed(documents, targets, total, target_entropy, stretch, folder)[0]
 
 
-def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, target_entropy: float | None = None, folder: str | None = None) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, target_entropy: float | None = None, stretch: float = 1.0, folder: str | None = None) -> DataFrame:
     """What was reached, a row for each source of the targets.
 
-    Columns source, target_share, max_repeats, available_tokens, mixed_tokens, documents (rows of the
-    mixture), most_repeats and share (of the mixture's tokens; null for an empty mixture).
+    Columns source, target_share, max_repeats, available_tokens, weight, exponent and entropy (of the
+    weights, the same in each row), mixed_tokens, documents (rows of the mixture), most_repeats and
+    share (of the mixture's tokens; null for an empty mixture).
     """
-    mixed = mixture(documents, targets, total, target_entropy, folder)
-    used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count("*").alias("documents"), F.max("repeat_no").alias("most_repeats"), F.sum(F.when(F.col("repeat_no") == 1, F.col("n_tokens"))).alias("once"))
+    mixed, tokens, weights = _mixed(documents, targets, total, target_entropy, stretch, folder)
+    used = mixed.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), F.count("*").alias("documents"), F.max("repeat_no").alias("most_repeats"))
     goals = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    spread = round(float(entropy([w["weight"] for w in weights.values()])), 6)
+    plan = documents.sparkSession.createDataFrame([(s, int(tokens.get(s, 0)), round(w["weight"], 6), round(w["exponent"], 6), spread) for s, w in weights.items()], "source string, available_tokens long, weight double, exponent double, entropy double")
     whole = F.sum("mixed_tokens").over(W.partitionBy(F.lit(1)))  # over one row a source
-    return goals.join(used, "source", "left").select(
-        "source", "target_share", "max_repeats", F.coalesce("once", F.lit(0)).alias("used_tokens"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"),
-        F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.round(F.try_divide(F.coalesce("mixed_tokens", F.lit(0)).cast("double"), whole), 6).alias("share"),
-    )
+    zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
+    return goals.join(plan, "source").join(used, "source", "left").select("source", "target_share", "max_repeats", "available_tokens", "weight", "exponent", "entropy", zero("mixed_tokens"), zero("documents"), zero("most_repeats"), F.round(F.try_divide(F.coalesce("mixed_tokens", F.lit(0)).cast("double"), whole), 6).alias("share"))

@@ -18,6 +18,8 @@ def test_weights():
     assert sum(w["budget"] for w in large.values()) == pytest.approx(1000, abs=2)
     flat = mx.weigh(tokens, targets, total=20, target_entropy=mx.entropy([1 / 3] * 3) * 0.8)
     assert mx.entropy([w["weight"] for w in flat.values()]) == pytest.approx(math.log(3) * 0.8, rel=1e-3)
+    stretched = mx.weigh(tokens, targets, stretch=1.1)
+    assert 0 < stretched["a"]["exponent"] < 1 and sum(w["budget"] for w in stretched.values()) == pytest.approx(1.1 * total, rel=0.02)
     huge = mx.weigh(tokens, targets, total=10**9)
     assert all(huge[n]["budget"] <= tokens[n] * targets[n][1] for n in tokens)
 
@@ -55,6 +57,36 @@ def test_shares(tables):
     got = {r.source: r for r in mx.shares(docs, targets).collect()}
     assert set(got) == {"big", "small", "none"} and got["none"].share == 0.0 and got["none"].mixed_tokens == 0
     assert sum(r.share for r in got.values()) == pytest.approx(1)
+    assert {r.exponent for r in got.values()} == {1.0} and got["big"].available_tokens > got["small"].available_tokens > 0
+
+
+def test_stretched_against_sql(spark, tables):
+    """Shares of a mixture with a bisected exponent, counted by SQL over its rows."""
+    import duckdb
+
+    docs, _ = tables
+    targets = spark.createDataFrame([("big", 0.5, 5), ("small", 0.4, 1)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mx.shares(docs, targets, stretch=1.2).collect()}
+    exponent = got["big"].exponent
+    assert 0 < exponent < 1
+    rows = mx.mixture(docs, targets, stretch=1.2).toPandas()  # noqa: F841
+    counted = duckdb.sql("SELECT source, sum(n_tokens) AS n, count(*) AS docs, max(repeat_no) AS most, count(DISTINCT (doc_id, repeat_no)) AS once, sum(n_tokens) / sum(sum(n_tokens)) OVER () AS share FROM rows GROUP BY source").fetchall()
+    assert len(counted) == 2
+    for source, n, rows_of, most, once, share in counted:
+        r = got[source]
+        assert (r.mixed_tokens, r.documents, r.most_repeats) == (n, rows_of, most) and once == rows_of and most <= r.max_repeats
+        assert share == pytest.approx(r.share, abs=1e-5) and share == pytest.approx(r.weight, abs=0.02)
+    tokens = {s: r.available_tokens for s, r in got.items()}
+    natural = [tokens[s] / sum(tokens.values()) for s in ("big", "small")]
+    assert mx.tilted(natural, [0.5, 0.4], exponent) == pytest.approx([got["big"].weight, got["small"].weight], abs=1e-4)
+
+
+def test_budget_ends_within_a_block():
+    blocks = [(k, 10) for k in range(20)]
+    whole, end, left = mx._taken(blocks, 57, 1, "s")
+    assert len(whole) == 5 and end not in whole and left == 7
+    assert mx._taken(blocks, 200, 1, "s")[1:] == (None, 0) and mx._taken([], 5, 1, "s") == ([], None, 5)
+    assert mx._taken(blocks, 57, 2, "s")[0] != whole
 
 
 def test_empty(tables):
