@@ -1,16 +1,18 @@
 """Reading level of documents: a linear pairwise ranker with isotonic calibration.
 
 Graded documents give pairs of which one is harder; a linear ranker over features of syntax and
-vocabulary is fitted so that the harder one scores higher (logistic loss on the score's difference).
-Isotonic regression then maps scores to the scale of the grades.
+vocabulary is fitted so that the harder one scores higher (logistic loss on the score's difference),
+over all pairs of the sample. Isotonic regression then maps scores to the scale of the grades. A
+word's difficulty is the mean grade of the documents that have it; for the fit, of those in the other
+FOLDS only, so that no document is scored by its own grade.
 
 Only prose counts: templates, tables, references, lists, headings, signatures and lines that are no
-running English are left out. A page is treated line by line, and what a line adds is kept in a
+running English are left out; fewer than FEW tokens are running text if they end as a sentence. A page is treated line by line, and what a line adds is kept in a
 memo, as revisions and mirrors repeat lines; the memo starts afresh beyond ``memo_chars``.
 
 The model is fitted on at most SAMPLE graded documents (those with the least hash of their id, the
-same at every run) and knows at most VOCABULARY words; both bounds are parameters. Every document is
-scored, in one pass without a shuffle.
+same at every run), a parameter, and knows the words that two of them have. Every document is scored,
+in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from quillgrid.session import cut
 
 SAMPLE = 5000
-VOCABULARY = 30_000
-PAIRS = 200_000
+FOLDS = 5
+FEW = 5
 MIN_WORDS = 40
 #: Share of function words above which prose counts as English; other languages here have next to none.
 ENGLISH = 0.12
@@ -53,7 +55,7 @@ FEATURES = ("difficulty", "hard", "easy", "rarity", "word length", "long words",
 
 def prose(line: str) -> str:
     """The running text of one line of page source; '' if it has none."""
-    if len(line) < 20 or _SKIP.match(line):
+    if _SKIP.match(line):
         return ""
     line = line.lstrip(": \t")
     if "[[" in line:
@@ -77,7 +79,7 @@ def prose(line: str) -> str:
 def line_tokens(line: str) -> list[str]:
     """Words and sentence marks of a line that is running English, else none."""
     tokens = _TOKEN.findall(prose(line))
-    if len(tokens) < 5:
+    if not tokens or (len(tokens) < FEW and tokens[-1][0] not in ".!?"):
         return []
     function = sum(1 for t in tokens if t in FUNCTION_WORDS)
     return tokens if function >= ENGLISH * len(tokens) else []
@@ -141,27 +143,34 @@ def features(sums: np.ndarray) -> np.ndarray:
     )
 
 
-def _summed(documents: DataFrame, keep: list[str], vocabulary: dict[str, tuple[float, float]], finish, schema: str, memo_chars: int = 48_000_000) -> DataFrame:
-    """``finish(batch, sums)`` of every batch of documents; ``keep`` columns precede the text."""
+def _summed(documents: DataFrame, keep: list[str], vocabularies: dict[int, dict[str, tuple[float, float]]], finish, schema: str, memo_chars: int = 48_000_000) -> DataFrame:
+    """``finish(batch, sums)`` of every batch of documents; ``keep`` columns precede the text.
+
+    Of several vocabularies the first of ``keep`` names the one that a document is read with.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, tuple | None] = {}
+        memos: dict[int, dict[str, tuple | None]] = {k: {} for k in vocabularies}
         size = 0
         for batch in batches:
             sums = np.zeros((batch.num_rows, len(SUMS)))
+            folds = batch.column(0).to_pylist() if len(vocabularies) > 1 else None
             for row, value in enumerate(batch.column(len(keep))):
                 text = value.as_py()
                 if not text:
                     continue
+                fold = folds[row] if folds else 0
+                memo, vocabulary = memos[fold], vocabularies[fold]
                 parts = []
                 for line in text.split("\n"):
-                    if len(line) < 20:
+                    if not line:
                         continue
                     if line in memo:
                         part = memo[line]
                     else:
                         if size > memo_chars:
-                            memo.clear()
+                            for one in memos.values():
+                                one.clear()
                             size = 0
                         part = memo[line] = line_sums(line, vocabulary)
                         size += len(line) + 200
@@ -174,29 +183,37 @@ def _summed(documents: DataFrame, keep: list[str], vocabulary: dict[str, tuple[f
     return documents.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def fit_ranker(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, scale and weights of a linear ranker; pairs of different grades, weighted by the difference."""
+def fit_ranker(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, block: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean, scale and weights of a linear ranker over all pairs of different grades, weighted by the difference.
+
+    Newton's method; pairs are taken in blocks of rows, so memory holds ``block`` times the documents. Grades
+    less than 0.75 apart are ties, as single grades may be one step off.
+    """
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = (x - mean) / scale
-    rng = np.random.default_rng(seed)
-    n = len(y)
-    if n * (n - 1) // 2 <= pairs:
-        i, j = np.triu_indices(n, 1)
-    else:
-        i, j = rng.integers(0, n, pairs), rng.integers(0, n, pairs)
-    gap = y[i] - y[j]
-    kept = np.abs(gap) >= 0.75
-    i, j, gap = i[kept], j[kept], gap[kept]
+    order = np.argsort(y, kind="stable")
+    z, y = z[order], y[order]
     w = np.zeros(x.shape[1])
-    if not len(i):
+    # of row k, the rows from above[k] on are harder
+    above = np.searchsorted(y, y + 0.75 - 1e-9, side="left")
+    starts = range(0, len(y), block)
+    gap_of = lambda i: np.maximum(y[None, above[i] :] - y[i : i + block, None], 0.0) * (np.arange(above[i], len(y))[None, :] >= above[i : i + block, None])
+    total = sum(float(gap_of(i).sum()) for i in starts)
+    if not total:
         return mean, scale, w
-    d = (z[i] - z[j]) * np.sign(gap)[:, None]
-    weight = np.abs(gap) / np.abs(gap).sum()
-    for _ in range(30):  # Newton's method
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-        grad = -(d * (weight * p)[:, None]).sum(axis=0) + ridge * w
-        hess = (d * (weight * p * (1 - p))[:, None]).T @ d + ridge * np.eye(len(w))
+    for _ in range(30):
+        score = z @ w
+        grad, hess = ridge * w, ridge * np.eye(len(w))
+        for i in starts:
+            gap = gap_of(i)
+            low, high = z[i : i + block], z[above[i] :]
+            p = 1 / (1 + np.exp(np.clip(score[None, above[i] :] - score[i : i + block, None], -30, 30)))
+            miss = gap * p
+            grad = grad - (high.T @ miss.sum(axis=0) - low.T @ miss.sum(axis=1)) / total
+            c = miss * (1 - p) / total
+            cross = low.T @ c @ high
+            hess = hess + (low.T * c.sum(axis=1)) @ low + (high.T * c.sum(axis=0)) @ high - cross - cross.T
         step = np.linalg.solve(hess, grad)
         w = w - step
         if np.abs(step).max() < 1e-7:
@@ -231,42 +248,66 @@ class Model:
         return np.interp(self.scores(sums), self.steps, self.values)
 
 
-def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary_size: int = VOCABULARY) -> Model:
+def _vocabulary(docs: dict[str, int], grades: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """Difficulty and rarity of the words that two documents have: the mean grade of the documents that have a word,
+    drawn to the middle where they are few, and the log of how seldom it is."""
+    kept = {w: n for w, n in docs.items() if n >= 2}
+    if not kept:
+        return {}
+    most = max(kept.values())
+    middle = sum(grades[w] for w in kept) / sum(kept.values())
+    return {w: ((grades[w] + 3 * middle) / (n + 3), math.log(most / n)) for w, n in kept.items()}
+
+
+def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` graded documents; null levels and ungraded documents are left out.
 
     Of several grades of a document the mean counts. Without any usable grade the model gives no
     levels (null).
     """
     grades = labels.where(F.col("level").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("level").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    grades = grades.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int"))
     graded = cut(documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(grades), "doc_id"))  # at most ``sample`` rows
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, list[float]] = {}
+        total: dict[tuple[int, str], list[float]] = {}
         for batch in batches:
-            for grade, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for fold, grade, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen = {t for line in text.split("\n") for t in line_tokens(line) if "a" <= t[0] <= "z"}
                 for t in seen:
-                    at = total.setdefault(t, [0, 0.0])
+                    at = total.setdefault((fold, t), [0, 0.0])
                     at[0] += 1
                     at[1] += grade
-        yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.float64())], names=["word", "docs", "grades"])
-
-    known = graded.select("grade", "text").mapInArrow(words_of, "word string, docs long, grades double").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("grades").alias("grades"))
-    rows = known.where(F.col("docs") >= 2).orderBy(F.desc("docs"), "word").limit(vocabulary_size).collect()
-    if not rows:
-        return Model({}, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), np.array([]), np.array([]))
-    most = max(r.docs for r in rows)
-    middle = sum(r.grades for r in rows) / sum(r.docs for r in rows)
-    # a word's difficulty: the mean grade of the documents that have it, drawn to the middle where they are few
-    vocabulary = {r.word: ((r.grades + 3 * middle) / (r.docs + 3), math.log(most / r.docs)) for r in rows}
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.string()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.float64())], names=["fold", "word", "docs", "grades"])
+
+    # words of the sample: bounded by it
+    rows = graded.select("fold", "grade", "text").mapInArrow(words_of, "fold int, word string, docs long, grades double").groupBy("fold", "word").agg(F.sum("docs").alias("docs"), F.sum("grades").alias("grades")).collect()
+    rows.sort(key=lambda r: (r.fold, r.word))
+    docs: dict[str, int] = {}
+    sums_: dict[str, float] = {}
+    for r in rows:
+        docs[r.word] = docs.get(r.word, 0) + r.docs
+        sums_[r.word] = sums_.get(r.word, 0.0) + r.grades
+    vocabulary = _vocabulary(docs, sums_)
+    none = Model(vocabulary, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), np.array([]), np.array([]))
+    if not vocabulary:
+        return none
+    others = {}
+    for fold in range(FOLDS):
+        less, lower = dict(docs), dict(sums_)
+        for r in rows:
+            if r.fold == fold:
+                less[r.word] -= r.docs
+                lower[r.word] -= r.grades
+        others[fold] = _vocabulary(less, lower)
 
     def finish(batch: pa.RecordBatch, sums: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(sums))], names=["grade", "sums"])
+        return pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(sums))], names=["grade", "sums"])
 
-    got = _summed(graded, ["grade"], vocabulary, finish, "grade double, sums array<double>").collect()
+    got = _summed(graded, ["fold", "grade"], others, finish, "grade double, sums array<double>").collect()
     used = [r for r in got if r.sums[0] >= MIN_WORDS]
     if len(used) < 2:
-        return Model(vocabulary, np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), np.array([]), np.array([]))
+        return none
     order = np.lexsort([np.array([r.sums[k] for r in used]) for k in (0, 4, 11)])  # the same whatever order rows came in
     sums, y = np.array([used[k].sums for k in order]), np.array([used[k].grade for k in order])
     mean, scale, weights = fit_ranker(features(sums), y)
@@ -289,7 +330,7 @@ def levels(documents: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(english), pa.array(score, mask=none), pa.array(level, mask=none | np.isnan(level))], names=["doc_id", "words", "english", "score", "level"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return _summed(documents, ["doc_id"], model.vocabulary, finish, f"doc_id {kind}, words long, english double, score double, level double")
+    return _summed(documents, ["doc_id"], {0: model.vocabulary}, finish, f"doc_id {kind}, words long, english double, score double, level double")
 
 
 def demanding(documents: DataFrame, labels: DataFrame, least: float = 3.5, min_words: int = MIN_WORDS, sample: int = SAMPLE) -> DataFrame:

@@ -8,7 +8,8 @@ MIDDLE = "The regional museum described a traditional harbor, although the local
 
 
 def test_prose():
-    assert rl.prose("{{Infobox river}} and more of the text") == "" and rl.prose("| a = b of the table of things") == "" and rl.prose("short") == ""
+    assert rl.prose("{{Infobox river}} and more of the text") == "" and rl.prose("| a = b of the table of things") == "" and rl.line_tokens("short") == []
+    assert rl.line_tokens("To be or not?") and not rl.line_tokens("Main Street 5") and not rl.line_tokens("Lol!")
     assert rl.prose("'''Name''' is in [[Page|the place]] with [[link]]s.<ref name=\"x\">{{cite book|title=T}}</ref> End.") == "Name is in the place with links.  End."
     assert rl.prose(":The man said so to the men. --[[User:a|b]] 10:00, 1 May 2020 (UTC)") == "The man said so to the men."
     assert rl.line_tokens("Le petit chat est dans la grande maison de la ville.") == []
@@ -25,6 +26,30 @@ def test_isotonic_and_ranker():
     assert not rl.fit_ranker(features[:3], np.ones(3))[2].any()
 
 
+def test_ranker_takes_all_pairs():
+    """Blocks of pairs give the minimum over all pairs: the gradient there, summed pair by pair, is nil."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4))
+    y = np.clip(np.round(3 + x[:, 0] - 0.5 * x[:, 2] + rng.normal(size=90)), 1, 5)
+    mean, scale, w = rl.fit_ranker(x, y, ridge=1e-3, block=16)
+    z = (x - mean) / scale
+    grad, total = np.zeros(4), 0.0
+    for i in range(90):
+        for j in range(90):
+            if y[j] - y[i] >= 0.75:
+                total += y[j] - y[i]
+                grad -= (y[j] - y[i]) * (z[j] - z[i]) / (1 + np.exp((z[j] - z[i]) @ w))
+    assert np.abs(grad / total + 1e-3 * w).max() < 1e-6
+    assert np.allclose(rl.fit_ranker(x, y, ridge=1e-3, block=90)[2], w)
+
+
+def test_vocabulary_leaves_the_own_fold_out():
+    docs, grades = {"a": 4, "b": 2, "c": 1}, {"a": 8.0, "b": 10.0, "c": 5.0}
+    vocabulary = rl._vocabulary(docs, grades)
+    assert set(vocabulary) == {"a", "b"} and vocabulary["a"][0] < 3 < vocabulary["b"][0] and vocabulary["a"][1] == 0
+    assert rl._vocabulary({}, {}) == {}
+
+
 def tables(spark):
     rows, labels = [], []
     for k in range(60):
