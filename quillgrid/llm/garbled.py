@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from math import log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +62,29 @@ def _page(name: str) -> dict[str, int]:
 PAGES = {name: _page(name) for name in READ}
 
 
-def _pair(page: dict[str, int]) -> re.Pattern:
-    """A first and a following byte of UTF-8 as the page shows them: without it nothing can be undone."""
-    of = lambda low, high: "".join(re.escape(ch) for ch, b in page.items() if low <= b <= high)
-    return re.compile(f"[{of(0xC2, 0xF4)}][{of(0x80, 0xBF)}]")
+#: Of each character, the pages (as bits) that show a first and a following byte of UTF-8 as it, and all bytes as characters of Latin-1.
+LEADS: dict[str, int] = {}
+FOLLOWS: dict[str, int] = {}
+RAW: dict[str, dict[int, str]] = {}
+for _k, (_name, _codes) in enumerate(PAGES.items()):
+    RAW[_name] = {ord(_ch): chr(_b) for _ch, _b in _codes.items()}
+    for _ch, _b in _codes.items():
+        if 0xC2 <= _b <= 0xF4:
+            LEADS[_ch] = LEADS.get(_ch, 0) | 1 << _k
+        if 0x80 <= _b <= 0xBF:
+            FOLLOWS[_ch] = FOLLOWS.get(_ch, 0) | 1 << _k
 
 
-PAIRS = {name: _pair(page) for name, page in PAGES.items()}
+def _utf8_pages(word: str) -> list[str]:
+    """The pages as which UTF-8 may have been read: without two such bytes together nothing can be undone."""
+    mask, last = 0, 0
+    for ch in word:
+        if ch > "\x7f":
+            mask |= last & FOLLOWS.get(ch, 0)
+            last = LEADS.get(ch, 0)
+        else:
+            last = 0
+    return [page for k, page in enumerate(READ) if mask >> k & 1] if mask else []
 
 
 def _substitutions() -> dict[str, dict[int, str]]:
@@ -145,7 +160,7 @@ def count_words(words: dict[str, float]) -> Counter:
 class Bigrams:
     """Log likelihood of words, smoothed towards how often symbols occur at all."""
 
-    SMOOTH, UNSEEN, CAPITALS = 4.0, -15.0, -4.0
+    SMOOTH, UNSEEN, CAPITALS, LETTER = 4.0, -15.0, -4.0, -6.0
 
     def __init__(self, counts: dict[tuple[str, str], float]):
         self.first: Counter = Counter()
@@ -203,6 +218,7 @@ class Bigrams:
         for ch in word + "$":
             if _LOSS.match(ch):
                 last = None
+                score += self.LETTER
                 continue
             s = "$" if ch == "$" else _SYMBOLS[ch]
             score += self.step(last, s) if last else max(self.UNSEEN, log(self.share.get(s, 0.0) or 1e-9))
@@ -237,10 +253,11 @@ class Solver:
 
     def undo_utf8(self, word: str, page: str) -> str:
         """The word with every run that is UTF-8 read as ``page`` decoded."""
-        get = PAGES[page].get
-        raw = "".join(chr(b) if (b := get(ch)) is not None else (ch if ch < "\x80" else _GAP) for ch in word)
+        raw = word.translate(RAW[page])
         out, at = [], 0
         for m in _UTF8.finditer(raw):
+            if any(ch > "\x7f" and ch not in PAGES[page] for ch in word[m.start() : m.end()]):
+                continue  # a character that the page does not have
             try:
                 right = m.group().encode("latin-1").decode("utf-8")
             except UnicodeDecodeError:
@@ -251,9 +268,7 @@ class Solver:
 
     def _utf8(self, plain: str) -> Iterator[tuple[str, str, float]]:
         """Readings as UTF-8, undone as often as it goes; each undoing makes a word shorter, so this ends."""
-        for page in PAGES:
-            if not PAIRS[page].search(plain + "\xa0"):
-                continue
+        for page in _utf8_pages(plain + "\xa0"):
             now = self.undo_utf8(plain, page)
             if now == plain:
                 # a last byte that became a space: UTF-8 that ends too early
@@ -266,8 +281,8 @@ class Solver:
                 now, turns = todo.pop()
                 fresh = sum(ch > "\x7f" and ch not in plain for ch in now)
                 yield f"utf-8 as {page}", now, FORM * (max(1, fresh) + turns - 1)
-                for other in PAGES:
-                    if PAIRS[other].search(now) and (new := self.undo_utf8(now, other)) not in seen:
+                for other in _utf8_pages(now):
+                    if (new := self.undo_utf8(now, other)) not in seen:
                         seen.add(new)
                         todo.append((new, turns + 1))
 
@@ -296,8 +311,8 @@ class Solver:
                 found.append((self.names[low.bit_length() - 1], new, 0.0))
                 fits ^= low
         for page, codes in PAGES.items():
-            if all(ch in codes for ch in high):
-                raw = bytes(codes.get(ch, ord(ch) & 127) for ch in plain)
+            if all(map(codes.__contains__, high)):
+                raw = plain.translate(RAW[page]).encode("latin-1")
                 for double in DOUBLE:
                     try:
                         new = raw.decode(double)
@@ -350,16 +365,31 @@ def _bigrams(weighted: DataFrame) -> dict[tuple[str, str], float]:
     return {(r.a, r.b): r.n for r in rows.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
 
 
+def _lists(rows: list[list[tuple]], kinds: list[tuple[str, pa.DataType]]) -> pa.ListArray:
+    """Lists of structs out of lists of tuples."""
+    flat = list(zip(*(x for row in rows for x in row), strict=True)) or [()] * len(kinds)
+    structs = pa.StructArray.from_arrays([pa.array(column, kind) for column, (_, kind) in zip(flat, kinds, strict=True)], names=[name for name, _ in kinds])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), structs)
+
+
+def _tuples(column: pa.ListArray) -> list[list[tuple]]:
+    """As ``_lists``, back."""
+    flat = column.flatten()
+    rows = list(zip(*(flat.field(k).to_pylist() for k in range(flat.type.num_fields)), strict=True))
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    return [rows[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def _read(words: DataFrame) -> DataFrame:
     """Every word (word, n) once, with its readings under all swaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solver = Solver()
         for batch in batches:
-            found = [[{"swap": s, "new": new, "form": form} for s, new, form in solver.readings(w)] for w in batch.column(0).to_pylist()]
+            found = [solver.readings(w) for w in batch.column(0).to_pylist()]
             alike = [solver.alike(w) if f else None for w, f in zip(batch.column(0).to_pylist(), found, strict=True)]
-            kind = pa.list_(pa.struct([("swap", pa.string()), ("new", pa.string()), ("form", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.string()), pa.array(found, kind)], names=["word", "n", "alike", "readings"])
+            readings = _lists(found, [("swap", pa.string()), ("new", pa.string()), ("form", pa.float64())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.string()), readings], names=["word", "n", "alike", "readings"])
 
     return words.mapInArrow(run, f"word string, n double, alike string, readings {_READING}")
 
@@ -391,32 +421,44 @@ def gains(bigrams: Bigrams, word: str, alike: str | None, readings: list[tuple[s
     return out
 
 
-def _score(read: DataFrame, bigrams: Bigrams, base: dict[str, float], other: float) -> DataFrame:
+#: Log odds, all told, below which a reading of a word is not taken up in a step of EM.
+FAINT = -5.0
+
+
+def _score(read: DataFrame, bigrams: Bigrams, base: dict[str, float], other: float, most: dict[str, float], least: float = FAINT) -> DataFrame:
+    """The words with readings of some weight: ``most`` are the log odds of each swap in the source where they are greatest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("swap", pa.string()), ("new", pa.string()), ("gain", pa.float64()), ("base", pa.float64())]))
         for batch in batches:
             keep, found = [], []
-            for row, (word, alike, readings) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                got = gains(bigrams, word, alike, [(r["swap"], r["new"], r["form"]) for r in readings], base, other)
+            for row, (word, alike, readings) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _tuples(batch.column(3)), strict=True)):
+                got = [g for g in gains(bigrams, word, alike, readings, base, other) if g[2] + max(g[3], most.get(g[0], g[3])) > least]
                 if got:
                     keep.append(row)
-                    found.append([{"swap": s, "new": new, "gain": gain, "base": odds} for s, new, gain, odds in got])
+                    found.append(got)
             chosen = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(found, kind)], names=["word", "n", "entries"])
+            entries = _lists(found, [("swap", pa.string()), ("new", pa.string()), ("gain", pa.float64()), ("base", pa.float64())])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), entries], names=["word", "n", "entries"])
 
     return read.where(F.size("readings") > 0).mapInArrow(run, _SCORED)
 
 
-def _logits(counted: DataFrame, scored: DataFrame, odds: DataFrame | None) -> DataFrame:
-    """source, word, n and each reading's score: its gain and the log odds of its swap in the source.
+#: Rows up to which a written table is broadcast; beyond them Spark joins by sorting and splits hot keys.
+BROADCAST = 200_000
 
-    Words of a source meet the distinct words' readings; Spark broadcasts those where they turn out
-    small and splits hot words in the sort-merge join otherwise.
-    """
-    rows = counted.join(scored.select("word", "entries"), "word")
+
+def _small(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """The table written once, marked for broadcast if it is counted to be small (``size``: of each row)."""
+    df = cut(df)
+    return F.broadcast(df) if (df.agg(F.sum(F.lit(1) if size is None else size)).first()[0] or 0) <= BROADCAST else df
+
+
+def _logits(counted: DataFrame, scored: DataFrame, odds: DataFrame | None) -> DataFrame:
+    """source, word, n and each reading's score: its gain and the log odds of its swap in the source."""
+    rows = counted.join(_small(scored.select("word", "entries"), F.size("entries") + 1), "word")
     known = F.create_map().cast("map<string,double>") if odds is None else F.col("odds")
     if odds is not None:
-        rows = rows.join(odds, "source", "left")
+        rows = rows.join(_small(odds, F.size("odds") + 1), "source", "left")
     return rows.select("source", "word", "n", F.transform("entries", lambda e: F.struct((e["gain"] + F.coalesce(F.try_element_at(known, e["swap"]), e["base"])).alias("score"), e["swap"].alias("swap"), e["new"].alias("new"))).alias("entries"))
 
 
@@ -427,7 +469,7 @@ def _expect(counted: DataFrame, scored: DataFrame, odds: DataFrame | None) -> Da
     rows = rows.withColumn("top", top)
     total = F.aggregate("entries", F.exp(-F.col("top")), lambda acc, e: acc + F.exp(e["score"] - F.col("top")))
     rows = rows.withColumn("total", total).select("source", "word", "n", "top", "total", F.explode("entries").alias("e"))
-    return rows.select("source", "word", F.col("e.swap").alias("swap"), F.col("e.new").alias("new"), (F.col("n") * F.exp(F.col("e.score") - F.col("top")) / F.col("total")).alias("n")).where(F.col("n") > 1e-3)
+    return rows.select("source", "word", F.col("e.swap").alias("swap"), F.col("e.new").alias("new"), (F.col("n") * F.exp(F.col("e.score") - F.col("top")) / F.col("total")).alias("n")).where(F.col("n") > 1e-2)
 
 
 def learn(spans: DataFrame) -> dict:
@@ -457,9 +499,9 @@ def learn(spans: DataFrame) -> dict:
         return Bigrams(pairs)
 
     own = distinct.select("word", "n")
-    bigrams, odds, base, other, last = merged(own), None, {}, START, None
+    bigrams, odds, base, other, most, last = merged(own), None, {}, START, {}, None
     for _ in range(STEPS):
-        expected = cut(_expect(counted, _score(distinct, bigrams, base, other), odds))
+        expected = cut(_expect(counted, _score(distinct, bigrams, base, other, most), odds))
         found = {r.swap: r.n for r in expected.groupBy("swap").agg(F.sum("n").alias("n")).collect()}  # as many as there are swaps
         bigrams = merged(own, expected.select("word", (-F.col("n")).alias("n")), expected.where(F.col("swap") != LOST).select(F.col("new").alias("word"), "n"))
         now = sum(found.values())
@@ -473,11 +515,13 @@ def learn(spans: DataFrame) -> dict:
         prior = 5 * F.coalesce(F.try_element_at(general, F.col("swap")), F.lit(1e-6))
         by_source = own_swaps.groupBy("source").agg(F.sum("n").alias("damaged")).join(totals, "source").select("source", (F.greatest(F.col("words") - F.col("damaged"), F.lit(0.0)) + 5 * none).alias("clean"))
         each = own_swaps.where(F.col("n") >= EVIDENCE).join(by_source, "source").select("source", "swap", F.log((F.col("n") + prior) / F.col("clean")).alias("odds"))
+        each = cut(each)
+        most = {r.swap: r.odds for r in each.groupBy("swap").agg(F.max("odds").alias("odds")).collect()}
         odds = each.groupBy("source").agg(F.map_from_entries(F.collect_list(F.struct("swap", "odds"))).alias("odds"))
         if last is not None and abs(now - last) <= SETTLED * max(now, 1.0):
             break
         last = now
-    return {"bigrams": bigrams, "odds": odds, "base": base, "other": other, "counted": counted, "distinct": distinct, "expected": expected}
+    return {"bigrams": bigrams, "odds": odds, "base": base, "other": other, "most": most, "counted": counted, "distinct": distinct, "expected": expected}
 
 
 #: Ciphers of sources: mean log likelihood of a step beside a high character below which a source's words are no text as
@@ -602,16 +646,22 @@ def solve_cipher(pairs: dict[tuple[str, str], float], bigrams: Bigrams) -> tuple
 def ciphers(learnt: dict) -> DataFrame:
     """source and table (character to letter) of the sources with a cipher of no known swap.
 
-    What known swaps leave is counted as pairs by source, and a source is looked at whose pairs the
-    other sources make unlikely. Its mapping is kept if it gains PRICE for every letter.
+    A source is looked at if more than half of its words with high characters are in no other source and
+    no known swap explains them. What known swaps leave of it is counted as pairs, and its mapping is
+    learnt if the other sources make the pairs unlikely, and kept if it gains PRICE for every letter.
     """
     bigrams: Bigrams = learnt["bigrams"]
-    done = learnt["expected"].groupBy("source", "word").agg(F.sum("n").alias("done"))
-    rest = learnt["counted"].join(done, ["source", "word"], "left").select("source", "word", (F.col("n") - F.coalesce("done", F.lit(0.0))).alias("n")).where(F.col("n") > 0.5)
+    everywhere = _small(learnt["distinct"].select("word", F.col("n").alias("all")))
+    alone = learnt["counted"].join(everywhere, "word").groupBy("source").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("n") == F.col("all"), F.col("n"))).alias("own"))
+    alone = _small(alone.where((F.col("own") * 2 > F.col("words")) & (F.col("words") * 4 >= ENOUGH)).select("source"))
+    done = learnt["expected"].join(alone, "source", "left_semi").groupBy("source", "word").agg(F.sum("n").alias("done"))
+    rest = learnt["counted"].join(alone, "source", "left_semi").join(done, ["source", "word"], "left").select("source", "word", (F.col("n") - F.coalesce("done", F.lit(0.0))).alias("n")).where(F.col("n") > 0.5)
     pairs = cut(_source_pairs(rest))
     spark = pairs.sparkSession
     # bounded by the square of the symbols
-    known = spark.createDataFrame(pd.DataFrame([(a, b, float(n), float(bigrams.first[a]), bigrams.share.get(b, 0.0)) for (a, b), n in bigrams.pairs.items()], columns=["a", "b", "pair", "first", "share"]), "a string, b string, pair double, first double, share double")
+    rows = [(a, b, float(n), float(bigrams.first[a]), bigrams.share.get(b, 0.0)) for (a, b), n in bigrams.pairs.items()]
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    known = spark.createDataFrame(pa.table({name: pa.array(column, kind) for name, column, kind in zip(("a", "b", "pair", "first", "share"), columns, (pa.string(), pa.string(), *[pa.float64()] * 3), strict=True)}))
     firsts = pairs.groupBy("source", "a").agg(F.sum("n").alias("of_first"))
     others = F.greatest(F.coalesce("pair", F.lit(0.0)) - F.col("n"), F.lit(0.0)) + Bigrams.SMOOTH * F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(1e-7))
     seen = pairs.join(F.broadcast(known), ["a", "b"], "left").join(firsts, ["source", "a"]).select("source", "n", F.greatest(F.log(others / (F.greatest(F.coalesce("first", F.lit(0.0)) - F.col("of_first"), F.lit(0.0)) + Bigrams.SMOOTH)), F.lit(Bigrams.UNSEEN)).alias("step"))
@@ -629,9 +679,9 @@ def ciphers(learnt: dict) -> DataFrame:
 def damaged(spans: DataFrame) -> DataFrame:
     """source, word, swap and reading of every word of a source that a swap or cipher explains better than 'none'."""
     learnt = learn(spans)
-    scored = _score(learnt["distinct"], learnt["bigrams"], learnt["base"], learnt["other"])
+    scored = _score(learnt["distinct"], learnt["bigrams"], learnt["base"], learnt["other"], learnt["most"], 0.0)
     rows = _logits(learnt["counted"], scored, learnt["odds"]).select("source", "word", F.array_max("entries").alias("e")).where(F.col("e.score") > 0)
-    known = rows.select("source", "word", "e.swap", "e.new")
+    known = cut(rows.select("source", "word", "e.swap", "e.new"))
     tables = ciphers(learnt)
     if tables.isEmpty():
         return known
@@ -654,7 +704,7 @@ def found(pdf_spans: DataFrame, styled_spans: DataFrame) -> DataFrame:
     """src and span_id of the garbled spans, each once: those with a damaged word of their source."""
     spans = spans_of(pdf_spans, styled_spans)
     words = _words(spans.where(_wide("text")), "src", "span_id", "source").where(_wide("word"))
-    return words.join(damaged(spans).select("source", "word"), ["source", "word"], "left_semi").select("src", "span_id").distinct()
+    return words.join(_small(damaged(spans).select("source", "word")), ["source", "word"], "left_semi").select("src", "span_id").distinct()
 
 
 def restore(pdf_spans: DataFrame, styled_spans: DataFrame) -> DataFrame:
@@ -666,7 +716,7 @@ def restore(pdf_spans: DataFrame, styled_spans: DataFrame) -> DataFrame:
     """
     spans = spans_of(pdf_spans, styled_spans)
     words = _words(spans.where(_wide("text")), "src", "span_id", "source").where(_wide("word")).distinct()
-    hits = words.join(damaged(spans), ["source", "word"]).groupBy("src", "span_id").agg(F.collect_set(F.struct("word", "new")).alias("readings"), F.array_sort(F.collect_set("swap")).alias("swaps"))
+    hits = words.join(_small(damaged(spans)), ["source", "word"]).groupBy("src", "span_id").agg(F.collect_set(F.struct("word", "new")).alias("readings"), F.array_sort(F.collect_set("swap")).alias("swaps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
