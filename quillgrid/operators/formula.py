@@ -246,6 +246,41 @@ class Value:
 
 BLANK = Value("blank")
 
+#: Functions of the workbook dialect for which a range may come as a Block.
+FOLDS = ("SUM", "AVERAGE", "MIN", "MAX", "COUNT", "COUNTA", "AND", "OR")
+
+
+@dataclass(frozen=True)
+class Block:
+    """A range folded: its cells (without those of ``inside``, which are formulas), those not blank, numbers, their total with what
+    counts as a number, errors, least and greatest number, true ones."""
+
+    size: int
+    filled: int = 0
+    numbers: int = 0
+    total: float = 0.0
+    errors: int = 0
+    low: float | None = None
+    high: float | None = None
+    true: int = 0
+    inside: tuple = ()
+
+
+def foldable(expr: tuple) -> set[tuple]:
+    """The ranges of an expression that stand in folds only."""
+    inside, outside, stack = set(), set(), [(expr, False)]
+    while stack:
+        e, fold = stack.pop()
+        if e[0] == "range":
+            (inside if fold else outside).add(e)
+        elif e[0] == "unary":
+            stack.append((e[2], False))
+        elif e[0] == "binary":
+            stack += ((e[2], False), (e[3], False))
+        elif e[0] == "call":
+            stack += [(x, e[1] in FOLDS) for x in e[2]]
+    return inside - outside
+
 
 def number(x: float) -> Value:
     return Value("number", float(x))
@@ -272,10 +307,12 @@ class Evaluator:
 
     Results are kept, so diamonds of references cost nothing. In the workbook dialect all cells of a
     cycle, and what needs them as a number, show an error; in the sheet dialect a cycle raises.
+    ``blocks`` has the folded values of ranges, by (sheet, and the range as the formula has it, and the
+    sheet it stands on); of their cells only formulas are looked at one by one.
     """
 
-    def __init__(self, cells: dict[tuple[str, int, int], object], dialect: str = WORKBOOK, sheets: list[str] | None = None):
-        self.cells, self.dialect = cells, dialect
+    def __init__(self, cells: dict[tuple[str, int, int], object], dialect: str = WORKBOOK, sheets: list[str] | None = None, blocks: dict[tuple, Block] | None = None):
+        self.cells, self.dialect, self.blocks = cells, dialect, blocks or {}
         self.sheets = {s.lower(): s for s in (sheets if sheets is not None else dict.fromkeys(k[0] for k in cells))}
         self.done: dict[tuple[str, int, int], Value] = {}
         self.extent: dict[str, tuple[int, int]] = {}
@@ -297,6 +334,10 @@ class Evaluator:
         if e[0] == "ref":
             yield sheet, e[2], e[3]
             return
+        block = self.blocks.get((sheet, *e[2:])) if self.blocks else None
+        if block is not None:
+            yield from block.inside
+            return
         rows, cols = self.extent.get(sheet, (0, 0))
         r1, r2 = (0, rows) if e[2] is None else (e[2], e[4])
         c1, c2 = (0, cols) if e[3] is None else (e[3], e[5])
@@ -431,7 +472,8 @@ class Evaluator:
         if kind == "ref":
             return self.cell(*next(self._addresses(e, sheet)))
         if kind == "range":
-            return [self.cell(*a) for a in self._addresses(e, sheet)]
+            block = self.blocks.get((self._target(e[1], sheet), *e[2:])) if self.blocks else None
+            return [*([Value("block", block)] if block is not None else []), *(self.cell(*a) for a in self._addresses(e, sheet))]
         if kind == "unary":
             x = self.to_number(self._scalar(self._eval(e[2], sheet)))
             return number(-x if e[1] == "-" else x)
@@ -533,6 +575,10 @@ class Evaluator:
         def total() -> float:
             out = 0.0
             for v in flat:
+                if v.kind == "block":
+                    if v.value.errors:
+                        raise EvalError("an error in a range")
+                    out += v.value.total
                 if v.kind == "error":
                     raise EvalError(v.value)
                 if v.kind == "number" or v.kind == "bool":
@@ -557,22 +603,24 @@ class Evaluator:
 
         if name == "SUM":
             return number(total())
+        folded = [v.value for v in flat if v.kind == "block"]
         if name == "AVERAGE":
-            n = sum(v.kind == "number" for v in flat)
+            n = sum(v.kind == "number" for v in flat) + sum(b.numbers for b in folded)
             return number(total() / n) if n else Value("error", "#DIV/0!")
         if name in ("MIN", "MAX"):
-            xs = [x for v in flat if (x := maybe(v)) is not None]
+            xs = [x for v in flat if v.kind != "block" and (x := maybe(v)) is not None]
+            xs += [x for b in folded for x in (b.low, b.high, 0.0 if b.size > b.filled else None) if x is not None]
             return number((min(xs) if name == "MIN" else max(xs)) if xs else 0.0)
         if name == "COUNT":
-            return number(sum(v.kind == "number" for v in flat))
+            return number(sum(v.kind == "number" for v in flat) + sum(b.numbers for b in folded))
         if name == "COUNTA":
-            return number(sum(v.kind != "blank" for v in flat))
+            return number(sum(v.kind not in ("blank", "block") for v in flat) + sum(b.filled for b in folded))
         if name == "IF":
             return at(1) if self.to_bool(at(0)) else at(2)
         if name == "AND":
-            return Value("bool", all(truth(v) for v in flat))
+            return Value("bool", all(v.value.true == v.value.size if v.kind == "block" else truth(v) for v in flat))
         if name == "OR":
-            return Value("bool", any(truth(v) for v in flat))
+            return Value("bool", any(v.value.true > 0 if v.kind == "block" else truth(v) for v in flat))
         if name == "NOT":
             return Value("bool", not self.to_bool(at(0)))
         if name == "ABS":

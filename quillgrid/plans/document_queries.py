@@ -181,6 +181,12 @@ def recalc_report(spark, root):
     return recalc.errors(recalc.evaluate(recalc.latest(cells)), cells.select("doc_key", recalc.sheet_name().alias("sheet"), "sheet_no"))
 
 
+@_add("recalc_status", None)
+def recalc_status(spark, root):
+    """Status and totals of every workbook with formulas."""
+    return recalc.report(recalc.evaluate(recalc.latest(table(spark, root, "cells"))))
+
+
 @_add("stored_error_report", "SELECT value AS error, count(*) AS n FROM cells WHERE kind = 'error' GROUP BY value")
 def stored_error_report(spark, root):
     return table(spark, root, "cells").where(F.col("kind") == "error").groupBy(F.col("value").alias("error")).agg(F.count("*").alias("n"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillgrid.operators import changes
+from quillgrid.operators import changes, rewrite
 from quillgrid.operators.formula import shift
 from quillgrid.plans import convert
 from quillgrid.sources import delimited, markup, packages, sinks
@@ -115,24 +116,28 @@ def tracked_changes(spark, root):
     body = '<w:document xmlns:w="w"><w:body><w:p><w:ins><w:r><w:t>new</w:t></w:r></w:ins><w:del><w:r><w:delText>old</w:delText></w:r></w:del></w:p></w:body></w:document>'
     accepted = changes.accept_all(_files(spark, {"a.docx": sinks.pack([("word/document.xml", body)])}))
 
-    def text(data: bytes) -> str:
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            return z.read("word/document.xml").decode()
+    def text(batches):
+        for batch in batches:
+            parts = []
+            for data in batch.column(1).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    parts.append(z.read("word/document.xml").decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.string())], names=["path", "text"])
 
-    body_text = F.udf(text, "string")("content")
-    return accepted.select("path", body_text.contains("new").alias("kept"), body_text.contains("old").alias("dropped"))
+    texts = accepted.select("path", "content").mapInArrow(text, "path string, text string")
+    return texts.select("path", F.col("text").contains("new").alias("kept"), F.col("text").contains("old").alias("dropped"))
 
 
 @_add("shared_formula_shift", "formula, moved", [("SUM(Sheet2!A:A)+Sheet2!B1", "SUM(Sheet2!C:C)+Sheet2!D5"), ("$A$1+A$1+$A1", "$A$1+C$1+$A5"), ('"A1"&B2', '"A1"&D6')])
 def shared_formula_shift(spark, root):
     formulas = spark.createDataFrame([("SUM(Sheet2!A:A)+Sheet2!B1",), ("$A$1+A$1+$A1",), ('"A1"&B2',)], "formula string")
-    return formulas.select("formula", F.udf(lambda f: shift(f, 4, 2), "string")("formula").alias("moved"))
+    return formulas.select("formula", F.pandas_udf(lambda f: f.map(lambda x: shift(x, 4, 2)), "string")("formula").alias("moved"))
 
 
 @_add("latex_flatten", "latex, flat, mathml", [(r"\frac{a+b}{c}", "(a+b)/(c)", "<mfrac><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><mi>c</mi></mfrac>"), ("x^2+y_1", "x^2+y_1", "<mrow><msup><mi>x</mi><mn>2</mn></msup><mo>+</mo><msub><mi>y</mi><mn>1</mn></msub></mrow>")])
 def latex_flatten(spark, root):
     df = spark.createDataFrame([(r"\frac{a+b}{c}",), ("x^2+y_1",)], "latex string")
-    return df.select("latex", F.udf(lambda t: markup.flat_math(markup.parse_latex(t)), "string")("latex").alias("flat"), F.udf(lambda t: markup.mathml(markup.parse_latex(t)), "string")("latex").alias("mathml"))
+    return df.select("latex", F.pandas_udf(lambda s: s.map(lambda t: markup.flat_math(markup.parse_latex(t))), "string")("latex").alias("flat"), F.pandas_udf(lambda s: s.map(lambda t: markup.mathml(markup.parse_latex(t))), "string")("latex").alias("mathml"))
 
 
 # Every route, written out.
@@ -165,3 +170,62 @@ def recalculated_workbook(spark, root):
     from quillgrid.functions.texts import a1
 
     return packages.read_cells(fresh).where(F.col("kind") == "formula").select(a1(F.col("row_no"), F.col("col_no")).alias("address"), "num")
+
+
+_MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+#: A workbook as another program writes it: shared strings, styles, names, widths, stale values, a calculation chain.
+_FOREIGN = [
+    ("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/calcChain.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.calcChain+xml"/></Types>'),
+    ("xl/workbook.xml", f'<workbook {_MAIN} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Main" sheetId="1" r:id="rId1"/><sheet name="Gone" sheetId="2" r:id="rId9"/><sheet name="Data" sheetId="3" r:id="rId2"/></sheets><definedNames><definedName name="x">Main!$A$1</definedName></definedNames><calcPr calcId="1" calcMode="manual" fullCalcOnLoad="1"/></workbook>'),
+    ("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="t/worksheet" Target="worksheets/one.xml"/><Relationship Id="rId2" Type="t/worksheet" Target="/xl/worksheets/two.xml"/><Relationship Id="rId3" Type="t/sharedStrings" Target="sharedStrings.xml"/><Relationship Id="rId4" Type="t/calcChain" Target="calcChain.xml"/></Relationships>'),
+    ("xl/sharedStrings.xml", f'<sst {_MAIN}><si><t>Pen</t></si><si><r><t>In</t></r><r><t>k &amp; co</t></r></si></sst>'),
+    ("xl/styles.xml", f"<styleSheet {_MAIN}><fonts/></styleSheet>"),
+    ("xl/calcChain.xml", f'<calcChain {_MAIN}><c r="C1"/></calcChain>'),
+    ("xl/worksheets/one.xml", f'<worksheet {_MAIN}><cols><col min="1" max="1" width="20"/></cols><sheetData><row r="1"><c r="A1" s="2"><v>40</v></c><c r="B1"><v>2</v></c><c r="C1" s="3"><f>A1+B1</f><v>0</v></c></row><row r="2"><c r="A2" t="s"><v>0</v></c><c r="B2" t="s"><v>1</v></c><c r="C2" t="str"><f>A2&amp;"-"&amp;B2</f><v>old</v></c></row><row r="3"><c r="A3"><f>1/0</f><v>1</v></c><c r="B3"><f>A1&gt;B1</f></c><c r="C3"><f t="shared" ref="C3:C4" si="0">A1*2</f><v>9</v></c></row><row r="4"><c r="C4"><f t="shared" si="0"/><v>9</v></c><c r="D4"><f>Data!A1+1</f><v/></c></row></sheetData></worksheet>'),
+    ("xl/worksheets/two.xml", f'<worksheet {_MAIN}><sheetData><row><c><v>41</v></c><c t="inlineStr"><is><t>in line</t></is></c><c t="b"><v>1</v></c><c t="e"><v>#N/A</v></c></row></sheetData></worksheet>'),
+]
+
+
+@_add("foreign_workbook", "sheet_no, sheet, row_no, col_no, kind, value, num, flag", [
+    (0, "Main", 0, 0, "number", None, 40.0, None), (0, "Main", 0, 1, "number", None, 2.0, None), (0, "Main", 0, 2, "formula", "A1+B1", 0.0, None), (0, "Main", 1, 0, "text", "Pen", None, None), (0, "Main", 1, 1, "text", "Ink & co", None, None), (0, "Main", 1, 2, "formula", 'A2&"-"&B2', None, None),
+    (0, "Main", 2, 0, "formula", "1/0", 1.0, None), (0, "Main", 2, 1, "formula", "A1>B1", None, None), (0, "Main", 2, 2, "formula", "A1*2", 9.0, None), (0, "Main", 3, 2, "formula", "A2*2", 9.0, None), (0, "Main", 3, 3, "formula", "Data!A1+1", None, None),
+    (2, "Data", 0, 0, "number", None, 41.0, None), (2, "Data", 0, 1, "text", "in line", None, None), (2, "Data", 0, 2, "bool", None, None, True), (2, "Data", 0, 3, "error", "#N/A", None, None),
+])
+def foreign_workbook(spark, root):
+    """Shared strings, shared formulas, a missing sheet part and cells without addresses."""
+    return packages.read_cells(_files(spark, {"a.xlsx": sinks.pack(_FOREIGN)})).select("sheet_no", "sheet", "row_no", "col_no", "kind", "value", "num", "flag")
+
+
+@_add("rewritten_workbook", "address, type, value", [("C1", None, "42"), ("C2", "str", "Pen-Ink & co"), ("A3", "e", "#DIV/0!"), ("B3", "b", "1"), ("C3", None, "80"), ("C4", "e", "#VALUE!"), ("D4", None, "42")])
+def rewritten_workbook(spark, root):
+    """Cached values and their types after recalculation in place."""
+    done = rewrite.rewrite_files(_files(spark, {"a.xlsx": sinks.pack(_FOREIGN)}))
+
+    def cached(batches):
+        for batch in batches:
+            out = []
+            for data in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for c in packages.descendants(packages.parse_xml(z.read("xl/worksheets/one.xml")), "c"):
+                        if any(True for _ in packages.children(c, "f")):
+                            out.append((c.get("r"), c.get("t"), next(iter(packages.children(c, "v"))).text))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.string()) for k in range(3)], names=["address", "type", "value"])
+
+    return done.select("content").mapInArrow(cached, "address string, type string, value string")
+
+
+@_add("rewritten_parts", "name, kept", [("[Content_Types].xml", False), ("xl/workbook.xml", False), ("xl/_rels/workbook.xml.rels", False), ("xl/sharedStrings.xml", True), ("xl/styles.xml", True), ("xl/worksheets/one.xml", False), ("xl/worksheets/two.xml", True)])
+def rewritten_parts(spark, root):
+    """The members after recalculation, and which are as they were: no calculation chain, styles and other sheets untouched."""
+    before = dict(_FOREIGN)
+    done = rewrite.rewrite_files(_files(spark, {"a.xlsx": sinks.pack(_FOREIGN)}))
+
+    def members(batches):
+        for batch in batches:
+            out = []
+            for data in batch.column(0).to_pylist():
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    out += [(n, z.read(n).decode() == before.get(n)) for n in z.namelist()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.bool_())], names=["name", "kept"])
+
+    return done.select("content").mapInArrow(members, "name string, kept boolean")
