@@ -158,15 +158,12 @@ class Lattice:
             fresh: dict[tuple[str | None, str], tuple[float, tuple]] = {}
             for to in self.groups.get(ch, (ch,)):
                 kind = script(to)
-                best = None
                 for (had, last), (score, path) in layer.items():
-                    now = kind if kind else had
-                    s = score + self.pairs.get((last, to), UNSEEN) - (SWITCH_IN_WORD if had and kind and had != kind else 0.0)
-                    if best is None or s > best[0]:
-                        best = (s, (path, to), now)
-                at = (best[2], to)
-                if at not in fresh or best[0] > fresh[at][0]:
-                    fresh[at] = (best[0], best[1])
+                    score += self.pairs.get((last, to), UNSEEN) - (SWITCH_IN_WORD if had and kind and had != kind else 0.0)
+                    # a mark is of no script: the path keeps the one it had
+                    at = (kind or had, to)
+                    if at not in fresh or score > fresh[at][0]:
+                        fresh[at] = (score, (path, to))
             layer = fresh
         out: dict[str, tuple[float, str]] = {}
         for (kind, last), (score, path) in sorted(layer.items(), key=lambda x: (str(x[0][0]), x[0][1])):
@@ -303,7 +300,12 @@ def same_as_terms(cells: DataFrame, text_boxes: DataFrame, styled_spans: DataFra
     return found.where(F.col("text") != F.col("term")).select("src", "row_id", F.col("term_id").cast("long").alias("term_id"))
 
 
-def unified(cells: DataFrame, text_boxes: DataFrame, styled_spans: DataFrame) -> DataFrame:
-    """src, row_id and form of every row that has a text."""
+def unified(cells: DataFrame, text_boxes: DataFrame, styled_spans: DataFrame, terms: DataFrame) -> DataFrame:
+    """src, row_id and form of every row that has a text, by the bigrams that ``same_as_terms`` has.
+
+    A form that is the form of a term is given as the term is written.
+    """
     rows = texts_of(cells, text_boxes, styled_spans).where(F.col("text").isNotNull())
-    return forms(rows, ["src", "row_id"], "text", learn(rows.select("text"))).drop("text")
+    pairs = learn(rows.where(F.col("text") != "").select("text").unionByName(terms.select(F.col("term").alias("text"))))
+    named = forms(terms.where(F.col("term") != ""), ["term_id"], "term", pairs).groupBy("form").agg(F.min("text").alias("term"))
+    return forms(rows, ["src", "row_id"], "text", pairs).join(named, "form", "left").select("src", "row_id", F.coalesce("term", "form").alias("form"))

@@ -13,7 +13,7 @@ def p1_found(spark, root):
 
 
 def p1_forms(spark, root):
-    return lookalike.unified(*(table(spark, root, t) for t in ("cells", "text_boxes", "styled_spans")))
+    return lookalike.unified(*(table(spark, root, t) for t in ("cells", "text_boxes", "styled_spans", "term_catalog")))
 
 
 def p4_found(spark, root):

@@ -1,3 +1,4 @@
+import itertools
 import random
 import unicodedata
 
@@ -43,6 +44,31 @@ def test_visible_differences_stay(lattice):
     assert len(forms) == 8
 
 
+def test_viterbi_against_every_path(lattice):
+    """The best score of each script equals that of the best of all paths, marks within a word included."""
+    rng = random.Random(5)
+
+    def score(letters):
+        total, had, last = 0.0, None, "^"
+        for ch in letters:
+            kind = la.script(ch)
+            total += lattice.pairs.get((last, ch), la.UNSEEN) - (la.SWITCH_IN_WORD if had and kind and had != kind else 0.0)
+            had, last = kind or had, ch
+        return had, total + lattice.pairs.get((last, "$"), la.UNSEEN)
+
+    words = ["o\u0301", "co\u0301p", "x\u0301o\u0301"] + ["".join(rng.choice("ocpxaHbe\u0301\u0306") for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    for word in words:
+        key = word.translate(lattice.key)
+        best = {}
+        for letters in itertools.product(*(lattice.groups.get(ch, (ch,)) for ch in key)):
+            kind, total = score(letters)
+            best[kind] = max(best.get(kind, -1e9), total)
+        got = {kind: s for kind, (s, _) in lattice.word(key).items()}
+        assert got.keys() == best.keys() and all(abs(got[k] - best[k]) < 1e-9 for k in best), word
+        assert all(score(letters)[1] == pytest.approx(s) for s, letters in lattice.word(key).values())
+    assert len(lattice.word("o\u0301")) == 4
+
+
 def test_odd_texts(lattice):
     assert lattice.form(None) is None and lattice.form("") == "" and lattice.form("12 + 3") == "12 + 3" and lattice.form("​﻿") == ""
     assert lattice.form("学校。カタログ") == "学校。カタログ" and lattice.form("ﬁn") == "fin" and lattice.form("́") == "́"
@@ -62,7 +88,7 @@ def test_tables(spark):
     got = sorted(map(tuple, la.same_as_terms(cells, boxes, spans, terms).collect()))
     assert got == [("cells", 2, 1), ("cells", 2, 1), ("cells", 2, 5), ("cells", 2, 5), ("text_boxes", 7, 2)]
     assert la.same_as_terms(cells.limit(0), boxes.limit(0), spans, terms).collect() == [] and la.same_as_terms(cells, boxes, spans, terms.limit(0)).collect() == []
-    forms = {(r.src, r.row_id): r.form for r in la.unified(cells, boxes, spans).collect()}
+    forms = {(r.src, r.row_id): r.form for r in la.unified(cells, boxes, spans, terms).collect()}
     assert forms["cells", 2] == "Fixed Cost" and forms["text_boxes", 7] == "Сумма" and ("cells", 3) not in forms
 
 
