@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,3 +92,9 @@ def pt_to_mm(pt: Column) -> Column:
 
 def px_to_mm(px: Column) -> Column:
     return px.cast("double") * 0.264583
+
+
+def adler32(data: Column) -> Column:
+    """Adler-32 of bytes, as a long; null of null."""
+    # a worker's loop over bytes in C; no built-in function has this sum
+    return F.pandas_udf(lambda s: s.map(lambda b: zlib.adler32(b) if b is not None else None).astype("Int64"), "long")(data)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quillgrid.sources.packages import attr, local, parse_xml
 
@@ -62,10 +63,14 @@ def accept_package(data: bytes) -> bytes:
 def accept_all(files: DataFrame) -> DataFrame:
     """path and content of documents with changes accepted; one that cannot be read has null content."""
 
-    def one(data: bytes | None) -> bytes | None:
-        try:
-            return accept_package(bytes(data)) if data is not None else None
-        except (zipfile.BadZipFile, KeyError, ET.ParseError):
-            return None
-
-    return files.select("path", F.udf(one, "binary")("content").alias("content"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[bytes | None] = []
+            for data in batch.column(1).to_pylist():
+                try:
+                    out.append(accept_package(data) if data is not None else None)
+                except (zipfile.BadZipFile, KeyError, ET.ParseError):
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["path", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, content binary")

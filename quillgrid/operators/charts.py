@@ -62,3 +62,19 @@ def is_date_format(code: Column) -> Column:
     for part in DATE_PARTS:
         out = out | low.contains(part)
     return F.coalesce(out, F.lit(False))
+
+
+def types(points: DataFrame, by: list[str]) -> DataFrame:
+    """Of each chart its type, the kind of its first series or 'combo' where others differ, and its mode.
+
+    ``points`` has series_no and kind besides the columns ``by`` that name a chart.
+    """
+    return points.groupBy(*by).agg(
+        F.when(F.count_distinct("kind") > 1, "combo").otherwise(F.min_by("kind", "series_no")).alias("type"),
+        F.coalesce(mode(F.collect_set("kind")), F.lit("column")).alias("mode"),
+    )
+
+
+def family_means(rows: DataFrame, family: str, own: str, other: str) -> DataFrame:
+    """Means of two metrics by family, and the ratio of their sums (``other`` to ``own``; null where own adds up to 0)."""
+    return rows.groupBy(family).agg(F.avg(own).alias("own"), F.avg(other).alias("other"), F.try_divide(F.sum(other), F.sum(own)).alias("ratio"))

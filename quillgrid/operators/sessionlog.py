@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,8 @@ from quillgrid.functions import texts
 from quillgrid.session import InvalidInput
 
 RECENT = 20
+#: Events that a session keeps.
+KEPT = 500
 #: Words of commands that change a document.
 MUTATING = ("Set", "Insert", "Append", "Delete", "Add", "Create", "Update", "Remove", "Replace", "Execute")
 #: Family of a file name's extension.
@@ -68,7 +71,8 @@ class Services:
         self.singletons: dict[str, Callable] = {}
         self.factories: dict[str, Callable[[], Callable]] = {}
         self.listeners: dict[int, tuple[str | None, Callable]] = {}
-        self.events: list[tuple[int, str, str]] = []
+        self.events: deque[tuple[int, str, str]] = deque(maxlen=KEPT)
+        self.count = 0
 
     def register(self, name: str, function: Callable) -> None:
         self.singletons[name] = function
@@ -85,7 +89,8 @@ class Services:
         return self.listeners.pop(key, None) is not None
 
     def publish(self, source: str, topic: str) -> None:
-        self.events.append((len(self.events) + 1, source, topic))
+        self.count += 1
+        self.events.append((self.count, source, topic))
         for wanted, listener in list(self.listeners.values()):
             if wanted in (None, topic):
                 listener(source, topic)
@@ -99,4 +104,4 @@ class Services:
         return out
 
     def event_log(self) -> DataFrame:
-        return self.spark.createDataFrame(self.events, "event_id long, source string, topic string")
+        return self.spark.createDataFrame(list(self.events), "event_id long, source string, topic string")

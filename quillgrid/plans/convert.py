@@ -10,16 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from quillgrid.operators.formula import Evaluator, Value, display_number, number
 from quillgrid.session import EngineError, Unsupported
 from quillgrid.sources import markup, packages, sinks
-from quillgrid.sources.delimited import tokenize
 
 #: Targets of each family.
 TARGETS = {
-    "text": ("txt", "md", "html", "docx", "odt", "pdf"),
-    "spreadsheet": ("csv", "md", "html", "xlsx", "ods"),
-    "presentation": ("txt", "md", "html"),
-    "drawing": ("svg", "txt"),
-    "formula": ("mathml", "txt"),
-    "database": ("csv", "html", "odb"),
+    "text": ("txt", "md", "html", "docx", "odt", "pdf", "svg"),
+    "spreadsheet": ("csv", "md", "html", "xlsx", "ods", "svg", "pdf"),
+    "presentation": ("txt", "md", "html", "pptx", "odp", "svg", "pdf"),
+    "drawing": ("svg", "txt", "odg", "pdf"),
+    "formula": ("mathml", "txt", "odf", "svg", "pdf"),
+    "database": ("csv", "html", "odb", "svg", "pdf"),
 }
 
 
@@ -34,25 +33,7 @@ def route_table(spark: SparkSession) -> DataFrame:
 
 def _cells(data: bytes, kind: str) -> dict[str, list[tuple]]:
     sheets: dict[str, list[tuple]] = {}
-    if kind == "csv":
-        rows = tokenize(data.decode("utf-8", "replace"))
-        out = sheets.setdefault("Sheet1", [])
-        for r, row in enumerate(rows):
-            for c, field in enumerate(row):
-                t = field.strip()
-                if not t:
-                    continue
-                if t.startswith("="):
-                    out.append((r, c, "formula", t[1:], None, None))
-                elif t.lower() in ("true", "false"):
-                    out.append((r, c, "bool", None, None, t.lower() == "true"))
-                else:
-                    try:
-                        out.append((r, c, "number", None, float(t), None))
-                    except ValueError:
-                        out.append((r, c, "text", t, None, None))
-        return sheets
-    for _, sheet, *cell in (packages.xlsx_cells if kind == "xlsx" else packages.ods_cells)(data):
+    for _, sheet, *cell in packages.cells_of(data, kind):
         sheets.setdefault(sheet, []).append(tuple(cell))
     return sheets
 
@@ -173,19 +154,26 @@ def convert(data: bytes, source: str | None, target: str, title: str = "") -> by
         if target in ("docx", "odt"):
             return (sinks.docx_bytes if target == "docx" else sinks.odt_bytes)(flat)
         lines = [b[3] for b in flat if b[0] not in ("rule", "page_break")]
-        return "\n\n".join(lines).encode() if target == "txt" else pdf_bytes([x for t in lines for x in [*t.split("\n"), ""]])
+        if target == "txt":
+            return "\n\n".join(lines).encode()
+        return (pdf_bytes if target == "pdf" else sinks.lines_svg)([x for t in lines for x in [*t.split("\n"), ""]])
     if family == "spreadsheet":
         sheets = _cells(data, kind)
         if target in ("xlsx", "ods"):
             return (sinks.xlsx_bytes if target == "xlsx" else sinks.ods_bytes)(recalculated(sheets))
         ev = evaluated(sheets) if target == "html" else None
         grids = {s: _grid(s, rows, ev, sinks.CSV_ERROR if target == "csv" else "") for s, rows in sheets.items()}
-        if target == "csv":
-            return _csv(next(iter(grids.values()), [])).encode()
+        if target in ("csv", "svg"):
+            first = next(iter(grids.values()), [])
+            return _csv(first).encode() if target == "csv" else sinks.grid_svg(first)
+        if target == "pdf":
+            return pdf_bytes([line for s, g in grids.items() for line in [s, *("\t".join(row) for row in g), ""]])
         tables = [{"kind": "table", "rows": g} for g in grids.values() if g]
         return (markup.to_markdown(tables) if target == "md" else markup.to_html(tables, title)).encode() if tables else b"(empty sheet)"
     if family == "presentation":
         rows = list((packages.pptx_elements if kind == "pptx" else packages.odp_elements)(data))
+        if target in ("pptx", "odp"):
+            return (sinks.pptx_bytes if target == "pptx" else sinks.odp_bytes)(rows)
         blocks, last = [], None
         for slide, what, text in rows:
             if slide != last:
@@ -195,21 +183,34 @@ def convert(data: bytes, source: str | None, target: str, title: str = "") -> by
                 blocks.append(("paragraph", None, None, text))
         if target == "txt":
             return "\n\n".join(b[3] for b in blocks).encode()
+        if target in ("svg", "pdf"):
+            return (sinks.lines_svg if target == "svg" else pdf_bytes)([x for b in blocks for x in b[3].split("\n")])
         return (markup.to_markdown if target == "md" else markup.to_html)(_spans_blocks(blocks)).encode()
     if family == "drawing":
         shapes = list((packages.odg_elements if kind == "odg" else packages.svg_elements)(data))
-        return svg_bytes(shapes) if target == "svg" else "\n".join(s[-1] for s in shapes if s[-1]).encode()
+        if target in ("svg", "odg"):
+            return (svg_bytes if target == "svg" else sinks.odg_bytes)(shapes)
+        texts = [s[-1] for s in shapes if s[-1]]
+        return "\n".join(texts).encode() if target == "txt" else pdf_bytes([x for t in texts for x in t.split("\n")])
     if family == "formula":
-        if kind != "latex":
-            raise Unsupported(f"no reader for {kind}")
-        tree = markup.parse_latex(data.decode("utf-8", "replace"))
-        return (f'<math xmlns="http://www.w3.org/1998/Math/MathML">{markup.mathml(tree)}</math>' if target == "mathml" else markup.flat_math(tree)).encode()
+        if kind == "odf":
+            tree = markup.parse_mathml(packages.zip_entry(data, "content.xml").decode("utf-8", "replace"))
+        else:
+            tree = (markup.parse_latex if kind == "latex" else markup.parse_mathml)(data.decode("utf-8", "replace"))
+        if target in ("mathml", "odf"):
+            body = markup.mathml(tree)
+            return sinks.odf_formula_bytes(body) if target == "odf" else f'<math xmlns="http://www.w3.org/1998/Math/MathML">{body}</math>'.encode()
+        flat = markup.flat_math(tree)
+        return flat.encode() if target == "txt" else (sinks.lines_svg if target == "svg" else pdf_bytes)([flat])
     tables = {n: (cols, rows) for n, cols, rows in packages.odb_tables(data)}
     if target == "odb":
         return sinks.odb_bytes(tables)
     if target == "csv":
         cols, rows = next(iter(tables.values()), ([], []))
         return _csv([cols, *[["" if v is None else v for v in r] for r in rows]]).encode()
+    if target in ("svg", "pdf"):
+        grids = [[cols, *[[v or "" for v in r] for r in rows]] for cols, rows in tables.values()]
+        return sinks.grid_svg(next(iter(grids), [])) if target == "svg" else pdf_bytes([line for n, g in zip(tables, grids, strict=True) for line in [n, *("\t".join(row) for row in g), ""]])
     return markup.to_html([{"kind": "table", "rows": [cols, *[[v or "" for v in r] for r in rows]]} for cols, rows in tables.values()], title).encode()
 
 
@@ -219,8 +220,12 @@ def convert_files(files: DataFrame, target: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kinds, contents, errors = [], [], []
-            for data in batch.column(1).to_pylist():
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 kind = packages.sniff(data or b"")
+                named = packages.format_hint((path or "").rpartition(".")[2])
+                # markup of formulas is plain text by its bytes: there the file's name tells
+                if kind in (None, "txt") and packages.FAMILIES.get(named) == "formula":
+                    kind = named
                 kinds.append(kind)
                 try:
                     contents.append(convert(data or b"", kind, target))

@@ -8,10 +8,10 @@ import zipfile
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillgrid.operators import changes, rewrite
+from quillgrid.operators import changes, charts, rewrite
 from quillgrid.operators.formula import shift
 from quillgrid.plans import convert
-from quillgrid.sources import delimited, markup, packages, sinks
+from quillgrid.sources import delimited, markup, packages, pdf, sinks
 
 QUERIES = {}
 ORACLE: dict[str, str] = {}
@@ -142,12 +142,12 @@ def latex_flatten(spark, root):
 
 # Every route, written out.
 _ROUTES = """
-md txt html docx odt pdf doc : text : txt md html docx odt pdf
-csv xlsx ods : spreadsheet : csv md html xlsx ods
-pptx odp : presentation : txt md html
-odg svg : drawing : svg txt
-latex : formula : mathml txt
-odb : database : csv html odb
+md txt html docx odt pdf doc : text : txt md html docx odt pdf svg
+csv xlsx ods : spreadsheet : csv md html xlsx ods svg pdf
+pptx odp : presentation : txt md html pptx odp svg pdf
+odg svg : drawing : svg txt odg pdf
+latex mathml odf : formula : mathml txt odf svg pdf
+odb : database : csv html odb svg pdf
 """
 
 
@@ -229,3 +229,116 @@ def rewritten_parts(spark, root):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.bool_())], names=["name", "kept"])
 
     return done.select("content").mapInArrow(members, "name string, kept boolean")
+
+
+_CHART = """<c:chartSpace xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart"><c:chart><c:plotArea>
+<c:barChart><c:barDir val="col"/><c:ser><c:idx val="0"/><c:tx><c:strRef><c:strCache><c:pt idx="0"><c:v>Sales</c:v></c:pt></c:strCache></c:strRef></c:tx>
+<c:cat><c:strRef><c:strCache><c:ptCount val="3"/><c:pt idx="1"><c:v>Q2</c:v></c:pt><c:pt idx="0"><c:v>Q1</c:v></c:pt></c:strCache></c:strRef></c:cat>
+<c:val><c:numRef><c:numCache><c:pt idx="2"><c:v>7</c:v></c:pt><c:pt idx="0"><c:v>4.5</c:v></c:pt><c:pt idx="1"><c:v>n/a</c:v></c:pt></c:numCache></c:numRef></c:val></c:ser></c:barChart>
+<c:lineChart><c:ser><c:cat><c:numRef><c:numCache><c:formatCode>mmm yy</c:formatCode><c:pt idx="0"><c:v>45000</c:v></c:pt></c:numCache></c:numRef></c:cat>
+<c:val><c:numRef><c:numCache><c:pt idx="0"><c:v>-1e2</c:v></c:pt></c:numCache></c:numRef></c:val></c:ser></c:lineChart></c:plotArea></c:chart></c:chartSpace>"""
+_PIE = '<chartSpace><plotArea><doughnutChart><ser><val><numLit><pt idx="0"><v>1</v></pt></numLit></val></ser></doughnutChart></plotArea></chartSpace>'
+#: A presentation as another program writes it: slides out of order, a table, a picture, notes, charts.
+_DECK = [
+    ("ppt/presentation.xml", '<p:presentation xmlns:p="p" xmlns:r="r"><p:sldIdLst><p:sldId id="256" r:id="b"/><p:sldId id="257" r:id="a"/></p:sldIdLst></p:presentation>'),
+    ("ppt/_rels/presentation.xml.rels", '<Relationships><Relationship Id="a" Target="slides/slide1.xml"/><Relationship Id="b" Target="/ppt/slides/slide2.xml"/></Relationships>'),
+    ("ppt/slides/slide1.xml", '<p:sld xmlns:p="p" xmlns:a="a"><p:sp><p:txBody><a:p><a:r><a:t>Last </a:t></a:r><a:r><a:t>slide</a:t></a:r></a:p><a:p/><a:p><a:r><a:t>x &lt; y</a:t></a:r></a:p></p:txBody></p:sp></p:sld>'),
+    ("ppt/slides/slide2.xml", '<p:sld xmlns:p="p" xmlns:a="a"><p:pic><p:nvPicPr><p:cNvPr id="4" descr="A chart"/></p:nvPicPr></p:pic><a:tbl><a:tr><a:tc><a:t>k</a:t></a:tc><a:tc><a:t>v</a:t></a:tc></a:tr></a:tbl></p:sld>'),
+    ("ppt/slides/_rels/slide2.xml.rels", '<Relationships><Relationship Id="n" Target="../notesSlides/notesSlide1.xml"/></Relationships>'),
+    ("ppt/notesSlides/notesSlide1.xml", '<p:notes xmlns:p="p" xmlns:a="a"><a:p><a:r><a:t>Say it.</a:t></a:r></a:p></p:notes>'),
+    ("ppt/charts/chart1.xml", _CHART),
+    ("ppt/charts/chart2.xml", _PIE),
+]
+
+
+@_add("foreign_slides", "slide_no, kind, text", [(1, "image", "A chart"), (1, "table", "k | v"), (1, "notes", "Say it."), (2, "text_box", "Last slide\nx < y")])
+def foreign_slides(spark, root):
+    return packages.read_slides(_files(spark, {"a.pptx": sinks.pack(_DECK)})).select("slide_no", "kind", "text")
+
+
+@_add("chart_cache", "chart, series_no, series, kind, dated, pt_idx, category, y", [("ppt/charts/chart1.xml", 0, "Sales", "column", False, 0, "Q1", 4.5), ("ppt/charts/chart1.xml", 0, "Sales", "column", False, 2, None, 7.0), ("ppt/charts/chart1.xml", 1, "", "line", True, 0, "45000", -100.0), ("ppt/charts/chart2.xml", 0, "", "doughnut", False, 0, None, 1.0)])
+def chart_cache(spark, root):
+    """Cached points of charts by index; what is no number is left out."""
+    return packages.read_charts(_files(spark, {"a.pptx": sinks.pack(_DECK)})).select("chart", "series_no", "series", "kind", "dated", "pt_idx", "category", "y")
+
+
+@_add("chart_types", "chart, type, mode", [("ppt/charts/chart1.xml", "combo", "column"), ("ppt/charts/chart2.xml", "doughnut", "doughnut")])
+def chart_types(spark, root):
+    return charts.types(packages.read_charts(_files(spark, {"a.pptx": sinks.pack(_DECK)})), ["chart"])
+
+
+_ODF_NS = 'xmlns:office="o" xmlns:draw="d" xmlns:svg="s" xmlns:text="t" xmlns:table="b" xmlns:presentation="p"'
+
+
+@_add("foreign_odp", "slide_no, kind, text", [(1, "text_box", "Hello\nyou"), (1, "image", ""), (1, "notes", "quiet"), (2, "rectangle", "in box")])
+def foreign_odp(spark, root):
+    body = f'<office:document-content {_ODF_NS}><draw:page><draw:frame><draw:text-box><text:p>Hello</text:p><text:p>you</text:p></draw:text-box></draw:frame><draw:frame><draw:image/></draw:frame><presentation:notes><text:p>quiet</text:p></presentation:notes></draw:page><draw:page><draw:rect><text:p>in box</text:p></draw:rect></draw:page></office:document-content>'
+    return packages.read_slides(_files(spark, {"a.odp": sinks.pack([("mimetype", "application/vnd.oasis.opendocument.presentation"), ("content.xml", body)])})).select("slide_no", "kind", "text")
+
+
+@_add("foreign_odg", "page_no, kind, x_mm, y_mm, width_mm, height_mm, text", [(1, "rectangle", 10.0, 20.0, 30.0, 40.0, "r"), (1, "line", 0.0, 0.0, 25.4, 10.0, ""), (2, "text_box", 5.0, 5.0, 50.0, 10.0, "label")])
+def foreign_odg(spark, root):
+    body = f'<office:document-content {_ODF_NS}><draw:page><draw:rect svg:x="1cm" svg:y="20mm" svg:width="3cm" svg:height="40mm"><text:p>r</text:p></draw:rect><draw:line svg:x1="0mm" svg:y1="0mm" svg:x2="1in" svg:y2="10mm"/></draw:page><draw:page><draw:frame svg:x="5mm" svg:y="5mm" svg:width="50mm" svg:height="1cm"><draw:text-box><text:p>label</text:p></draw:text-box></draw:frame></draw:page></office:document-content>'
+    return packages.read_shapes(_files(spark, {"a.odg": sinks.pack([("mimetype", "application/vnd.oasis.opendocument.graphics"), ("content.xml", body)])})).select("page_no", "kind", "x_mm", "y_mm", "width_mm", "height_mm", "text")
+
+
+@_add("foreign_ods", "row_no, col_no, kind, value, num, flag", [(0, 0, "text", "Head", None, None), (1, 0, "number", None, 1.5, None), (2, 0, "number", None, 1.5, None), (1, 1, "text", "x", None, None), (1, 2, "text", "x", None, None), (2, 1, "text", "x", None, None), (2, 2, "text", "x", None, None), (5, 3, "bool", None, None, True)])
+def foreign_ods(spark, root):
+    """Header rows, repeated rows and columns, gaps."""
+    row = '<table:table-row table:number-rows-repeated="2"><table:table-cell office:value-type="float" office:value="1.5"/><table:table-cell table:number-columns-repeated="2" office:value-type="string"><text:p>x</text:p></table:table-cell></table:table-row>'
+    body = f'<office:document-content {_ODF_NS}><table:table table:name="T"><table:table-header-rows><table:table-row><table:table-cell office:value-type="string"><text:p>Head</text:p></table:table-cell></table:table-row></table:table-header-rows>{row}<table:table-row table:number-rows-repeated="2"><table:table-cell/></table:table-row><table:table-row><table:table-cell table:number-columns-repeated="3"/><table:table-cell office:value-type="boolean" office:boolean-value="true"/></table:table-row></table:table></office:document-content>'
+    return packages.read_cells(_files(spark, {"a.ods": sinks.pack([("mimetype", "application/vnd.oasis.opendocument.spreadsheet"), ("content.xml", body)])})).select("row_no", "col_no", "kind", "value", "num", "flag")
+
+
+@_add("csv_cells", "row_no, col_no, kind, value, num, flag", [(0, 0, "text", "Name", None, None), (0, 1, "text", "Qty", None, None), (1, 0, "text", "a, b", None, None), (1, 1, "number", None, 2.5, None), (2, 0, "bool", None, None, True), (2, 1, "formula", "B2*2", None, None)])
+def csv_cells(spark, root):
+    return packages.read_cells(_files(spark, {"a.csv": b'Name,Qty\n"a, b", 2.5\nTRUE,=B2*2\n'})).select("row_no", "col_no", "kind", "value", "num", "flag")
+
+
+@_add("database_rows", "path, table_name, row_no, name, age", [("a.csv", "data", 0, "Alice", "30"), ("a.csv", "data", 1, "Bob, B", None), ("b.odb", "People", 0, "Cara", "41")])
+def database_rows(spark, root):
+    """Rows of databases and CSV files alike."""
+    files = {"a.csv": b'name,age\nAlice,30\n"Bob, B",\n', "b.odb": sinks.pack([("mimetype", "application/vnd.oasis.opendocument.base"), ("content.xml", '<c xmlns:db="d"><db:table-representation db:name="People"/></c>'), ("database/People.csv", "name,age\nCara,41\n")])}
+    rows = packages.read_tables(_files(spark, files))
+    return rows.select("path", "table_name", "row_no", F.col("fields")["name"].alias("name"), F.col("fields")["age"].alias("age"))
+
+
+@_add("zip_entry", "path, text", [("a.zip", "hello")])
+def zip_entry(spark, root):
+    return packages.read_entry(_files(spark, {"a.zip": sinks.pack([("x", "no"), ("a/b.txt", "hello")])}), "a/b.txt").select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+@_add("formula_documents", "path, content", [("a.mml", "(a+b)/(c)"), ("b.odf", "x^2+y_1"), ("c.tex", "sqrt(2)")])
+def formula_documents(spark, root):
+    """MathML, formula packages and LaTeX as flat text."""
+    mathml = b'<?xml version="1.0"?><math xmlns="http://www.w3.org/1998/Math/MathML"><semantics><mfrac><mrow><mi>a</mi><mo>+</mo><mi>b</mi></mrow><mi>c</mi></mfrac><annotation encoding="t">no</annotation></semantics></math>'
+    odf = '<math:math xmlns:math="m"><math:mrow><math:msup><math:mi>x</math:mi><math:mn>2</math:mn></math:msup><math:mo>+</math:mo><math:msub><math:mi>y</math:mi><math:mn>1</math:mn></math:msub></math:mrow></math:math>'
+    files = {"a.mml": mathml, "b.odf": sinks.pack([("mimetype", "application/vnd.oasis.opendocument.formula"), ("content.xml", odf)]), "c.tex": b"\\sqrt{2}"}
+    return convert.convert_files(_files(spark, files), "txt").select("path", F.decode("content", "UTF-8").alias("content"))
+
+
+@_add("converted_back", "source, target, text", [
+    ("csv", "pdf", "Sheet1\na\tb\n1\t2"), ("csv", "svg", "a\nb\n1\n2"), ("pptx", "odp", "Last slide\nx < y"), ("pptx", "pptx", "Last slide\nx < y"), ("pptx", "pdf", "Slide 1\nk | v\nSay it.\nSlide 2\nLast slide\nx < y"), ("svg", "odg", "hi"), ("svg", "pdf", "hi"), ("odb", "pdf", "People\nname\tage\nCara\t41"), ("latex", "odf", "(a)/(2)"), ("md", "svg", "T\npara"),
+])
+def converted_back(spark, root):
+    """Texts read out of what the exporters wrote."""
+    sources = {
+        "csv": b"a,b\n1,2\n", "pptx": sinks.pack(_DECK), "svg": b'<svg xmlns="http://www.w3.org/2000/svg"><text x="1mm" y="2mm">hi</text></svg>', "latex": rb"\frac{a}{2}", "md": b"# T\n\npara\n",
+        "odb": sinks.pack([("mimetype", "application/vnd.oasis.opendocument.base"), ("content.xml", '<c xmlns:db="d"><db:table-representation db:name="People"/></c>'), ("database/People.csv", "name,age\nCara,41\n")]),
+    }
+
+    def text(data: bytes, target: str) -> str:
+        if target == "pdf":
+            return "\n".join(line for page in pdf.pages(data) for line in page if line)
+        if target == "svg":
+            return "\n".join(s[-1] for s in packages.svg_elements(data) if s[-1])
+        if target == "odg":
+            return "\n".join(s[-1] for s in packages.odg_elements(data))
+        if target == "odf":
+            return convert.convert(data, "odf", "txt").decode()
+        return next(t for n, kind, t in (packages.pptx_elements if target == "pptx" else packages.odp_elements)(data) if n == 2)
+
+    rows = []
+    for source, target in (("csv", "pdf"), ("csv", "svg"), ("pptx", "odp"), ("pptx", "pptx"), ("pptx", "pdf"), ("svg", "odg"), ("svg", "pdf"), ("odb", "pdf"), ("latex", "odf"), ("md", "svg")):
+        rows.append((source, target, text(convert.convert(sources[source], source, target), target)))
+    return spark.createDataFrame(rows, "source string, target string, text string")

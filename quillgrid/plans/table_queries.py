@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgrid.functions import numbers, texts
-from quillgrid.operators import charts, sessionlog
+from quillgrid.operators import charts, sessionlog, workspace
 from quillgrid.operators.formula import SHEET, WORKBOOK, Compiler, aggregate, average_cells
 from quillgrid.plans import dialect
 from quillgrid.session import table
@@ -247,9 +247,17 @@ def unit_conversion(spark, root):
     return table(spark, root, "text_boxes").select("box_id", F.round(numbers.emu_to_mm(w * 36000), 4).alias("emu_mm"), F.round(numbers.pt_to_mm(w), 4).alias("pt_mm"), F.round(numbers.px_to_mm(w), 4).alias("px_mm"))
 
 
-@_add("checksum", None)
+@_add("checksum", "SELECT * FROM (VALUES (0, 0, 1), (1, 3421780262, 152961502), (2, 3904355907, 6422626)) t(k, crc32, adler32)")
 def checksum(spark, root):
-    return table(spark, root, "part").select("p_partkey", F.crc32(F.col("p_name").cast("binary")).alias("crc"))
+    """Of '', '123456789' and 'a' + 'b': known values of both sums."""
+    texts_ = spark.createDataFrame([(0, ""), (1, "123456789"), (2, "a")], "k int, text string")
+    return texts_.select("k", F.crc32(F.col("text").cast("binary")).alias("crc32"), numbers.adler32(F.col("text").cast("binary")).alias("adler32"))
+
+
+@_add("family_means", "SELECT l_returnflag, round(avg(l_quantity), 6) AS own, round(avg(l_extendedprice), 6) AS other, round(sum(l_extendedprice) / sum(l_quantity), 6) AS ratio FROM lineitem GROUP BY 1")
+def family_means(spark, root):
+    out = charts.family_means(table(spark, root, "lineitem"), "l_returnflag", "l_quantity", "l_extendedprice")
+    return out.select("l_returnflag", *(F.round(c, 6).alias(c) for c in ("own", "other", "ratio")))
 
 
 # -- sessions -----------------------------------------------------------------------------------------------
@@ -277,6 +285,30 @@ def windowed_events(spark, root):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("total", 4).alias("total"))
 
 
+@_add("workspace_events", "SELECT * FROM (VALUES (5, 'Book', '.uno:EvaluateCell'), (4, 'Book', '.uno:SetCell'), (3, 'Book', '.uno:SetCell'), (2, 'workspace', 'open'), (1, 'workspace', 'open')) t(event_id, source, topic)")
+def workspace_events(spark, root):
+    """The last events of a session that opened two documents, set cells and evaluated one."""
+    w = workspace.Workspace(spark)
+    w.new("text", "Note")
+    book = w.load("spreadsheet", "Book", b"a,1\n")
+    w.execute(book, ".uno:SetCell", row=1, col=1, value="41")
+    w.execute(book, ".uno:SetCell", row=2, col=1, value="=B1+B2")
+    w.execute(book, ".uno:EvaluateCell", row=2, col=1)
+    return w.report()
+
+
+@_add("session_query_count", "SELECT * FROM (VALUES ('Alice', 2)) t(first, n)")
+def session_query_count(spark, root):
+    """A database built by commands; a query's command gives the number of its rows."""
+    w = workspace.Workspace(spark)
+    db = w.new("database", "Staff")
+    w.execute(db, ".uno:CreateTable", name="People", columns="name, age")
+    for row in ("Alice,30", "Bob,22", "Cara,41"):
+        w.execute(db, ".uno:InsertRow", table="People", row=row)
+    n = w.execute(db, ".uno:ExecuteQuery", sql="SELECT name FROM People WHERE age > 25")
+    return spark.createDataFrame([(w.get(db).content["People"][1][0][0], n)], "first string, n int")
+
+
 @_add("extension_kinds", "SELECT doc_key, CASE WHEN format IN ('docx', 'pdf', 'md', 'odt', 'html') THEN 'text' WHEN format IN ('xlsx', 'ods') THEN 'spreadsheet' WHEN format IN ('pptx', 'odp') THEN 'presentation' WHEN format IN ('odg', 'svg') THEN 'drawing' END AS kind FROM office_docs")
 def extension_kinds(spark, root):
     return table(spark, root, "office_docs").select("doc_key", sessionlog.kind_of(F.concat_ws(".", "doc_key", "format")).alias("kind"))

@@ -314,3 +314,23 @@ def flat_math(node: tuple) -> str:
         return node[1]
     parts = [flat_math(x) for x in node[1:]]
     return {"row": "".join(parts), "frac": "({})/({})", "sqrt": "sqrt({})", "sup": "{}^{}", "sub": "{}_{}"}[kind].format(*parts) if kind != "row" else "".join(parts)
+
+
+_MATH_TAGS = {"mn": "num", "mi": "id", "mo": "op", "mtext": "id", "mfrac": "frac", "msqrt": "sqrt", "msup": "sup", "msub": "sub"}
+
+
+def math_tree(node: ET.Element) -> tuple:
+    """Tree of MathML, as ``parse_latex`` gives it; elements unknown here are rows of what they hold, annotations are left out."""
+    kind = _MATH_TAGS.get(node.tag.rpartition("}")[2].rpartition(":")[2], "row")
+    if kind in ("num", "id", "op"):
+        return kind, "".join(node.itertext()).strip()
+    parts = [math_tree(x) for x in node if not x.tag.rpartition("}")[2].startswith("annotation")]
+    if kind in ("frac", "sup", "sub"):
+        return kind, *(parts + [("row",), ("row",)])[:2]
+    if kind == "sqrt":
+        return "sqrt", parts[0] if len(parts) == 1 else ("row", *parts)
+    return parts[0] if len(parts) == 1 else ("row", *parts)
+
+
+def parse_mathml(text: str) -> tuple:
+    return math_tree(lenient_xml(text))

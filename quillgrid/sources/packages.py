@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.operators.charts import DATE_PARTS
 from quillgrid.operators.formula import parse_address, shift
-from quillgrid.session import EngineError, Unsupported
+from quillgrid.session import EngineError, InvalidInput, Unsupported
 from quillgrid.sources import legacy, markup, pdf
 from quillgrid.sources.delimited import tokenize
 
@@ -339,6 +340,93 @@ def odt_blocks(data: bytes) -> Iterator[tuple]:
             return
 
 
+def csv_cells(data: bytes, sheet: str = "Sheet1") -> Iterator[tuple]:
+    """Cells of a CSV file, each of the kind its text has; blank fields are no cells."""
+    for r, row in enumerate(tokenize(data.decode("utf-8", "replace"))):
+        for c, field in enumerate(row):
+            t = field.strip()
+            if not t:
+                continue
+            if t.startswith("="):
+                yield 0, sheet, r, c, "formula", t[1:], None, None
+            elif t.lower() in ("true", "false"):
+                yield 0, sheet, r, c, "bool", None, None, t.lower() == "true"
+            elif (x := _number(t)) is not None:
+                yield 0, sheet, r, c, "number", None, x, None
+            else:
+                yield 0, sheet, r, c, "text", t, None, None
+
+
+def cells_of(data: bytes, kind: str | None) -> Iterator[tuple]:
+    """Cells of a workbook of any format read here."""
+    readers = {"xlsx": xlsx_cells, "ods": ods_cells, "csv": csv_cells}
+    if kind not in readers:
+        raise Unsupported(f"no workbook: {kind}")
+    return readers[kind](data)
+
+
+def tables_of(data: bytes, kind: str | None, name: str = "data") -> list[tuple[str, list[str], list[list]]]:
+    """(name, columns, rows) of a database, or of a CSV file as one table of the given name."""
+    if kind == "odb":
+        return odb_tables(data)
+    if kind != "csv":
+        raise Unsupported(f"no database: {kind}")
+    rows = tokenize(data.decode("utf-8", "replace").removeprefix("\ufeff"))
+    return [(name, rows[0], [[x if x != "" else None for x in (*r, *[""] * (len(rows[0]) - len(r)))][: len(rows[0])] for r in rows[1:]])] if rows else []
+
+
+def zip_entry(data: bytes, name: str) -> bytes:
+    """One member of an archive."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if name not in z.namelist():
+            raise InvalidInput(f"no entry {name}")
+        return z.read(name)
+
+
+#: Kinds of charts by their element.
+CHARTS = {"barChart": "bar", "bar3DChart": "bar", "lineChart": "line", "line3DChart": "line", "areaChart": "area", "area3DChart": "area", "scatterChart": "scatter", "pieChart": "pie", "pie3DChart": "pie", "doughnutChart": "doughnut"}
+
+
+def _cache(node: ET.Element | None) -> dict[int, str]:
+    """Points of a cache by their index."""
+    found = {}
+    for point in descendants(node, "pt") if node is not None else ():
+        index = attr(point, "idx", "")
+        if index.isdigit():
+            found[int(index)] = "".join(t.text or "" for t in children(point, "v"))
+    return found
+
+
+def chart_points(xml: bytes) -> Iterator[tuple]:
+    """(series_no, series, kind, dated, pt_idx, category, y) of a chart part: cached points by index, those that are no
+    numbers left out. Bars that stand are columns; a point takes the category of its index."""
+    n = 0
+    for plot in parse_xml(xml).iter():
+        kind = CHARTS.get(local(plot.tag))
+        if kind is None:
+            continue
+        if kind == "bar" and next((attr(d, "val") for d in children(plot, "barDir")), "col") != "bar":
+            kind = "column"
+        for ser in children(plot, "ser"):
+            first = lambda *names: next((x for name in names for x in children(ser, name)), None)  # noqa: B023, E731
+            title, cat = first("tx"), first("cat", "xVal")
+            name = "".join(t.text or "" for t in descendants(title, "v")) if title is not None else ""
+            code = next((c.text or "" for c in descendants(cat, "formatCode")), "") if cat is not None else ""
+            categories = _cache(cat)
+            for idx, text in sorted(_cache(first("val", "yVal")).items()):
+                if (y := _number(text)) is not None:
+                    yield n, name, kind, any(part in code.lower() for part in DATE_PARTS), idx, categories.get(idx), y
+            n += 1
+
+
+def pptx_charts(data: bytes) -> Iterator[tuple]:
+    """(chart, ...) as ``chart_points`` of every chart part, in the order of their names."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for name in sorted(n for n in z.namelist() if re.fullmatch(r"ppt/charts/chart[0-9]+\.xml", n)):
+            for row in chart_points(z.read(name)):
+                yield name, *row
+
+
 # -- presentations and drawings: elements -------------------------------------------------------------------
 
 
@@ -347,7 +435,8 @@ def pptx_elements(data: bytes) -> Iterator[tuple]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
         rels = relationships(z, "ppt/presentation.xml")
-        order = [rels.get(attr(s, "id", "")) for s in descendants(parse_xml(z.read("ppt/presentation.xml")), "sldId")]
+        # the relationship's id has a namespace, beside the slide's own
+        order = [rels.get(next((v for k, v in s.attrib.items() if k != "id" and local(k) == "id"), "")) for s in descendants(parse_xml(z.read("ppt/presentation.xml")), "sldId")]
         order = [attr_path for attr_path in order if attr_path in names] or sorted((n for n in names if re.fullmatch(r"ppt/slides/slide[0-9]+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
         for k, part in enumerate(order):
             root = parse_xml(z.read(part))
@@ -430,7 +519,7 @@ def svg_elements(data: bytes) -> Iterator[tuple]:
 
 # -- sniffing and reading -----------------------------------------------------------------------------------
 
-HINTS = {"text": "txt", "markdown": "md", "htm": "html", "mml": "mathml", "odfmath": "odf", "odf-formula": "odf"}
+HINTS = {"tex": "latex", "text": "txt", "markdown": "md", "htm": "html", "mml": "mathml", "odfmath": "odf", "odf-formula": "odf"}
 FAMILIES = {**dict.fromkeys(("txt", "md", "html", "docx", "doc", "odt", "pdf"), "text"), **dict.fromkeys(("csv", "xlsx", "ods"), "spreadsheet"), **dict.fromkeys(("pptx", "odp"), "presentation"), **dict.fromkeys(("svg", "odg"), "drawing"), **dict.fromkeys(("latex", "mathml", "odf"), "formula"), "odb": "database"}
 
 
@@ -445,6 +534,9 @@ def sniff(data: bytes) -> str | None:
         try:
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 names = z.namelist()
+                for part, kind in (("word/document.xml", "docx"), ("xl/workbook.xml", "xlsx"), ("ppt/presentation.xml", "pptx")):
+                    if part in names:
+                        return kind
                 types = z.read("[Content_Types].xml").decode("utf-8", "replace").lower() if "[Content_Types].xml" in names else ""
                 for word, kind in (("wordprocessingml", "docx"), ("spreadsheetml", "xlsx"), ("presentationml", "pptx")):
                     if word in types:
@@ -512,10 +604,10 @@ _MEMBERS = "path string, name string, compressed long, size long, offset long, c
 
 def _reader(files: DataFrame, schema: str, rows: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
     """One row of output for each tuple; a document that fails gives one row with its error."""
-    width = schema.count(",") + 1
+    width = len(schema.split(", "))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[c.split()[1]] for c in schema.split(", ")]
+        kinds = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "map<string,string>": pa.map_(pa.string(), pa.string())}[c.split()[1]] for c in schema.split(", ")]
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -536,13 +628,32 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cells(files: DataFrame) -> DataFrame:
+    return _reader(files, _CELLS, lambda data: cells_of(data, sniff(data)))
+
+
+_TABLES = "path string, table_name string, row_no long, fields map<string,string>, error string"
+
+
+def read_tables(files: DataFrame, name: str = "data") -> DataFrame:
+    """Rows of every table of databases and CSV files: path, table_name, row_no, fields (by column), error."""
     def rows(data: bytes) -> Iterator[tuple]:
-        kind = sniff(data)
-        if kind not in ("xlsx", "ods"):
-            raise Unsupported(f"no workbook: {kind}")
-        yield from (xlsx_cells if kind == "xlsx" else ods_cells)(data)
+        for table, columns, found in tables_of(data, sniff(data), name):
+            for k, row in enumerate(found):
+                yield table, k, [(c, v) for c, v in dict(zip(columns, row, strict=False)).items()]
 
-    return _reader(files, _CELLS, rows)
+    return _reader(files, _TABLES, rows)
+
+
+_CHARTS = "path string, chart string, series_no int, series string, kind string, dated boolean, pt_idx int, category string, y double, error string"
+
+
+def read_charts(files: DataFrame) -> DataFrame:
+    return _reader(files, _CHARTS, pptx_charts)
+
+
+def read_entry(files: DataFrame, name: str) -> DataFrame:
+    """path, content and error of one member of every archive."""
+    return _reader(files, "path string, content binary, error string", lambda data: iter([(zip_entry(data, name),)]))
 
 
 def read_blocks(files: DataFrame) -> DataFrame:
@@ -556,6 +667,8 @@ def read_slides(files: DataFrame) -> DataFrame:
             yield from pptx_elements(data)
         elif kind == "odp":
             yield from odp_elements(data)
+        elif kind is None or FAMILIES.get(kind) not in ("text", "spreadsheet"):
+            raise Unsupported(f"no presentation: {kind}")
         else:
             for slide, what, text in markup.outline_slides(data.decode("utf-8", "replace")):
                 yield slide, what, text
@@ -573,6 +686,10 @@ def read_members(files: DataFrame) -> DataFrame:
 
 def sniffed(files: DataFrame) -> DataFrame:
     """path, format and family of every file."""
-    kind = F.udf(lambda data: sniff(bytes(data)) if data is not None else None, "string")
-    family = F.create_map(*[F.lit(x) for pair in FAMILIES.items() for x in pair])
-    return files.select("path", kind("content").alias("format")).withColumn("family", F.try_element_at(family, F.col("format")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [sniff(data) if data is not None else None for data in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array([FAMILIES.get(k) for k in kinds], pa.string())], names=["path", "format", "family"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, format string, family string")

@@ -243,3 +243,98 @@ def odb_bytes(tables: dict[str, tuple[list[str], list[list[object]]]]) -> bytes:
     members = [(f"database/{n}.csv", "\n".join(",".join(map(field, r)) for r in [cols, *rows])) for n, (cols, rows) in tables.items()]
     listed = "".join(f'<db:table-representation xmlns:db="urn:oasis:names:tc:opendocument:xmlns:database:1.0" db:name="{encode_entities(n, True)}"/>' for n in tables)
     return pack([("mimetype", "application/vnd.oasis.opendocument.base"), ("content.xml", f"{_HEAD}<office:document-content {_ODF}><office:body>{listed}</office:body></office:document-content>"), *members])
+
+
+_DRAW = 'xmlns:draw="urn:oasis:names:tc:opendocument:xmlns:drawing:1.0" xmlns:svg="urn:oasis:names:tc:opendocument:xmlns:svg-compatible:1.0"'
+
+
+def _odf_paragraphs(text: str) -> str:
+    return "".join(f"<text:p>{encode_entities(t)}</text:p>" for t in text.split("\n")) if text else ""
+
+
+def _odf_shape(kind: str, x: float, y: float, w: float, h: float, text: str) -> str:
+    if kind == "line":
+        return f'<draw:line svg:x1="{x:g}mm" svg:y1="{y:g}mm" svg:x2="{x + w:g}mm" svg:y2="{y + h:g}mm">{_odf_paragraphs(text)}</draw:line>'
+    place = f'svg:x="{x:g}mm" svg:y="{y:g}mm" svg:width="{w:g}mm" svg:height="{h:g}mm"'
+    if kind in ("rectangle", "ellipse"):
+        name = "rect" if kind == "rectangle" else kind
+        return f"<draw:{name} {place}>{_odf_paragraphs(text)}</draw:{name}>"
+    return f"<draw:frame {place}><draw:text-box>{_odf_paragraphs(text)}</draw:text-box></draw:frame>"
+
+
+def odg_bytes(shapes: list[tuple]) -> bytes:
+    """A drawing of (page, kind, x, y, width, height, text) shapes in millimetres."""
+    pages: dict[int, list[str]] = {}
+    for page, kind, x, y, w, h, text in shapes:
+        pages.setdefault(page, []).append(_odf_shape(kind, x or 0.0, y or 0.0, w or 0.0, h or 0.0, text or ""))
+    return _odf("graphics", f"<office:drawing {_DRAW}>{''.join(f'<draw:page>{chr(32).join(p)}</draw:page>' for p in pages.values())}</office:drawing>")
+
+
+def odp_bytes(elements: list[tuple]) -> bytes:
+    """A presentation of (slide, kind, text) elements, one below the other; notes are kept as notes."""
+    slides: dict[int, list[str]] = {}
+    for slide, kind, text in elements:
+        own = slides.setdefault(slide, [])
+        if kind == "notes":
+            own.append(f'<presentation:notes xmlns:presentation="urn:oasis:names:tc:opendocument:xmlns:presentation:1.0">{_odf_paragraphs(text)}</presentation:notes>')
+        elif kind != "image":
+            own.append(_odf_shape(kind if kind in ("rectangle", "ellipse") else "text_box", 20.0, 20.0 + 25.0 * len(own), 200.0, 20.0, text))
+    return _odf("presentation", f"<office:presentation {_DRAW}>{''.join(f'<draw:page>{chr(32).join(p)}</draw:page>' for p in slides.values())}</office:presentation>")
+
+
+_PML = 'xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def pptx_bytes(elements: list[tuple]) -> bytes:
+    """A presentation of (slide, kind, text) elements, one below the other in twentieths of an inch; notes are kept as notes."""
+    slides: dict[int, list[tuple]] = {}
+    for slide, kind, text in elements:
+        slides.setdefault(slide, []).append((kind, text))
+
+    def box(k: int, text: str) -> str:
+        lines = "".join(f"<a:p><a:r><a:t>{encode_entities(t)}</a:t></a:r></a:p>" for t in text.split("\n"))
+        return f'<p:sp><p:nvSpPr><p:cNvPr id="{k + 2}" name="Text {k + 1}"/><p:cNvSpPr/><p:nvPr/></p:nvSpPr><p:spPr><a:xfrm><a:off x="457200" y="{457200 * (k + 1)}"/><a:ext cx="8229600" cy="411480"/></a:xfrm></p:spPr><p:txBody><a:bodyPr/>{lines}</p:txBody></p:sp>'
+
+    parts, kinds = [], ""
+    for n, own in enumerate(slides.values(), 1):
+        boxes = "".join(box(k, text) for k, (kind, text) in enumerate(x for x in own if x[0] not in ("notes", "image")) )
+        parts.append((f"ppt/slides/slide{n}.xml", f"{_HEAD}<p:sld {_PML}><p:cSld><p:spTree>{boxes}</p:spTree></p:cSld></p:sld>"))
+        kinds += f'<Override PartName="/ppt/slides/slide{n}.xml" ContentType="application/vnd.openxmlformats-officedocument.presentationml.slide+xml"/>'
+        notes = "\n".join(text for kind, text in own if kind == "notes")
+        if notes:
+            parts.append((f"ppt/slides/_rels/slide{n}.xml.rels", f'{_HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{_REL}/notesSlide" Target="../notesSlides/notesSlide{n}.xml"/></Relationships>'))
+            parts.append((f"ppt/notesSlides/notesSlide{n}.xml", f"{_HEAD}<p:notes {_PML}><p:cSld><p:spTree>{box(0, notes)}</p:spTree></p:cSld></p:notes>"))
+    numbers = range(1, len(slides) + 1)
+    parts += [
+        ("[Content_Types].xml", f'{_HEAD}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/ppt/presentation.xml" ContentType="application/vnd.openxmlformats-officedocument.presentationml.presentation.main+xml"/>{kinds}</Types>'),
+        ("_rels/.rels", f'{_HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{_REL}/officeDocument" Target="ppt/presentation.xml"/></Relationships>'),
+        ("ppt/presentation.xml", f'{_HEAD}<p:presentation {_PML}><p:sldIdLst>{"".join(f"""<p:sldId id="{255 + n}" r:id="rId{n}"/>""" for n in numbers)}</p:sldIdLst></p:presentation>'),
+        ("ppt/_rels/presentation.xml.rels", f'{_HEAD}<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(f"""<Relationship Id="rId{n}" Type="{_REL}/slide" Target="slides/slide{n}.xml"/>""" for n in numbers)}</Relationships>'),
+    ]
+    return pack(parts)
+
+
+def odf_formula_bytes(mathml: str) -> bytes:
+    """A formula package; its content is the formula itself, in no office element."""
+    mime = "application/vnd.oasis.opendocument.formula"
+    return pack([("mimetype", mime), ("content.xml", f'{_HEAD}<math xmlns="http://www.w3.org/1998/Math/MathML">{mathml}</math>'), ("META-INF/manifest.xml", f'{_HEAD}<manifest:manifest xmlns:manifest="urn:oasis:names:tc:opendocument:xmlns:manifest:1.0"><manifest:file-entry manifest:full-path="/" manifest:media-type="{mime}"/><manifest:file-entry manifest:full-path="content.xml" manifest:media-type="text/xml"/></manifest:manifest>')])
+
+
+def grid_svg(grid: list[list[str]], width: float = 30.0, height: float = 6.0) -> bytes:
+    """A table as a drawing: a box and a text for every cell, in millimetres."""
+    out = []
+    for r, row in enumerate(grid):
+        for c, text in enumerate(row):
+            x, y = c * width, r * height
+            out.append(f'<rect x="{x:g}mm" y="{y:g}mm" width="{width:g}mm" height="{height:g}mm" fill="none" stroke="black"/>')
+            if text:
+                out.append(f'<text x="{x + 1:g}mm" y="{y + height - 2:g}mm">{encode_entities(text)}</text>')
+    wide = max((len(row) for row in grid), default=0)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{wide * width:g}mm" height="{len(grid) * height:g}mm">{"".join(out)}</svg>'.encode()
+
+
+def lines_svg(lines: list[str], height: float = 6.0) -> bytes:
+    """Lines of text as a drawing, one below the other."""
+    texts = "".join(f'<text x="10mm" y="{10 + height * k:g}mm">{encode_entities(t)}</text>' for k, t in enumerate(lines) if t)
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="210mm" height="{20 + height * len(lines):g}mm">{texts}</svg>'.encode()
