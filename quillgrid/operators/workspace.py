@@ -39,7 +39,7 @@ class Document:
 
 
 def _loaded(kind: str, data: bytes, form: str) -> object:
-    if packages.FAMILIES.get(form) not in (kind, "text", None):
+    if form != KINDS[kind][0] and packages.FAMILIES.get(form) not in (kind, "text"):
         raise Unsupported(f"{form} is no format of {kind}")
     if kind == "text":
         if form == "md":
