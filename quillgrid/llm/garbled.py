@@ -230,18 +230,18 @@ class Bigrams:
 
 #: Log odds that a run of characters forms a UTF-8 sequence by damage rather than by chance.
 FORM = 3.0
-#: Swap of characters that are lost: no language writes them, and any letter may have stood there.
-LOST = "lost"
+#: Swaps by number: single-byte ones, double-byte ones, UTF-8, and two more. A character is lost where no language
+#: writes it and any letter may have stood there; a source's own mapping is learnt.
+SWAPS = [*_substitutions(), *(f"{double} as {page}" for double in DOUBLE for page in READ), *(f"utf-8 as {page}" for page in READ), "lost", "learned"]
+_NUMBER = {name: k for k, name in enumerate(SWAPS)}
+LOST, LEARNED = _NUMBER["lost"], _NUMBER["learned"]
 
 
 class Solver:
     """Readings of a word under the known swaps; what they are worth is for ``Bigrams`` to say."""
 
     def __init__(self):
-        self.names, tables = [], []
-        for name, table in _substitutions().items():
-            self.names.append(name)
-            tables.append(table)
+        tables = _substitutions().values()
         # of each character, what it becomes and by which tables (as bits)
         self.becomes: dict[str, dict[str, int]] = {}
         for k, table in enumerate(tables):
@@ -266,7 +266,7 @@ class Solver:
             at = m.end()
         return "".join([*out, word[at:]]) if out else word
 
-    def _utf8(self, plain: str) -> Iterator[tuple[str, str, float]]:
+    def _utf8(self, plain: str) -> Iterator[tuple[int, str, float]]:
         """Readings as UTF-8, undone as often as it goes; each undoing makes a word shorter, so this ends."""
         for page in _utf8_pages(plain + "\xa0"):
             now = self.undo_utf8(plain, page)
@@ -274,19 +274,19 @@ class Solver:
                 # a last byte that became a space: UTF-8 that ends too early
                 now = self.undo_utf8(plain + "\xa0", page) if plain[-1:] > "\x7f" else plain
                 if now != plain and now != plain + "\xa0" and now.count("\xa0") < plain.count("\xa0") + 1:
-                    yield f"utf-8 as {page}", now, 0.0
+                    yield _NUMBER[f"utf-8 as {page}"], now, 0.0
                 continue
             seen, todo = {now}, [(now, 1)]
             while todo:
                 now, turns = todo.pop()
                 fresh = sum(ch > "\x7f" and ch not in plain for ch in now)
-                yield f"utf-8 as {page}", now, FORM * (max(1, fresh) + turns - 1)
+                yield _NUMBER[f"utf-8 as {page}"], now, FORM * (max(1, fresh) + turns - 1)
                 for other in _utf8_pages(now):
                     if (new := self.undo_utf8(now, other)) not in seen:
                         seen.add(new)
                         todo.append((new, turns + 1))
 
-    def readings(self, word: str) -> list[tuple[str, str, float]]:
+    def readings(self, word: str) -> list[tuple[int, str, float]]:
         """(swap, reading, log odds of its form) of every swap that can have made the word.
 
         A letter substitution gives letters and marks of text, at least one letter. Swaps that read the
@@ -308,7 +308,7 @@ class Solver:
                 continue
             while fits:
                 low = fits & -fits
-                found.append((self.names[low.bit_length() - 1], new, 0.0))
+                found.append((low.bit_length() - 1, new, 0.0))
                 fits ^= low
         for page, codes in PAGES.items():
             if all(map(codes.__contains__, high)):
@@ -319,7 +319,7 @@ class Solver:
                     except UnicodeDecodeError:
                         continue
                     if new != plain:
-                        found.append((f"{double} as {page}", new, 0.0))
+                        found.append((_NUMBER[f"{double} as {page}"], new, 0.0))
         return found
 
     def alike(self, word: str) -> str:
@@ -331,11 +331,11 @@ class Solver:
 #: first bigrams still hold the damage itself, so readings must not be asked too much), and of one substituted letter alone.
 START, LATER, LONE = -2.0, -6.0, -14.0
 #: EM ends where the expected number of damaged words moves by less than this share, or after so many steps.
-SETTLED, STEPS = 0.01, 6
+SETTLED, STEPS = 0.05, 6
 #: A source joins a swap with this many expected words at least.
 EVIDENCE = 0.5
-_READING = "array<struct<swap string, new string, form double>>"
-_SCORED = "word string, n double, entries array<struct<swap string, new string, gain double, base double>>"
+_READING = "array<struct<swap int, new string, form double>>"
+_SCORED = "word string, n double, entries array<struct<swap int, new string, gain double, base double>>"
 
 
 def spans_of(pdf_spans: DataFrame, styled_spans: DataFrame) -> DataFrame:
@@ -388,13 +388,13 @@ def _read(words: DataFrame) -> DataFrame:
         for batch in batches:
             found = [solver.readings(w) for w in batch.column(0).to_pylist()]
             alike = [solver.alike(w) if f else None for w, f in zip(batch.column(0).to_pylist(), found, strict=True)]
-            readings = _lists(found, [("swap", pa.string()), ("new", pa.string()), ("form", pa.float64())])
+            readings = _lists(found, [("swap", pa.int32()), ("new", pa.string()), ("form", pa.float64())])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(alike, pa.string()), readings], names=["word", "n", "alike", "readings"])
 
     return words.mapInArrow(run, f"word string, n double, alike string, readings {_READING}")
 
 
-def gains(bigrams: Bigrams, word: str, alike: str | None, readings: list[tuple[str, str, float]], base: dict[str, float], other: float) -> list[tuple[str, str, float, float]]:
+def gains(bigrams: Bigrams, word: str, alike: str | None, readings: list[tuple[int, str, float]], base: dict[int, float], other: float) -> list[tuple[int, str, float, float]]:
     """(swap, reading, gain in log likelihood over 'none', log odds of the swap where the source shows none), of gains above 0.
 
     ``other`` are the log odds of a swap that ``base`` does not name.
@@ -425,7 +425,7 @@ def gains(bigrams: Bigrams, word: str, alike: str | None, readings: list[tuple[s
 FAINT = -5.0
 
 
-def _score(read: DataFrame, bigrams: Bigrams, base: dict[str, float], other: float, most: dict[str, float], least: float = FAINT) -> DataFrame:
+def _score(read: DataFrame, bigrams: Bigrams, base: dict[int, float], other: float, most: dict[int, float], least: float = FAINT) -> DataFrame:
     """The words with readings of some weight: ``most`` are the log odds of each swap in the source where they are greatest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,7 +437,7 @@ def _score(read: DataFrame, bigrams: Bigrams, base: dict[str, float], other: flo
                     keep.append(row)
                     found.append(got)
             chosen = pa.array(keep, pa.int64())
-            entries = _lists(found, [("swap", pa.string()), ("new", pa.string()), ("gain", pa.float64()), ("base", pa.float64())])
+            entries = _lists(found, [("swap", pa.int32()), ("new", pa.string()), ("gain", pa.float64()), ("base", pa.float64())])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(chosen), batch.column(1).take(chosen), entries], names=["word", "n", "entries"])
 
     return read.where(F.size("readings") > 0).mapInArrow(run, _SCORED)
@@ -456,7 +456,7 @@ def _small(df: DataFrame, size: Column | None = None) -> DataFrame:
 def _logits(counted: DataFrame, scored: DataFrame, odds: DataFrame | None) -> DataFrame:
     """source, word, n and each reading's score: its gain and the log odds of its swap in the source."""
     rows = counted.join(_small(scored.select("word", "entries"), F.size("entries") + 1), "word")
-    known = F.create_map().cast("map<string,double>") if odds is None else F.col("odds")
+    known = F.create_map().cast("map<int,double>") if odds is None else F.col("odds")
     if odds is not None:
         rows = rows.join(_small(odds, F.size("odds") + 1), "source", "left")
     return rows.select("source", "word", "n", F.transform("entries", lambda e: F.struct((e["gain"] + F.coalesce(F.try_element_at(known, e["swap"]), e["base"])).alias("score"), e["swap"].alias("swap"), e["new"].alias("new"))).alias("entries"))
@@ -511,7 +511,7 @@ def learn(spans: DataFrame) -> dict:
         base, other = {s: max(log(w / none), -9.0) for s, w in whole.items()}, -9.0
         # a source's weight of a swap: its own words and as much of the whole as five words
         own_swaps = expected.where(F.col("swap") != LOST).groupBy("source", "swap").agg(F.sum("n").alias("n"))
-        general = F.create_map(*[x for s, w in whole.items() for x in (F.lit(s), F.lit(float(w)))]) if whole else F.create_map().cast("map<string,double>")
+        general = F.create_map(*[x for s, w in whole.items() for x in (F.lit(s), F.lit(float(w)))]) if whole else F.create_map().cast("map<int,double>")
         prior = 5 * F.coalesce(F.try_element_at(general, F.col("swap")), F.lit(1e-6))
         by_source = own_swaps.groupBy("source").agg(F.sum("n").alias("damaged")).join(totals, "source").select("source", (F.greatest(F.col("words") - F.col("damaged"), F.lit(0.0)) + 5 * none).alias("clean"))
         each = own_swaps.where(F.col("n") >= EVIDENCE).join(by_source, "source").select("source", "swap", F.log((F.col("n") + prior) / F.col("clean")).alias("odds"))
@@ -681,7 +681,7 @@ def damaged(spans: DataFrame) -> DataFrame:
     learnt = learn(spans)
     scored = _score(learnt["distinct"], learnt["bigrams"], learnt["base"], learnt["other"], learnt["most"], 0.0)
     rows = _logits(learnt["counted"], scored, learnt["odds"]).select("source", "word", F.array_max("entries").alias("e")).where(F.col("e.score") > 0)
-    known = cut(rows.select("source", "word", "e.swap", "e.new"))
+    known = cut(rows.select("source", "word", F.col("e.swap").alias("swap"), "e.new"))
     tables = ciphers(learnt)
     if tables.isEmpty():
         return known
@@ -693,11 +693,11 @@ def damaged(spans: DataFrame) -> DataFrame:
             for source, word, chars, letters in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 new = word.translate(str.maketrans(chars, letters))
                 if new != word and _cipherable(word):
-                    out.append((source, word, "learned", new))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.string()) for k in range(4)], names=["source", "word", "swap", "new"])
+                    out.append((source, word, LEARNED, new))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))], names=["source", "word", "swap", "new"])
 
     left = learnt["counted"].join(known.select("source", "word"), ["source", "word"], "left_anti").join(tables, "source").select("source", "word", "chars", "letters")
-    return known.unionByName(left.mapInArrow(run, "source string, word string, swap string, new string"))
+    return known.unionByName(left.mapInArrow(run, "source string, word string, swap int, new string"))
 
 
 def found(pdf_spans: DataFrame, styled_spans: DataFrame) -> DataFrame:
@@ -716,7 +716,7 @@ def restore(pdf_spans: DataFrame, styled_spans: DataFrame) -> DataFrame:
     """
     spans = spans_of(pdf_spans, styled_spans)
     words = _words(spans.where(_wide("text")), "src", "span_id", "source").where(_wide("word")).distinct()
-    hits = words.join(_small(damaged(spans)), ["source", "word"]).groupBy("src", "span_id").agg(F.collect_set(F.struct("word", "new")).alias("readings"), F.array_sort(F.collect_set("swap")).alias("swaps"))
+    hits = words.join(_small(damaged(spans)), ["source", "word"]).groupBy("src", "span_id").agg(F.collect_set(F.struct("word", "new")).alias("readings"), F.collect_set("swap").alias("swaps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -724,6 +724,6 @@ def restore(pdf_spans: DataFrame, styled_spans: DataFrame) -> DataFrame:
             for text, readings in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 table = {r["word"]: r["new"] for r in readings}
                 texts.append("".join(table.get(part, part) for part in _SPACE.split(text)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(texts, pa.string()), batch.column(4)], names=["src", "span_id", "text", "restored", "swaps"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(texts, pa.string()), pa.array([sorted(SWAPS[k] for k in used) for used in batch.column(4).to_pylist()], pa.list_(pa.string()))], names=["src", "span_id", "text", "restored", "swaps"])
 
     return spans.join(hits, ["src", "span_id"]).select("src", "span_id", "text", "readings", "swaps").mapInArrow(run, "src string, span_id long, text string, restored string, swaps array<string>")
