@@ -36,11 +36,12 @@ def parse_boolean(text: Column) -> Column:
 def display(x: Column) -> Column:
     """Shortest text of a double, never with an exponent: 1, 0.001, 10000000000, NaN, inf, -0."""
     s = x.cast("string")
-    sign, whole, part, power = (F.regexp_extract(s, r"^(-?)([0-9])\.([0-9]+)E(-?[0-9]+)$", k) for k in (1, 2, 3, 4))
-    part = F.when(part == "0", F.lit("")).otherwise(part)
-    n = power.try_cast("int")
-    digits = F.concat(whole, part)
-    large = F.when(F.length(part) <= n, F.concat(digits, F.repeat(F.lit("0"), n - F.length(part)))).otherwise(F.concat(F.substring(digits, F.lit(1), n + 1), F.lit("."), F.substring(digits, n + 2, F.length(digits))))
+    sign = F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    n = F.substring_index(s, "E", -1).try_cast("int")
+    # a mantissa has one digit before its point; the one of a round number is d.0
+    mantissa = F.translate(F.substring_index(s, "E", 1), "-.", "")
+    digits = F.when((F.length(mantissa) == 2) & mantissa.endswith("0"), F.substring(mantissa, 1, 1)).otherwise(mantissa)
+    large = F.when(F.length(digits) <= n + 1, F.rpad(digits, n + 1, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), n + 1), F.lit("."), F.substring(digits, n + 2, F.length(digits))))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -n - 1), digits)
     return (
         F.when((x == F.floor(x)) & (F.abs(x) < 1e15) & (x != 0), x.cast("bigint").cast("string"))
@@ -48,7 +49,8 @@ def display(x: Column) -> Column:
         .when(s == "Infinity", F.lit("inf"))
         .when(s == "-Infinity", F.lit("-inf"))
         .when(s.contains("E"), F.concat(sign, F.when(n >= 0, large).otherwise(small)))
-        .otherwise(F.regexp_replace(s, r"\.0$", ""))
+        .when(s.endswith(".0"), F.substring(s, F.lit(1), F.length(s) - 2))
+        .otherwise(s)
     )
 
 

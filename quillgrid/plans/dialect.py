@@ -164,7 +164,7 @@ def condition(df: DataFrame, predicate: tuple[str, str, object]) -> Column:
 
 
 def sort_keys(df: DataFrame, order: tuple[str, bool], row_id: str | None) -> list[Column]:
-    """One total order: numbers (null as 0, numeric text as its number) before other texts by bytes."""
+    """One total order: numbers (null as 0, numeric text as its number) before other texts by bytes; ties by row number, reversed with the rest."""
     name, descending = order
     field = _field(df, name)
     column = F.col(f"`{field.name}`")
@@ -175,6 +175,8 @@ def sort_keys(df: DataFrame, order: tuple[str, bool], row_id: str | None) -> lis
         keys = [F.coalesce(column.cast("double") if isinstance(field.dataType, T.BooleanType) else column, F.lit(0).cast(field.dataType) if not isinstance(field.dataType, T.BooleanType) else F.lit(0.0)) if isinstance(field.dataType, (T.NumericType, T.BooleanType)) else column]
     if row_id and row_id in df.columns:
         keys.append(F.col(row_id))
+    else:  # without a row number ties are settled by the other columns, so that a limit always gives the same rows
+        keys += [F.col(f"`{f.name}`") for f in df.schema.fields if f.name != field.name and isinstance(f.dataType, T.AtomicType)]
     return [k.desc() if descending else k.asc() for k in keys]
 
 
@@ -196,10 +198,14 @@ class Database:
     def __init__(self, spark: SparkSession, title: str = ""):
         self.spark, self.title = spark, title
         self.tables: dict[str, DataFrame] = {}
+        self.row_ids: dict[str, str] = {}
         self.queries: dict[str, str] = {}
 
-    def add_table(self, name: str, df: DataFrame) -> None:
+    def add_table(self, name: str, df: DataFrame, row_id: str | None = None) -> None:
+        """Registers a table; ``row_id`` is a column with the rows' order, which is no part of its results."""
         self.tables[name] = df
+        if row_id is not None:
+            self.row_ids[name.lower()] = row_id
         df.createOrReplaceTempView(name)
 
     def add_query(self, name: str, sql: str) -> None:
@@ -214,7 +220,7 @@ class Database:
 
     def query(self, sql: str, row_id: str | None = None) -> DataFrame:
         q = parse(sql)
-        return execute(self.table(q.table), q, row_id)
+        return execute(self.table(q.table), q, row_id or self.row_ids.get(q.table.lower()))
 
     def run_stored(self, name: str) -> DataFrame:
         if name not in self.queries:

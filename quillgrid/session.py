@@ -39,11 +39,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the checkpoint folder and drop its lineage.
 
-    The folder is the one of ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a local one is made.
+    The folder is the one of ``spark.checkpoint.dir``; only where that is unset and the master is local
+    (tests on one machine) a local one is made. A cluster without a shared folder is refused.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise InvalidInput("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quillgrid-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +44,27 @@ def tokenize(text: str) -> list[list[str]]:
     return rows
 
 
+_MARKS = re.compile('["\n]')
+
+
+def header_row(text: str) -> list[str]:
+    """The fields of the first row; what follows it is not looked at."""
+    inside = False
+    for m in _MARKS.finditer(text):
+        if m.group() == '"':
+            inside = not inside
+        elif not inside:
+            return tokenize(text[: m.start()])[0] if m.start() else [""]
+    rows = tokenize(text)
+    return rows[0] if rows else []
+
+
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The header of each file, so that no content leaves its task."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([header_row((c or b"").decode("utf-8", "replace").removeprefix("\ufeff")) for c in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["names"])
+
+
 def read_fields(spark: SparkSession, path: str, exact: bool = False) -> DataFrame:
     """All fields as text under the header's names; a blank name becomes column_1, column_2 and so on.
 
@@ -53,10 +75,11 @@ def read_fields(spark: SparkSession, path: str, exact: bool = False) -> DataFram
         df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, inferSchema=False)
         return df.toDF(*(f"column_{k + 1}" if not c.strip() or c == f"_c{k}" else c.strip() for k, c in enumerate(df.columns)))
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    first = files.orderBy("path").limit(1).collect()  # the header of one file gives the names
-    if not first or not (rows := tokenize(bytes(first[0].content).decode("utf-8", "replace"))):
+    first = files.agg(F.min("path")).first()[0]  # the header of one file gives the names
+    found = files.where(F.col("path") == first).select("content").mapInArrow(_headers, "names array<string>").first() if first is not None else None
+    if not found or not found.names:
         raise InvalidInput("CSV must include a header row")
-    names = [c.strip() or f"column_{k + 1}" for k, c in enumerate(rows[0])]
+    names = [c.strip() or f"column_{k + 1}" for k, c in enumerate(found.names)]
     width = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,4 +49,4 @@ def test_batches(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"\xff\xfe\x00")
     got = {r.path[-4:]: (r.format, r.error is None) for r in convert.convert_files(packages.read_files(spark, str(tmp_path)), "html").collect()}
     assert got == {"a.md": ("md", True), ".bin": (None, False)}
-    assert convert.route_table(spark).where("source = 'ods'").count() == 5
+    assert convert.route_table(spark).where("source = 'ods'").count() == 7

@@ -102,3 +102,17 @@ def test_texts(spark):
 
     assert [r[0] for r in cells] == [column_name(k) for k in range(800)]
     assert [r[0] for r in spark.createDataFrame([(1,), (4,), (1994,), (4000,)], "n int").select(texts.roman(F.col("n"))).collect()] == ["i", "iv", "mcmxciv", "4000"]
+
+
+def test_ties_of_a_database(spark):
+    """Ties under DESC are reversed where the table has a row number, and the same at every run where it has none."""
+    from quillgrid.plans.dialect import Database
+
+    rows = [(k, "abcd"[k % 4], 5 if k % 2 else 6) for k in range(8)]
+    df = spark.createDataFrame(rows, "n int, name string, age int").repartition(3)
+    db = Database(spark)
+    db.add_table("People", df, row_id="n")
+    assert [tuple(r) for r in db.query("SELECT name FROM people WHERE age = 5 ORDER BY age DESC LIMIT 3").collect()] == [("d",), ("b",), ("d",)]
+    assert [r.name for r in db.query("SELECT name FROM People ORDER BY age LIMIT 2").collect()] == ["b", "d"] and "n" not in db.query("SELECT * FROM People").columns
+    db.add_table("Loose", df.select("age", "name"))
+    assert [r.name for r in db.query("SELECT name FROM Loose ORDER BY age DESC LIMIT 3").collect()] == ["c", "c", "a"]

@@ -98,6 +98,11 @@ def test_xml_and_math():
     assert markup.flat_math(markup.parse_latex("x^2 + y_1")) == "x^2+y_1" and markup.mathml(markup.parse_latex(r"\sqrt{\alpha}")) == "<msqrt><mi>α</mi></msqrt>"
 
 
+def test_header_row_of_a_long_file():
+    assert delimited.header_row('a,"b\nc",\r\n1,2,3\n"open') == ["a", "b\nc", ""] and delimited.header_row("") == [] and delimited.header_row("\nx") == [""] and delimited.header_row("x") == ["x"]
+    assert delimited.header_row("k,v\n" + "1,2\n" * 1_000_000) == ["k", "v"]
+
+
 def test_shapes():
     svg = b'<svg xmlns="http://www.w3.org/2000/svg"><rect x="10mm" y="0" width="5mm" height="1cm"/><circle cx="10mm" cy="10mm" r="2mm"/><text x="0" y="0">hi</text></svg>'
     got = list(packages.svg_elements(svg))
