@@ -352,6 +352,42 @@ def _words(spans: DataFrame, *keep: str) -> DataFrame:
     return spans.select(*keep, F.explode(F.split("text", r"[ \t\r\n\x0b\f]+")).alias("word")).where(F.col("word") != "")
 
 
+def _count(spans: DataFrame) -> DataFrame:
+    """(source, a, b, n) of the spans' words in one pass: of those beyond ASCII the number by source (a is the word, b null), of
+    all others symbol pairs over all sources (source null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: Counter = Counter()
+        wide: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            keys = [*((s, w, None) for s, w in wide), *((None, a, b) for a, b in pairs)]
+            done = pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array([float(n) for n in (*wide.values(), *pairs.values())], pa.float64())], names=["source", "a", "b", "n"])
+            wide.clear()
+            pairs.clear()
+            return done
+
+        for batch in batches:
+            plain: Counter = Counter()
+            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if text.isascii():
+                    plain.update(text.split())
+                else:
+                    for word in _SPACE.split(text):
+                        if word.isascii():
+                            plain[word] += 1
+                        else:
+                            wide[source, word] += 1
+            for blank in [w for w in plain if not w or w.isspace()]:
+                del plain[blank]
+            pairs.update(count_words(plain))
+            if len(wide) > 200_000:
+                yield out()
+        yield out()
+
+    return spans.select("source", "text").mapInArrow(run, "source string, a string, b string, n double").groupBy("source", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def _bigrams(weighted: DataFrame) -> dict[tuple[str, str], float]:
     """Symbol pairs of (word, n), to the driver: at most the square of the symbols, in practice a few ten thousand."""
 
@@ -394,10 +430,11 @@ def _read(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, f"word string, n double, alike string, readings {_READING}")
 
 
-def gains(bigrams: Bigrams, word: str, alike: str | None, readings: list[tuple[int, str, float]], base: dict[int, float], other: float) -> list[tuple[int, str, float, float]]:
+def gains(bigrams: Bigrams, word: str, alike: str | None, readings: list[tuple[int, str, float]], base: dict[int, float], other: float, written: frozenset[str] | None = None) -> list[tuple[int, str, float, float]]:
     """(swap, reading, gain in log likelihood over 'none', log odds of the swap where the source shows none), of gains above 0.
 
-    ``other`` are the log odds of a swap that ``base`` does not name.
+    ``other`` are the log odds of a swap that ``base`` does not name. Readings with a symbol that no text has as it
+    stands (``written``) are none, or EM would come to believe in its own.
     """
     plain = _ZERO_WIDTH.sub("", word)
     none = bigrams.word(plain)
@@ -412,7 +449,8 @@ def gains(bigrams: Bigrams, word: str, alike: str | None, readings: list[tuple[i
             continue
         score = scores.get(new)
         if score is None:
-            score = scores[new] = bigrams.word(new)
+            strange = written is not None and any(ch > "\x7f" and _SYMBOLS[ch] not in written for ch in new)
+            score = scores[new] = -1e9 if strange else bigrams.word(new)
         # a decoded run is evidence of its own only if what it gives is a character that the texts have
         gain = score - none - less + (form if form and all(bigrams.knows(ch) for ch in new if ch > "\x7f") else 0.0)
         if gain > 0:
@@ -425,14 +463,14 @@ def gains(bigrams: Bigrams, word: str, alike: str | None, readings: list[tuple[i
 FAINT = -5.0
 
 
-def _score(read: DataFrame, bigrams: Bigrams, base: dict[int, float], other: float, most: dict[int, float], least: float = FAINT) -> DataFrame:
+def _score(read: DataFrame, bigrams: Bigrams, base: dict[int, float], other: float, most: dict[int, float], written: frozenset[str], least: float = FAINT) -> DataFrame:
     """The words with readings of some weight: ``most`` are the log odds of each swap in the source where they are greatest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, found = [], []
             for row, (word, alike, readings) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), _tuples(batch.column(3)), strict=True)):
-                got = [g for g in gains(bigrams, word, alike, readings, base, other) if g[2] + max(g[3], most.get(g[0], g[3])) > least]
+                got = [g for g in gains(bigrams, word, alike, readings, base, other, written) if g[2] + max(g[3], most.get(g[0], g[3])) > least]
                 if got:
                     keep.append(row)
                     found.append(got)
@@ -465,27 +503,25 @@ def _logits(counted: DataFrame, scored: DataFrame, odds: DataFrame | None) -> Da
 def _expect(counted: DataFrame, scored: DataFrame, odds: DataFrame | None) -> DataFrame:
     """E step: source, word, swap, new and the expected number of the source's words so made."""
     rows = _logits(counted, scored, odds)
-    top = F.greatest(F.lit(0.0), F.array_max(F.transform("entries", lambda e: e["score"])))
-    rows = rows.withColumn("top", top)
-    total = F.aggregate("entries", F.exp(-F.col("top")), lambda acc, e: acc + F.exp(e["score"] - F.col("top")))
-    rows = rows.withColumn("total", total).select("source", "word", "n", "top", "total", F.explode("entries").alias("e"))
-    return rows.select("source", "word", F.col("e.swap").alias("swap"), F.col("e.new").alias("new"), (F.col("n") * F.exp(F.col("e.score") - F.col("top")) / F.col("total")).alias("n")).where(F.col("n") > 1e-2)
+    weighed = rows.withColumn("entries", F.transform("entries", lambda e: F.struct(F.exp(F.least(e["score"], F.lit(300.0))).alias("weight"), e["swap"].alias("swap"), e["new"].alias("new"))))
+    total = F.aggregate("entries", F.lit(1.0), lambda acc, e: acc + e["weight"])  # 'none' weighs 1
+    each = weighed.select("source", "word", "n", total.alias("total"), F.explode("entries").alias("e"))
+    return each.select("source", "word", F.col("e.swap").alias("swap"), F.col("e.new").alias("new"), (F.col("n") * F.col("e.weight") / F.col("total")).alias("n")).where(F.col("n") > 1e-2)
 
 
 def learn(spans: DataFrame) -> dict:
     """EM over the distinct words of all spans.
 
-    Words are counted by source in the JVM; readings are made once a distinct word. E: readings of each
+    Words are counted by source in one pass; readings are made once a distinct word. E: readings of each
     source's words by bigrams and the source's swaps, softly. M: bigrams over the words so read, weights
     of the swaps by source and over all. Only symbol pairs and totals by swap go to the driver; words
     and weights of sources stay tables.
     """
-    words = _words(spans, "source").select(F.when(_wide("word"), F.col("source")).alias("source"), "word").groupBy("source", "word").agg(F.count("*").cast("double").alias("n"))
     spread = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much work a word: not to be coalesced
-    words = cut(words.repartition(spread, F.xxhash64("source", "word")))
-    counted = words.where(F.col("source").isNotNull())
+    words = cut(_count(spans).repartition(spread, F.xxhash64("source", "a")))
+    counted = words.where(F.col("source").isNotNull()).select("source", F.col("a").alias("word"), "n")
     distinct = cut(_read(counted.groupBy("word").agg(F.sum("n").alias("n")).repartition(spread, F.xxhash64("word"))))
-    ascii_pairs = _bigrams(words.where(F.col("source").isNull()).select("word", "n"))
+    ascii_pairs = {(r.a, r.b): r.n for r in words.where(F.col("source").isNull()).select("a", "b", "n").collect()}
     totals = counted.groupBy("source").agg(F.sum("n").alias("words"))
     every = totals.agg(F.sum("words")).first()[0] or 0.0
 
@@ -500,8 +536,9 @@ def learn(spans: DataFrame) -> dict:
 
     own = distinct.select("word", "n")
     bigrams, odds, base, other, most, last = merged(own), None, {}, START, {}, None
+    written = frozenset(s for s, share in bigrams.share.items() if share > 0)
     for _ in range(STEPS):
-        expected = cut(_expect(counted, _score(distinct, bigrams, base, other, most), odds))
+        expected = cut(_expect(counted, _score(distinct, bigrams, base, other, most, written), odds))
         found = {r.swap: r.n for r in expected.groupBy("swap").agg(F.sum("n").alias("n")).collect()}  # as many as there are swaps
         bigrams = merged(own, expected.select("word", (-F.col("n")).alias("n")), expected.where(F.col("swap") != LOST).select(F.col("new").alias("word"), "n"))
         now = sum(found.values())
@@ -521,12 +558,15 @@ def learn(spans: DataFrame) -> dict:
         if last is not None and abs(now - last) <= SETTLED * max(now, 1.0):
             break
         last = now
-    return {"bigrams": bigrams, "odds": odds, "base": base, "other": other, "most": most, "counted": counted, "distinct": distinct, "expected": expected}
+    return {"bigrams": bigrams, "odds": odds, "base": base, "other": other, "most": most, "written": written, "counted": counted, "distinct": distinct, "expected": expected}
 
 
 #: Ciphers of sources: mean log likelihood of a step beside a high character below which a source's words are no text as
-#: they stand (seen by the other sources), steps and gain a letter needed, and the turns of EM.
-UNLIKELY, ENOUGH, PRICE, TURNS = -6.0, 150.0, 8.0, 60
+#: they stand (seen by the other sources), steps needed, steps and gain needed for every letter, and the turns of EM.
+UNLIKELY, ENOUGH, EVERY, PRICE, TURNS = -6.0, 150.0, 10.0, 8.0, 60
+#: Starts of EM: the known pages that come nearest, and even ones.
+NEAREST, EVEN = 3, 5
+_EAST_ASIAN = r"[\x{2e80}-\x{d7ff}\x{f900}-\x{ffef}\x{20000}-\x{3ffff}]"
 
 
 def _cipherable(word: str) -> bool:
@@ -595,16 +635,8 @@ def solve_cipher(pairs: dict[tuple[str, str], float], bigrams: Bigrams) -> tuple
     free = np.array([at[s] for s in high], int)
     p = len(plain)
     climb = np.array([[without.step(a, b) for b in hidden] for a in hidden])
-    pages = [t for t in _substitutions().values() if sum(ord(ch) in t and t[ord(ch)] in letters for ch in high) >= 0.6 * len(high)]
+    place = {s: k for k, s in enumerate(letters)}
     rng = np.random.default_rng(5)
-    starts: list[np.ndarray] = []
-    for table in pages:
-        e = np.full((len(letters), len(high)), 0.02)
-        for k, ch in enumerate(high):
-            if table.get(ord(ch)) in letters:
-                e[letters.index(table[ord(ch)]), k] += 1.0
-        starts.append(e)
-    starts += [1.0 + rng.random((len(letters), len(high))) for _ in range(8)]
 
     def worth(choice: np.ndarray) -> float:
         full = np.empty(len(shown), int)
@@ -612,6 +644,16 @@ def solve_cipher(pairs: dict[tuple[str, str], float], bigrams: Bigrams) -> tuple
         full[free] = p + choice
         return float((counts * climb[np.ix_(full, full)]).sum())
 
+    common = int(single[p:].argmax())
+    ranked = sorted(((worth(np.array([place.get(t.get(ord(ch), ""), common) for ch in high])), k, t) for k, t in enumerate(_substitutions().values())), key=lambda x: (-x[0], x[1]))
+    starts: list[np.ndarray] = []
+    for _, _, table in ranked[:NEAREST]:
+        e = np.full((len(letters), len(high)), 0.02)
+        for k, ch in enumerate(high):
+            if table.get(ord(ch)) in place:
+                e[place[table[ord(ch)]], k] += 1.0
+        starts.append(e)
+    starts += [1.0 + rng.random((len(letters), len(high))) for _ in range(EVEN)]
     best: tuple[float, np.ndarray] | None = None
     for e in starts:
         e = e / e.sum(axis=1, keepdims=True)
@@ -625,20 +667,22 @@ def solve_cipher(pairs: dict[tuple[str, str], float], bigrams: Bigrams) -> tuple
             e = e / e.sum(axis=1, keepdims=True)
         choice = (e * single[p:, None]).argmax(axis=0)
         now = worth(choice)
-        for _ in range(6):
-            before = now
-            for k in range(len(high)):
-                for letter in range(len(letters)):
-                    if letter != choice[k]:
-                        old, choice[k] = choice[k], letter
-                        if (new := worth(choice)) > now:
-                            now = new
-                        else:
-                            choice[k] = old
-            if now <= before:
-                break
         if best is None or now > best[0]:
-            best = (now, choice.copy())
+            best = (now, choice)
+    now, choice = best
+    for _ in range(6):
+        before = now
+        for k in range(len(high)):
+            for letter in range(len(letters)):
+                if letter != choice[k]:
+                    old, choice[k] = choice[k], letter
+                    if (new := worth(choice)) > now:
+                        now = new
+                    else:
+                        choice[k] = old
+        if now <= before:
+            break
+    best = (now, choice)
     none = sum(n * without.step(a, b) for (a, b), n in pairs.items())
     return {ch: letters[k] for ch, k in zip(high, best[1], strict=True)}, best[0] - none
 
@@ -648,11 +692,12 @@ def ciphers(learnt: dict) -> DataFrame:
 
     A source is looked at if more than half of its words with high characters are in no other source and
     no known swap explains them. What known swaps leave of it is counted as pairs, and its mapping is
-    learnt if the other sources make the pairs unlikely, and kept if it gains PRICE for every letter.
+    learnt if the other sources make the pairs unlikely, and kept if it gains PRICE for every letter and
+    rests on EVERY pairs for every letter.
     """
     bigrams: Bigrams = learnt["bigrams"]
     everywhere = _small(learnt["distinct"].select("word", F.col("n").alias("all")))
-    alone = learnt["counted"].join(everywhere, "word").groupBy("source").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("n") == F.col("all"), F.col("n"))).alias("own"))
+    alone = learnt["counted"].where(~F.col("word").rlike(_EAST_ASIAN)).join(everywhere, "word").groupBy("source").agg(F.sum("n").alias("words"), F.sum(F.when(F.col("n") == F.col("all"), F.col("n"))).alias("own"))
     alone = _small(alone.where((F.col("own") * 2 > F.col("words")) & (F.col("words") * 4 >= ENOUGH)).select("source"))
     done = learnt["expected"].join(alone, "source", "left_semi").groupBy("source", "word").agg(F.sum("n").alias("done"))
     rest = learnt["counted"].join(alone, "source", "left_semi").join(done, ["source", "word"], "left").select("source", "word", (F.col("n") - F.coalesce("done", F.lit(0.0))).alias("n")).where(F.col("n") > 0.5)
@@ -670,7 +715,7 @@ def ciphers(learnt: dict) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         source, *columns = (table.column(k).to_pylist() for k in range(4))
         mapping, gain = solve_cipher({(a, b): n for a, b, n in zip(*columns, strict=True)}, bigrams)
-        kept = bool(mapping) and gain > PRICE * len(mapping)
+        kept = bool(mapping) and gain > PRICE * len(mapping) and sum(columns[2]) >= EVERY * len(mapping)
         return pa.table({"source": pa.array(source[:1] if kept else [], pa.string()), "chars": pa.array(["".join(mapping)] if kept else [], pa.string()), "letters": pa.array(["".join(mapping.values())] if kept else [], pa.string())})
 
     return cut(pairs.join(odd, "source", "left_semi").groupBy("source").applyInArrow(run, "source string, chars string, letters string"))
@@ -679,7 +724,7 @@ def ciphers(learnt: dict) -> DataFrame:
 def damaged(spans: DataFrame) -> DataFrame:
     """source, word, swap and reading of every word of a source that a swap or cipher explains better than 'none'."""
     learnt = learn(spans)
-    scored = _score(learnt["distinct"], learnt["bigrams"], learnt["base"], learnt["other"], learnt["most"], 0.0)
+    scored = _score(learnt["distinct"], learnt["bigrams"], learnt["base"], learnt["other"], learnt["most"], learnt["written"], 0.0)
     rows = _logits(learnt["counted"], scored, learnt["odds"]).select("source", "word", F.array_max("entries").alias("e")).where(F.col("e.score") > 0)
     known = cut(rows.select("source", "word", F.col("e.swap").alias("swap"), "e.new"))
     tables = ciphers(learnt)
